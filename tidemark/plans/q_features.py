@@ -1 +1,245 @@
-"""Registered queries."""
+"""Registered cleaning / imputation / feature-engineering queries (fixtures O and T)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import clean as cl
+from tidemark.operators import features as fe
+from tidemark.operators import labels as lb
+from tidemark.plans.catalog import register
+from tidemark.plans.oracle import rounded, with_fixtures
+from tidemark.sources import tables as tb
+
+NUM = ["price", "acctbal", "qty", "n_lines", "disc"]
+CAT = ["status", "priority", "segment"]
+
+
+def _T(spark, sf):
+    return tb.tabular(spark, sf)
+
+
+def T(body, dbl=(), extra=()):
+    return rounded(with_fixtures(body, "T", extra=list(extra)), dbl)
+
+
+@register("clean_outcomes", with_fixtures(
+    "select * from O where M6_Rem is not null and Y1_Rem is not null and Y1_Rem_6 is not null", "O"))
+def q_clean(spark, sf):
+    return cl.clean_outcomes(tb.outcomes(spark, sf))
+
+
+@register("drop_unlabelled", with_fixtures(
+    """select patient_id, label from (select patient_id,
+         case when lower(Y1_Rem) = 'no' and lower(M6_Rem) = 'no' and lower(Y1_Rem_6) = 'no' then 0
+              when lower(Y1_Rem) = 'yes' and lower(M6_Rem) = 'yes' and lower(Y1_Rem_6) = 'yes' then 1
+              when lower(Y1_Rem) = 'yes' and lower(M6_Rem) = 'no' and lower(Y1_Rem_6) = 'no' then 2
+              when lower(Y1_Rem) = 'yes' and lower(M6_Rem) = 'yes' and lower(Y1_Rem_6) = 'no' then 3
+              when lower(Y1_Rem) = 'yes' and lower(M6_Rem) = 'no' and lower(Y1_Rem_6) = 'yes' then 4
+              when lower(Y1_Rem) = 'no' and lower(M6_Rem) = 'yes' and lower(Y1_Rem_6) = 'no' then 5
+              when lower(Y1_Rem) = 'no' and lower(M6_Rem) = 'yes' and lower(Y1_Rem_6) = 'yes' then 6
+              when lower(Y1_Rem) = 'no' and lower(M6_Rem) = 'no' and lower(Y1_Rem_6) = 'yes' then 7 end as label
+       from O) x where label is not null""", "O"))
+def q_drop_unlabelled(spark, sf):
+    d = lb.outcome_label_truth(tb.outcomes(spark, sf))
+    return cl.drop_unlabelled(d).select("patient_id", F.col("label").cast("long").alias("label"))
+
+
+@register("load_and_prepare", with_fixtures(
+    """select count(*) as n_rows, count(*) filter (where M6_Rem is null or Y1_Rem is null or Y1_Rem_6 is null)
+              as n_missing_outcome from O""", "O"))
+def q_load_prepare(spark, sf):
+    """Prepared cohort profile: rows and rows with any missing outcome (one aggregation)."""
+    o = cl.drop_columns(tb.outcomes(spark, sf), ["Cohort"])
+    miss = F.col("M6_Rem").isNull() | F.col("Y1_Rem").isNull() | F.col("Y1_Rem_6").isNull()
+    return o.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(miss).alias("n_missing_outcome"))
+
+
+@register("impute_median", T(
+    "select row_id, " + ", ".join(f"coalesce({c}, (select median({c}) from T)) as {c}" for c in NUM) + " from T", NUM))
+def q_impute_median(spark, sf):
+    return cl.impute_median(_T(spark, sf).select("row_id", *NUM), NUM)
+
+
+@register("impute_median_refined", T(
+    "select row_id, " + ", ".join(f"coalesce({c}, (select median({c}) from T)) as {c}" for c in NUM) + " from T", NUM))
+def q_impute_median_refined(spark, sf):
+    """Exact medians through the bounded-memory refinement path (tiny distinct limit forces rounds)."""
+    from tidemark.functions.stats import exact_median
+    t = _T(spark, sf).select("row_id", *NUM)
+    return cl.impute_median(t, NUM, exact_median(t, NUM, limit=64))
+
+
+def _mode_sql(c):
+    return (f"coalesce({c}, (select {c} from T where {c} is not null group by {c} "
+            f"order by count(*) desc, {c} asc limit 1), 'Unknown') as {c}")
+
+
+@register("impute_mode", T("select row_id, " + ", ".join(_mode_sql(c) for c in CAT) + " from T"))
+def q_impute_mode(spark, sf):
+    return cl.impute_mode(_T(spark, sf).select("row_id", *CAT), CAT)
+
+
+@register("standardize_for_impute", T(
+    "select row_id, " + ", ".join(
+        f"({c} - (select avg({c}) from T)) / (select stddev_samp({c}) from T) as {c}" for c in NUM) + " from T", NUM))
+def q_standardize(spark, sf):
+    return cl.standardize_for_impute(_T(spark, sf).select("row_id", *NUM), NUM)
+
+
+@register("preprocess_for_ml", T(
+    "select " + ", ".join(f"coalesce({c}, (select median({c}) from T)) as {c}" for c in ["row_id"] + NUM)
+    + ", cast(label as bigint) as label from T", NUM))
+def q_preprocess(spark, sf):
+    return cl.preprocess_for_ml(_T(spark, sf), "label")
+
+
+_OH = {"status": ["O", "P", None], "priority": ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+       "segment": ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}
+_OH_ALL = {"status": ["F", "O", "P", None], "priority": ["1-URGENT"] + _OH["priority"],
+           "segment": ["AUTOMOBILE"] + _OH["segment"]}
+
+
+def _oh_sql(cats):
+    parts = []
+    for c, vals in cats.items():
+        for v in vals:
+            cond = f"{c} is null" if v is None else f"{c} = '{v}'"
+            parts.append(f'case when {cond} then 1.0 else 0.0 end as "{c}_{"nan" if v is None else v}"')
+    return parts
+
+
+@register("one_hot", T("select row_id, " + ", ".join(_oh_sql(_OH)) + " from T",
+                       [f"{c}_{'nan' if v is None else v}" for c, vs in _OH.items() for v in vs]))
+def q_one_hot(spark, sf):
+    return fe.one_hot(_T(spark, sf).select("row_id", *CAT), CAT, drop_first=True)
+
+
+@register("preprocess_for_ml_dummies", T(
+    "select " + ", ".join(f"coalesce({c}, (select median({c}) from T)) as {c}" for c in ["row_id"] + NUM) + ", "
+    + ", ".join(_oh_sql({k: [v for v in vs if v is not None] for k, vs in _OH_ALL.items()}))
+    + ", cast(label as bigint) as label from (select row_id, price, acctbal, qty, n_lines, disc, label, priority, segment, "
+    + "coalesce(status, (select status from T where status is not null group by status order by count(*) desc, status limit 1)) as status from T) T",
+    NUM + [f"{c}_{v}" for c, vs in _OH_ALL.items() for v in vs if v is not None]))
+def q_preprocess_dummies(spark, sf):
+    return cl.preprocess_for_ml(_T(spark, sf), "label", dummies=True)
+
+
+@register("skewness_table", T(
+    " union all ".join(f"select '{c}' as feature, skewness({c}) as skewness from T" for c in NUM), ["skewness"]))
+def q_skew(spark, sf):
+    return fe.skewness_table(_T(spark, sf), NUM)
+
+
+@register("transform_skewed", T(
+    "select row_id, " + ", ".join(
+        f"case when abs((select skewness({c}) from T)) > 0.5 then cbrt({c}) else {c} end as {c}" for c in NUM)
+    + " from T", NUM))
+def q_transform_skewed(spark, sf):
+    return fe.transform_skewed(_T(spark, sf).select("row_id", *NUM), 0.5, "cbrt", NUM)
+
+
+GROUPS = {"total_money": ["price", "acctbal"], "total_volume": ["qty", "n_lines", "disc"]}
+
+
+def _rsum(cols):
+    return " + ".join(f"coalesce({c}, 0)" for c in cols)
+
+
+def _rmean(cols):
+    return f"({_rsum(cols)}) / nullif({' + '.join(f'(case when {c} is not null then 1 else 0 end)' for c in cols)}, 0)"
+
+
+@register("subscale_totals", T(
+    "select row_id, " + ", ".join(f"{_rsum(v)} as {k}" for k, v in GROUPS.items()) + " from T", list(GROUPS)))
+def q_subscale(spark, sf):
+    return fe.subscale_totals(_T(spark, sf).select("row_id", *NUM), GROUPS).select("row_id", *GROUPS)
+
+
+@register("factor_means", T(
+    "select row_id, " + ", ".join(f"{_rmean(v)} as {k}" for k, v in GROUPS.items()) + " from T", list(GROUPS)))
+def q_factor_means(spark, sf):
+    return fe.factor_means(_T(spark, sf).select("row_id", *NUM), {k: k for k in GROUPS},
+                           columns_by_factor=GROUPS).select("row_id", *GROUPS)
+
+
+@register("ratio_feature", T("select row_id, price / (qty + 0.001) as price_per_qty from T", ["price_per_qty"]))
+def q_ratio(spark, sf):
+    return fe.ratio_feature(_T(spark, sf).select("row_id", "price", "qty"), "price", "qty", "price_per_qty") \
+             .select("row_id", "price_per_qty")
+
+
+@register("interactions", T(
+    """select row_id, qty * n_lines as Interaction_qty_n_lines,
+              coalesce(status, 'nan') || '_' || coalesce(segment, 'nan') as Interaction_status_segment from T""",
+    ["Interaction_qty_n_lines"]))
+def q_interactions(spark, sf):
+    t = _T(spark, sf)
+    out = fe.interactions(t, [("qty", "n_lines"), ("status", "segment")])
+    return out.select("row_id", "Interaction_qty_n_lines", "Interaction_status_segment")
+
+
+def _q(c, p):
+    return f"(select quantile_cont({c}, {p}) from T)"
+
+
+@register("iqr_outliers", T(" union all ".join(
+    f"""select '{c}' as feature, {_q(c, 0.25)} as q1, {_q(c, 0.75)} as q3,
+          {_q(c, 0.25)} - 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)}) as lower,
+          {_q(c, 0.75)} + 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)}) as upper,
+          (select count(*) from T where {c} > {_q(c, 0.75)} + 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)})
+                                     or {c} < {_q(c, 0.25)} - 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)})) as n_outliers,
+          cast(case when (select count(*) from T where {c} > {_q(c, 0.75)} + 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)})
+                                     or {c} < {_q(c, 0.25)} - 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)})) > 0 then 1 else 0 end as bigint) as has_outliers"""
+    for c in NUM), ["q1", "q3", "lower", "upper"]))
+def q_iqr(spark, sf):
+    return fe.iqr_outliers(_T(spark, sf), NUM)
+
+
+def _std_sql(c):
+    return f"({c} - (select avg({c}) from T)) / coalesce(nullif((select stddev_pop({c}) from T), 0), 1.0)"
+
+
+def _minmax_sql(c):
+    return (f"({c} - (select min({c}) from T)) / coalesce(nullif((select max({c}) - min({c}) from T), 0), 1.0)")
+
+
+def _robust_sql(c):
+    return f"({c} - {_q(c, 0.5)}) / coalesce(nullif({_q(c, 0.75)} - {_q(c, 0.25)}, 0), 1.0)"
+
+
+@register("scale_standard", T("select row_id, " + ", ".join(f"{_std_sql(c)} as {c}" for c in NUM) + " from T", NUM))
+def q_scale_std(spark, sf):
+    t = _T(spark, sf).select("row_id", *NUM)
+    return fe.apply_scaler(t, fe.fit_scaler(t, NUM, "standard"))
+
+
+@register("scale_minmax", T("select row_id, " + ", ".join(f"{_minmax_sql(c)} as {c}" for c in NUM) + " from T", NUM))
+def q_scale_minmax(spark, sf):
+    t = _T(spark, sf).select("row_id", *NUM)
+    return fe.apply_scaler(t, fe.fit_scaler(t, NUM, "minmax"))
+
+
+@register("scale_robust", T("select row_id, " + ", ".join(f"{_robust_sql(c)} as {c}" for c in NUM) + " from T", NUM))
+def q_scale_robust(spark, sf):
+    t = _T(spark, sf).select("row_id", *NUM)
+    return fe.apply_scaler(t, fe.fit_scaler(t, NUM, "robust"))
+
+
+def _has_out(c):
+    return (f"(select count(*) from T where {c} > {_q(c, 0.75)} + 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)}) "
+            f"or {c} < {_q(c, 0.25)} - 1.5 * ({_q(c, 0.75)} - {_q(c, 0.25)})) > 0")
+
+
+@register("scale_features", T("select row_id, " + ", ".join(
+    f"case when {_has_out(c)} then {_robust_sql(c)} else {_std_sql(c)} end as {c}" for c in NUM) + " from T", NUM))
+def q_scale_features(spark, sf):
+    t = _T(spark, sf).select("row_id", *NUM)
+    return fe.scale_features(t, "standard", True, NUM)
+
+
+@register("engineer_features")
+def q_engineer(spark, sf):
+    """Full chain on T (skew -> interactions -> one-hot -> scaling); rows check."""
+    t = _T(spark, sf).drop("row_id")
+    return fe.engineer_features(t, label_col="label", transform=False, pairs=[("qty", "n_lines")])
