@@ -201,7 +201,7 @@ def _thr_pred_sql():
               select row_id, any_value(y_true) as y_true, {wide}, arg_max(cls, (p, -cls)) as am from P group by row_id) w"""
 
 
-def _cmu_sql():
+def _cmu_sql(raw: bool = False):
     lv = ("high_risk", "moderate_risk", "low_risk")
     cols = []
     for L in lv:
@@ -224,6 +224,8 @@ def _cmu_sql():
              from (select *, {_risk_case('cls')} as risk_level from MOVR) o"""
     m = "select 'argmax' as model, y_true, y_pred from PRED union all select 'thresholds', y_true, y_pred from TPRED"
     dbl = ["utility_score", "total_cost"] + [f"{k}_{L}" for L in lv for k in ("fn_rate", "fn_cost", "fp_cost")]
+    if raw:
+        return with_fixtures(body, "P", extra=list(CTES) + [("TPRED", _thr_pred_sql()), ("M", m), ("MOVR", movr), ("MC", mc)])
     return q(body, extra=[("TPRED", _thr_pred_sql()), ("M", m), ("MOVR", movr), ("MC", mc)], dbl=dbl)
 
 
