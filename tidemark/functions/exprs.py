@@ -74,14 +74,32 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in ex]
 
 
+def round_cmp(c, digits: int = 6) -> Column:
+    """Comparison rounding: two stages (collapse last-bit summation noise first), each
+    as round(x * 10^d) / 10^d - the arithmetic DuckDB's round(double, d) uses - and -0.0
+    normalised to 0.0."""
+    x = col(c).cast("double")
+    s1 = F.round(x * F.lit(10.0 ** (digits + 3)), 0) / F.lit(10.0 ** (digits + 3))
+    return F.round(s1 * F.lit(10.0 ** digits), 0) / F.lit(10.0 ** digits) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (and normalise -0.0) for cross-engine comparison."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            # two-stage rounding collapses last-bit summation-order noise first
-            r = F.round(F.round(F.col(f.name).cast("double"), digits + 3), digits)
-            out.append((r + F.lit(0.0)).alias(f.name))
+            out.append(round_cmp(F.col(f.name), digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
+
+
+def sig_round(c, digits: int = 10) -> Column:
+    """Scientific text with ``digits`` significant digits (for comparing statistics of
+    large magnitude across engines; engines parse such text differently, so keep it text)."""
+    return F.format_string(f"%.{digits - 1}e", col(c))
+
+
+def sig_sql(expr: str, digits: int = 10) -> str:
+    """DuckDB twin of ``sig_round``."""
+    return f"printf('%.{digits - 1}e', {expr})"

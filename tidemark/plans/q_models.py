@@ -1 +1,263 @@
-"""Registered queries."""
+"""Registered model queries: probability-combination rules (SQL-checked on P) and
+Spark ML training / scoring / persistence (rows checks)."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.exprs import round_cmp
+from tidemark.operators import clean as cl
+from tidemark.operators import labels as lb
+from tidemark.operators import models as md
+from tidemark.operators import splits as sp
+from tidemark.plans.catalog import register
+from tidemark.plans.oracle import rounded, with_fixtures
+from tidemark.plans.q_labels import POL
+from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources import tables as tb
+
+K = 8
+PCOLS = [f"p{c}" for c in range(K)]
+HR = [c for c in POL.priority_order() if c in POL.high_risk_classes]
+
+
+def _wide_sql():
+    return ("select row_id, any_value(y_true) as y_true, any_value(t_days) as t_days, "
+            + ", ".join(f"max(case when cls = {c} then p end) as p{c}" for c in range(K)) + " from P group by row_id")
+
+
+def _renorm_sql(src, name, changes: dict, extra_cols=""):
+    cols = {f"p{c}": changes.get(c, f"p{c}") for c in range(K)}
+    tot = " + ".join(f"({v})" for v in cols.values())
+    inner = f"select row_id, y_true, t_days{extra_cols}, " + ", ".join(f"{v} as p{c}" for c, v in
+                                                                     zip(range(K), cols.values())) + f" from {src}"
+    return name, (f"select row_id, y_true, t_days{extra_cols}, "
+                  + ", ".join(f"p{c} / ({' + '.join(PCOLS)}) as p{c}" for c in range(K)) + f" from ({inner}) z"), tot
+
+
+def _out(spark_proba):
+    return [spark_proba[c].alias(f"p{c}") for c in range(K)]
+
+
+def _wide(spark, sf):
+    return tb.scored_multiclass_wide(spark, sf)
+
+
+def _boost_sql():
+    ctes = [("W", _wide_sql()), ("H", "select *, " + ", ".join(f"least(1.0, 2.5 * p{c}) as hr{c}" for c in HR)
+                                     + " from W")]
+    src = "H"
+    extra = ", " + ", ".join(f"hr{c}" for c in HR)
+    for i, c in enumerate(HR):
+        cond = f"hr{c} >= 0.7"
+        changed = {c: f"least(0.7 * hr{c} + 0.3 * p{c}, 0.99)"}
+        cols = ", ".join(f"case when {cond} then {changed.get(k, f'p{k}')} else p{k} end as p{k}" for k in range(K))
+        a = f"select row_id, y_true, t_days{extra}, {cols}, {cond} as hit from {src}"
+        tot = " + ".join(PCOLS)
+        b = (f"select row_id, y_true, t_days{extra}, "
+             + ", ".join(f"case when hit then p{k} / ({tot}) else p{k} end as p{k}" for k in range(K)) + f" from A{i}")
+        ctes += [(f"A{i}", a), (f"S{i}", b)]
+        src = f"S{i}"
+    return rounded(with_fixtures(f"select row_id, {', '.join(PCOLS)} from {src}", "P", extra=ctes), PCOLS)
+
+
+@register("high_risk_ensemble_combine", _boost_sql())
+def q_boost(spark, sf):
+    """Main probabilities boosted by one binary booster per high-risk class (booster score
+    derived from the data as min(1, 2.5 p_c)), sequential in priority order."""
+    w = _wide(spark, sf)
+    boosters = {c: F.least(F.lit(1.0), F.lit(2.5) * F.col("proba")[c]) for c in HR}
+    b = md.high_risk_boost(w, "proba", boosters, HR, 0.7, 0.99)
+    return b.select("row_id", *_out(F.col("proba")))
+
+
+def _stacked_sql():
+    tot = " + ".join(PCOLS)
+    a = ("select row_id, " + ", ".join(
+        f"case when least(1.0, 2.5 * p0) > 0.7 then {'0.7 * least(1.0, 2.5 * p0) + 0.3 * p0' if k == 0 else f'p{k}'} "
+        f"else p{k} end as p{k}" for k in range(K)) + ", least(1.0, 2.5 * p0) > 0.7 as hit from W")
+    b = ("select row_id, " + ", ".join(f"case when hit then p{k} / ({tot}) else p{k} end as p{k}" for k in range(K))
+         + " from A")
+    return rounded(with_fixtures("select * from S", "P", extra=[("W", _wide_sql()), ("A", a), ("S", b)]), PCOLS)
+
+
+@register("stacked_boost", _stacked_sql())
+def q_stacked(spark, sf):
+    w = _wide(spark, sf)
+    p = md.stacked_boost(F.col("proba"), F.least(F.lit(1.0), F.lit(2.5) * F.col("proba")[0]), 0.7, 0)
+    return w.select("row_id", p.alias("pp")).select("row_id", *_out(F.col("pp")))
+
+
+def _decay_sql():
+    ctes = [("W", _wide_sql()), ("X", "select *, pow(0.9, t_days / (select max(t_days) from W)) as w from W")]
+    src = "X"
+    tot = " + ".join(PCOLS)
+    for i, c in enumerate(HR):
+        a = ("select row_id, w, " + ", ".join(
+            (f"p{k} + (1 - p{k}) * (1 - w) * 0.2" if k == c else f"p{k}") + f" as p{k}" for k in range(K))
+            + f" from {src}")
+        b = "select row_id, w, " + ", ".join(f"p{k} / ({tot}) as p{k}" for k in range(K)) + f" from A{i}"
+        ctes += [(f"A{i}", a), (f"S{i}", b)]
+        src = f"S{i}"
+    return rounded(with_fixtures(f"select row_id, {', '.join(PCOLS)} from {src}", "P", extra=ctes), PCOLS)
+
+
+def _decayed(spark, sf):
+    w = _wide(spark, sf)
+    max_t = float(w.agg(F.max("t_days")).first()[0])       # frozen scalar
+    return md.time_decay_adjust(w.withColumn("pd", F.col("proba")), "pd", F.col("t_days"), max_t, HR, 0.9)
+
+
+@register("time_decay_adjust", _decay_sql())
+def q_decay(spark, sf):
+    return _decayed(spark, sf).select("row_id", *_out(F.col("pd")))
+
+
+@register("soft_vote", rounded(with_fixtures(
+    "select W.row_id, " + ", ".join(f"W.p{k} * 0.7 + S.p{k} * 0.3 as p{k}" for k in range(K))
+    + " from W join SB S on W.row_id = S.row_id", "P",
+    extra=[("W", _wide_sql()), ("SB", f"select * from ({_stacked_sql()})")]), PCOLS))
+def q_soft_vote(spark, sf):
+    """0.7 x main + 0.3 x stacked-boost probabilities.
+
+    The oracle reads the stacked probabilities already rounded to 6 places, so both sides
+    round before voting (the Spark side rounds its second input the same way)."""
+    w = _wide(spark, sf)
+    st = md.stacked_boost(F.col("proba"), F.least(F.lit(1.0), F.lit(2.5) * F.col("proba")[0]), 0.7, 0)
+    st = F.transform(st, lambda x: round_cmp(x))
+    v = md.soft_vote([F.col("proba"), st], [0.7, 0.3])
+    return w.select("row_id", v.alias("pp")).select("row_id", *_out(F.col("pp")))
+
+
+def _argmax_sql(src):
+    arr = ", ".join(f"({k}, p{k})" for k in range(K))
+    del arr
+    case = "case " + " ".join(
+        f"when p{k} = greatest({', '.join(PCOLS)}) then {k}" for k in range(K)) + " end"
+    return f"select row_id, {case} as lab from {src}"
+
+
+@register("label_vote", with_fixtures(
+    "select a.row_id, cast(round_even(a.lab * 0.7 + b.lab * 0.3, 0) as bigint) as y_vote from A a join D b on a.row_id = b.row_id",
+    "P", extra=[("W", _wide_sql()), ("A", _argmax_sql("W")), ("DD", _decay_sql()), ("D", _argmax_sql("DD"))]))
+def q_label_vote(spark, sf):
+    """Weighted (0.7/0.3) label vote of argmax(main) and argmax(time-decayed), half-to-even."""
+    d = _decayed(spark, sf)
+    dd = F.transform("pd", lambda x: round_cmp(x))
+    a = lb.argmax_expr(F.col("proba"))
+    b = lb.argmax_expr(dd)
+    return d.select("row_id", md.label_vote([a, b], [0.7, 0.3]).alias("y_vote"))
+
+
+# ---------------------------------------------------------------------------
+# Spark ML (rows checks)
+# ---------------------------------------------------------------------------
+
+FEATS = ["price", "acctbal", "qty", "n_lines", "disc"]
+
+
+def _train_test(spark, sf):
+    t = cl.impute_median(tb.tabular(spark, sf), FEATS)
+    t = t.select("row_id", *FEATS, F.col("label").cast("long").alias("label"))
+    s = sp.train_test_split(t, "row_id", "label", test_size=0.3)
+    return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
+
+
+def _fit_predict(spark, sf, kind, **params):
+    tr, te = _train_test(spark, sf)
+    b = md.fit_cost_sensitive(tr, FEATS, POL, kind, optimise_thresholds=True, **params)
+    return md.predict_labels(b, te, POL).select("row_id", "label", "y_pred")
+
+
+@register("fit_logistic")
+def q_fit_logistic(spark, sf):
+    """Weighted L1 multinomial logistic regression + cost-optimal thresholds; test predictions."""
+    return _fit_predict(spark, sf, "logistic", maxIter=50)
+
+
+@register("fit_decision_tree")
+def q_fit_tree(spark, sf):
+    return _fit_predict(spark, sf, "decision_tree", maxDepth=4)
+
+
+@register("fit_random_forest")
+def q_fit_forest(spark, sf):
+    return _fit_predict(spark, sf, "random_forest", numTrees=20)
+
+
+@register("fit_gradient_boosting")
+def q_fit_gbt(spark, sf):
+    """Per-class binary GBT (Spark GBT is binary), probabilities normalised; argmax labels."""
+    tr, te = _train_test(spark, sf)
+    tr = lb.attach_sample_weight(tr, POL, "label")
+    b = md.fit_gbt_one_vs_rest(tr, FEATS, list(range(K)), maxIter=5, maxDepth=3)
+    s = md.score_gbt_one_vs_rest(b, te)
+    return s.select("row_id", "label", lb.argmax_expr(F.col("proba")).alias("y_pred"))
+
+
+@register("fit_mlp")
+def q_fit_mlp(spark, sf):
+    """MLP (no weightCol in Spark): class weights applied by weighted resampling."""
+    tr, te = _train_test(spark, sf)
+    tr = md.weighted_resample(lb.attach_sample_weight(tr, POL, "label"), "sample_weight")
+    from tidemark.operators.features import apply_scaler, fit_scaler
+    sc = fit_scaler(tr, FEATS, "standard")
+    tr, te = apply_scaler(tr, sc), apply_scaler(te, sc)
+    est = md.make_classifier("mlp", layers=[len(FEATS), 6, 6, K], maxIter=50)
+    m = est.fit(md.assemble(tr, FEATS))
+    return m.transform(md.assemble(te, FEATS)).select("row_id", "label", F.col("prediction").cast("long").alias("y_pred"))
+
+
+@register("search_params")
+def q_search(spark, sf):
+    """3-fold grid search over tree depth; one row per grid point with its mean F1."""
+    tr, _ = _train_test(spark, sf)
+    res = md.search_params(tr, FEATS, "decision_tree", {"maxDepth": [2, 4]}, folds=3, parallelism=2)
+    rows = [(int(d), float(m)) for d, m in zip([2, 4], res["avg_metrics"])]
+    return spark.createDataFrame(rows, "maxDepth bigint, mean_f1 double")
+
+
+@register("train_report")
+def q_train_report(spark, sf):
+    tr, te = _train_test(spark, sf)
+    return md.train_report(tr, te, FEATS, POL, kinds=("logistic", "decision_tree"))
+
+
+@register("save_load_model")
+def q_save_load(spark, sf):
+    """Persist a fitted bundle to the shared checkpoint folder, reload it and score."""
+    tr, te = _train_test(spark, sf)
+    b = md.fit_cost_sensitive(tr, FEATS, POL, "decision_tree", optimise_thresholds=False, maxDepth=3)
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:"):
+        base = base[5:]
+    path = tempfile.mkdtemp(prefix="model-", dir=base if os.path.isdir(base) else None)
+    md.save_model(b, path)
+    b2 = md.load_model(path)
+    return md.predict_labels(b2, te, POL).select("row_id", "label", "y_pred")
+
+
+@register("score_proba_long")
+def q_score_long(spark, sf):
+    tr, te = _train_test(spark, sf)
+    b = md.fit_cost_sensitive(tr, FEATS, POL, "logistic", optimise_thresholds=False, maxIter=30)
+    scored = b["model"].transform(md.assemble(te, FEATS))
+    return md.proba_long(scored, "label", "row_id")
+
+
+@register("entity_contributions")
+def q_contrib(spark, sf):
+    """Linear-model contributions coef x value, top 3 per side per entity (class 0)."""
+    tr, te = _train_test(spark, sf)
+    b = md.fit_cost_sensitive(tr, FEATS, POL, "logistic", optimise_thresholds=False, maxIter=30)
+    return md.linear_contributions(b, te, 0, "row_id")
+
+
+@register("model_importance")
+def q_model_importance(spark, sf):
+    tr, _ = _train_test(spark, sf)
+    b = md.fit_cost_sensitive(tr, FEATS, POL, "random_forest", optimise_thresholds=False, numTrees=20)
+    return spark.createDataFrame(md.model_importance(b), "feature string, importance double")
