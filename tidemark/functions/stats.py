@@ -41,10 +41,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return {}
     x = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)])
     names = [f"_q{i}" for i in range(len(cols))]
-    row = x.agg(*[F.count(n).alias(n) for n in names]).first()
+    # one job: counts and distinct estimates of every column
+    row = x.agg(*[e for n in names for e in (F.count(n).alias(n), F.approx_count_distinct(n).alias(f"{n}_d"))]).first()
     n_of = {n: int(row[n]) for n in names}
     # state per column: lo (exclusive, None = -inf), hi (inclusive, None = +inf), below
-    state = {n: {"lo": None, "hi": None, "below": 0, "n_in": n_of[n], "ranks": _needed_ranks(n_of[n], probs)}
+    state = {n: {"lo": None, "hi": None, "below": 0, "n_in": n_of[n], "ranks": _needed_ranks(n_of[n], probs),
+                 "distinct": int(row[f"{n}_d"])}
              for n in names if n_of[n] > 0}
 
     def in_range(n):
@@ -56,12 +58,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             c = c & (F.col(n) <= F.lit(s["hi"]))
         return c
 
-    # distinct count estimate inside the current range decides whether to refine
-    for _ in range(max_rounds):
-        if not state:
-            break
-        est = x.agg(*[F.approx_count_distinct(F.when(in_range(n), F.col(n))).alias(n) for n in state]).first()
-        todo = [n for n in state if est[n] > limit]
+    for rnd in range(max_rounds):
+        if rnd > 0:
+            est = x.agg(*[F.approx_count_distinct(F.when(in_range(n), F.col(n))).alias(n) for n in state]).first()
+            for n in state:
+                state[n]["distinct"] = int(est[n])
+        todo = [n for n in state if state[n]["distinct"] > limit and not state[n].get("frozen")]
         if not todo:
             break
         delta = 4.0 / ACCURACY
@@ -88,24 +90,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             if ok and n_in2 < s["n_in"]:
                 s.update(lo=lo_new, hi=hi_new, below=below2, n_in=n_in2)
             else:
-                # approximate bounds missed (heavy duplicates): the distinct-value ranking
-                # below handles duplicates; stop refining this column
-                est_row = None  # noqa: F841
-                state[n]["frozen"] = True
-        if all(state[n].get("frozen") for n in todo):
-            break
-
-    # final: rank (value, count) pairs inside each range
-    parts = []
-    for n in state:
-        parts.append(x.where(in_range(n)).groupBy(F.col(n).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-                     .withColumn("col", F.lit(n)))
+                # approximate bounds missed (heavy duplicates): stop refining this column;
+                # the (value, count) ranking below handles duplicates
+                s["frozen"] = True
+
+    # final: one pass - every column's in-range values as (col, value) pairs, counted,
+    # then a cumulative count per column (at most ``limit`` distinct values each)
+    if not state:
+        return {c: [None] * len(probs) for c in cols}
+    pairs = F.array(*[F.when(in_range(n), F.struct(F.lit(n).alias("col"), F.col(n).alias("v"))) for n in state])
+    u = (x.select(F.explode(F.filter(pairs, lambda e: e.isNotNull())).alias("e"))
+          .groupBy(F.col("e.col").alias("col"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    if not parts:
-        return result
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
     w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("cum", F.sum("c").over(w))
     wanted = []

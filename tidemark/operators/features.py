@@ -237,15 +237,43 @@ def apply_scaler(df: DataFrame, params: Mapping[str, tuple]) -> DataFrame:
 
 def scale_features(df: DataFrame, method: str = "standard", robust_for_outliers: bool = True,
                    cols: Sequence[str] | None = None) -> DataFrame:
-    """Robust scaling for columns with IQR outliers, ``method`` for the rest."""
+    """Robust scaling for columns with IQR outliers, ``method`` for the rest.
+
+    Fitting reads the data twice in total: one exact-quantile computation (q1, median,
+    q3 of every column) and one aggregation with every column's outlier count, mean,
+    population std, min and max.  The transform is a single projection.
+    """
     cols = numeric_columns(df) if cols is None else list(cols)
-    robust = []
-    if robust_for_outliers:
-        o = iqr_outliers(df, cols).where("has_outliers = 1").select("feature").collect()   # <= p rows
-        robust = [r["feature"] for r in o]
-    rest = [c for c in cols if c not in robust]
-    params = fit_scaler(df, rest, method)
-    params.update(fit_scaler(df, robust, "robust"))
+    if not cols:
+        return df
+    qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    aggs = []
+    for c in cols:
+        q1, _, q3 = qs[c]
+        if q1 is None:
+            aggs.append(F.lit(0).cast("long").alias(f"o{c}"))
+        else:
+            iqr = q3 - q1
+            aggs.append(F.count_if((q(c) > F.lit(q3 + 1.5 * iqr)) | (q(c) < F.lit(q1 - 1.5 * iqr))).alias(f"o{c}"))
+        aggs += [F.avg(q(c)).alias(f"a{c}"), F.stddev_pop(q(c)).alias(f"s{c}"),
+                 F.min(q(c)).alias(f"l{c}"), F.max(q(c)).alias(f"h{c}")]
+    row = df.agg(*aggs).first()
+    params = {}
+    for c in cols:
+        q1, med, q3 = qs[c]
+        robust = robust_for_outliers and row[f"o{c}"] > 0
+        m = "robust" if robust else method
+        if m == "robust":
+            iqr = (q3 - q1) if q1 is not None else None
+            params[c] = (med, iqr if iqr else 1.0)
+        elif m == "standard":
+            params[c] = (row[f"a{c}"], row[f"s{c}"] if row[f"s{c}"] else 1.0)
+        elif m == "minmax":
+            lo, hi = row[f"l{c}"], row[f"h{c}"]
+            rng = (hi - lo) if (hi is not None and lo is not None) else None
+            params[c] = (lo, rng if rng else 1.0)
+        else:
+            raise ValueError(method)
     return apply_scaler(df, params)
 
 
