@@ -1,0 +1,22 @@
+"""Registered Structured Streaming query (optional capability; the reference has none)."""
+
+from __future__ import annotations
+
+from tidemark.plans.catalog import register
+from tidemark.plans.oracle import rounded
+from tidemark.streaming import trend_state as ts
+
+_SQL = """select entity, symptom, n, case when n > 1 then slope else 0.0 end as slope, last_value,
+       case when n > 1 then rc else 0.0 end as recent_change, case when n > 1 then mi else 0.0 end as max_increase from (
+  select entity, symptom, count(*) as n, regr_slope(value, t) as slope, arg_max(value, t) as last_value,
+         arg_max(d, t) filter (where d is not null) as rc, max(d) as mi from (
+    select user_id as entity, event_type as symptom, value, epoch_us(ts) / 86400e6 as t,
+           value - lag(value) over (partition by user_id, event_type order by ts) as d
+    from events where value is not null) e group by 1, 2) g"""
+
+
+@register("streaming_trend_state", rounded(_SQL, ["slope", "last_value", "recent_change", "max_increase"]))
+def q_stream_trend(spark, sf):
+    """Events replayed as a file stream (availableNow) through the per-key trend state."""
+    s = ts.trend_state_stream(ts.events_stream(spark, sf), "user_id", "ts", "event_type", "value")
+    return ts.run_to_table(spark, s, "streaming_trend_state")

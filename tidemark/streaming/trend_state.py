@@ -1,0 +1,99 @@
+"""Structured Streaming: per-entity symptom trend state (optional; the reference has no streams).
+
+Events ``(entity, ts, symptom, value)`` arrive as a stream.  ``applyInPandasWithState``
+keeps, per (entity, symptom), the sufficient statistics of the least-squares slope
+(n, sum t, sum v, sum t^2, sum t*v), the last value and time, the last and largest
+consecutive difference - a few numbers per key, never the series - and emits the
+current trend row for every key touched in a micro-batch (update mode).
+
+Within a micro-batch events are applied in event-time order; an event older than the
+key's last applied time is counted in the regression sums but not in the consecutive
+differences (documented late-data rule).  State is a fixed handful of numbers per key and
+is never evicted (no timeout: processing-time timeouts make availableNow runs spin on
+empty batches).
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from typing import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.session import ensure_checkpoint_dir
+
+OUT_SCHEMA = ("entity long, symptom string, n long, slope double, last_value double, "
+              "recent_change double, max_increase double")
+STATE_SCHEMA = ("n long, t0 double, st double, sv double, stt double, stv double, last_t double, last_v double, "
+                "last_d double, max_d double")
+
+
+def _update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.exists:
+        n, t0, st, sv, stt, stv, last_t, last_v, last_d, max_d = state.get
+    else:
+        n, t0, st, sv, stt, stv, last_t, last_v, last_d, max_d = 0, None, 0.0, 0.0, 0.0, 0.0, None, None, None, None
+    batch = pd.concat([p for p in pdfs if len(p)]).sort_values("t", kind="mergesort")
+    for t, v in zip(batch["t"].to_numpy(), batch["value"].to_numpy()):
+        if pd.isna(v):
+            continue
+        if t0 is None:
+            t0 = float(t)              # shift origin: keeps the slope sums well conditioned
+        x = t - t0
+        n += 1
+        st += x
+        sv += v
+        stt += x * x
+        stv += x * v
+        if last_t is None or t >= last_t:
+            if last_v is not None:
+                d = v - last_v
+                last_d = d
+                max_d = d if max_d is None else max(max_d, d)
+            last_t, last_v = t, v
+    state.update((n, t0, st, sv, stt, stv, last_t, last_v, last_d, max_d))
+    den = n * stt - st * st
+    slope = (n * stv - st * sv) / den if n > 1 and den != 0 else (None if n > 1 else 0.0)
+    yield pd.DataFrame([{"entity": key[0], "symptom": key[1], "n": n, "slope": slope, "last_value": last_v,
+                         "recent_change": last_d if n > 1 else 0.0, "max_increase": max_d if n > 1 else 0.0}])
+
+
+def trend_state_stream(events: DataFrame, entity_col: str, ts_col: str, symptom_col: str,
+                       value_col: str) -> DataFrame:
+    """Streaming DataFrame of per-(entity, symptom) trend rows; time unit = days."""
+    x = events.select(F.col(entity_col).cast("long").alias("entity"), F.col(symptom_col).alias("symptom"),
+                      (F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(86400e6)).alias("t"),
+                      F.col(value_col).cast("double").alias("value"))
+    return x.groupBy("entity", "symptom").applyInPandasWithState(
+        _update, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(spark: SparkSession, sdf: DataFrame, name: str) -> DataFrame:
+    """Drive a streaming query to completion (availableNow) into a memory table and read it.
+
+    The checkpoint goes under the shared checkpoint folder, so a restarted driver resumes
+    from the committed offsets and state.
+    """
+    base = ensure_checkpoint_dir(spark)
+    base = base[5:] if base.startswith("file:") else base
+    ckpt = tempfile.mkdtemp(prefix=f"stream-{name}-", dir=base if os.path.isdir(base) else None)
+    name = f"{name}_{os.path.basename(ckpt).replace('-', '_')}"      # unique per run
+    q = (sdf.writeStream.outputMode("update").format("memory").queryName(name)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    # update mode may emit a key more than once across batches: keep its latest row (largest n)
+    from pyspark.sql import Window
+    t = spark.table(name)
+    w = Window.partitionBy("entity", "symptom").orderBy(F.col("n").desc())
+    return t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    # the file source watches a directory; the glob keeps only the events file(s)
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", "events*.parquet").parquet(sf_dir.rstrip("/")))
