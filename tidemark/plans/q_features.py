@@ -243,3 +243,32 @@ def q_engineer(spark, sf):
     """Full chain on T (skew -> interactions -> one-hot -> scaling); rows check."""
     t = _T(spark, sf).drop("row_id")
     return fe.engineer_features(t, label_col="label", transform=False, pairs=[("qty", "n_lines")])
+
+
+def _knn_sql(k=5):
+    p = len(NUM)
+    z = "select row_id, " + ", ".join(
+        f"({c} - (select avg({c}) from T)) / (select stddev_samp({c}) from T) as {c}" for c in NUM) + " from T"
+    r = "select * from Z where " + " or ".join(f"{c} is null" for c in NUM)
+    common = " + ".join(f"(r.{c} is not null and d.{c} is not null)::int" for c in NUM)
+    ss = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0)" for c in NUM)
+    pairs = (f"select r.row_id as rid, d.row_id as did, {common} as nc, {ss} as ss, "
+             + ", ".join(f"r.{c} is null as m_{c}, d.{c} as d_{c}" for c in NUM)
+             + " from R r join Z d on r.row_id <> d.row_id")
+    dist = f"select *, sqrt({float(p)} / nc * ss) as dist from PAIRS where nc > 0"
+    fills = []
+    for c in NUM:
+        fills.append((f"F_{c}", f"""select rid, avg(d_{c}) as f from (
+            select rid, d_{c}, row_number() over (partition by rid order by round(dist, 9), did) as rn
+            from DIST where m_{c} and d_{c} is not null) x where rn <= {k} group by rid"""))
+    body = ("select Z.row_id, " + ", ".join(
+        f"coalesce(Z.{c}, F_{c}.f, (select avg({c}) from Z)) as {c}" for c in NUM)
+        + " from Z " + " ".join(f"left join F_{c} on F_{c}.rid = Z.row_id" for c in NUM))
+    return rounded(with_fixtures(body, "T", extra=[("Z", z), ("R", r), ("PAIRS", pairs), ("DIST", dist)] + fills), NUM)
+
+
+@register("impute_knn", _knn_sql())
+def q_impute_knn(spark, sf):
+    """Exact 5-NN imputation on z-scored numerics (band-joined pivots, verified bounds);
+    the oracle is the brute-force all-pairs definition."""
+    return cl.impute_knn(_T(spark, sf).select("row_id", *NUM), "row_id", NUM, k=5)
