@@ -39,7 +39,18 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols = list(cols)
     if not cols:
         return {}
-    x = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)])
+    # the refinement makes several passes: keep just the needed columns (as doubles) instead
+    # of recomputing the input's lineage every pass; released before returning
+    from pyspark import StorageLevel
+    x = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)]) \
+          .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(x, cols, probs, limit, max_rounds)
+    finally:
+        x.unpersist()
+
+
+def _exact_quantiles(x: DataFrame, cols, probs, limit, max_rounds):
     names = [f"_q{i}" for i in range(len(cols))]
     # one job: counts and distinct estimates of every column
     row = x.agg(*[e for n in names for e in (F.count(n).alias(n), F.approx_count_distinct(n).alias(f"{n}_d"))]).first()

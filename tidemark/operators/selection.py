@@ -64,20 +64,28 @@ def variance_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, features: Sequence[str], upper_only: bool = False) -> DataFrame:
     """Pairwise-complete Pearson r for every pair in one aggregation -> (a, b, r).
 
-    Zero-variance pairs give null (Spark ANSI would raise; DuckDB gives NaN).
+    Only the upper triangle (and diagonal) is aggregated - r is symmetric - and mirrored in
+    the output.  Zero-variance pairs give null (Spark ANSI would raise; DuckDB gives NaN).
     """
     feats = list(features)
-    pairs = [(a, b) for i, a in enumerate(feats) for j, b in enumerate(feats) if (j > i if upper_only else True)]
+    pairs = [(a, b) for i, a in enumerate(feats) for j, b in enumerate(feats) if j >= i]
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
         aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"sx{i}"), F.stddev_pop(y).alias(f"sy{i}")]
     row = df.agg(*aggs)
-    cols = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                     F.when((F.col(f"sx{i}") > 0) & (F.col(f"sy{i}") > 0),
-                            F.col(f"c{i}") / (F.col(f"sx{i}") * F.col(f"sy{i}"))).alias("r"))
-            for i, (a, b) in enumerate(pairs)]
+    cols = []
+    for i, (a, b) in enumerate(pairs):
+        r = F.when((F.col(f"sx{i}") > 0) & (F.col(f"sy{i}") > 0), F.col(f"c{i}") / (F.col(f"sx{i}") * F.col(f"sy{i}")))
+        if a != b or not upper_only:
+            if not (upper_only and a == b):
+                cols.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r.alias("r")))
+        if a != b and not upper_only:
+            # mirrored cell: same statistic with the roles of x and y swapped
+            rm = F.when((F.col(f"sx{i}") > 0) & (F.col(f"sy{i}") > 0),
+                        F.col(f"c{i}") / (F.col(f"sy{i}") * F.col(f"sx{i}")))
+            cols.append(F.struct(F.lit(b).alias("feature_a"), F.lit(a).alias("feature_b"), rm.alias("r")))
     return row.select(F.explode(F.array(*cols)).alias("s")).select("s.*")
 
 
