@@ -39,15 +39,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols = list(cols)
     if not cols:
         return {}
-    # the refinement makes several passes: keep just the needed columns (as doubles) instead
-    # of recomputing the input's lineage every pass; released before returning
-    from pyspark import StorageLevel
-    x = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)]) \
-          .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _exact_quantiles(x, cols, probs, limit, max_rounds)
-    finally:
-        x.unpersist()
+    # each pass re-reads only the projected columns (parquet column pruning); measured
+    # faster here than caching the projection between passes
+    x = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)])
+    return _exact_quantiles(x, cols, probs, limit, max_rounds)
 
 
 def _exact_quantiles(x: DataFrame, cols, probs, limit, max_rounds):
