@@ -225,31 +225,51 @@ def search_params(train: DataFrame, features: Sequence[str], kind: str, grid: Ma
 
 
 def save_model(bundle: dict, path: str) -> str:
-    """PipelineModel (Spark format) + JSON sidecar with features/thresholds."""
-    PipelineModel(stages=[bundle["model"]]).write().overwrite().save(os.path.join(path, "spark"))
-    with open(os.path.join(path, "meta.json"), "w") as fh:
-        json.dump({"features": bundle["features"], "thresholds": {str(k): v for k, v in bundle["thresholds"].items()},
-                   "kind": bundle.get("kind")}, fh)
+    """PipelineModel (Spark format) + a JSON metadata file (features, thresholds, kind),
+    both written through Spark so ``path`` may be any shared filesystem URI."""
+    spark = bundle["model"].sparkSession if hasattr(bundle["model"], "sparkSession") else None
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    PipelineModel(stages=[bundle["model"]]).write().overwrite().save(f"{path}/spark")
+    meta = json.dumps({"features": bundle["features"], "kind": bundle.get("kind"),
+                       "thresholds": {str(k): v for k, v in bundle["thresholds"].items()}})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
     return path
 
 
-def load_model(path: str) -> dict:
-    if not os.path.exists(os.path.join(path, "meta.json")):
+def _read_meta(spark, path: str) -> dict:
+    rows = spark.read.text(f"{path}/meta").collect()          # one line
+    if not rows:
         raise FileNotFoundError(path)
-    with open(os.path.join(path, "meta.json")) as fh:
-        meta = json.load(fh)
-    pm = PipelineModel.load(os.path.join(path, "spark"))
+    return json.loads(rows[0][0])
+
+
+def load_model(path: str) -> dict:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    try:
+        meta = _read_meta(spark, path)
+    except Exception as e:  # noqa: BLE001 - a missing path raises, as the reference does
+        raise FileNotFoundError(path) from e
+    pm = PipelineModel.load(f"{path}/spark")
     return {"model": pm.stages[0], "features": meta["features"], "kind": meta.get("kind"),
             "thresholds": {int(k): v for k, v in meta["thresholds"].items()}}
 
 
 def load_model_registry(folder: str) -> dict[str, dict]:
-    """Every saved model under ``folder``, keyed by a prettified name."""
+    """Every saved model directly under ``folder`` (found through their metadata files),
+    keyed by a prettified name."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    try:
+        metas = spark.read.text(f"{folder.rstrip('/')}/*/meta").select(F.input_file_name().alias("f")).distinct()
+        dirs = sorted({r["f"].rsplit("/meta/", 1)[0] for r in metas.collect()})     # one row per model
+    except Exception:  # noqa: BLE001 - empty or missing folder
+        dirs = []
     out = {}
-    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-        p = os.path.join(folder, name)
-        if os.path.exists(os.path.join(p, "meta.json")):
-            out[name.replace("_", " ").title()] = load_model(p)
+    for d in dirs:
+        name = d.rstrip("/").rsplit("/", 1)[-1]
+        out[name.replace("_", " ").title()] = load_model(d)
     return out
 
 

@@ -8,8 +8,7 @@ aggregate expressions from each projected plan, so a projection costs only what
 
 from __future__ import annotations
 
-import os
-import tempfile
+import json
 
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ from tidemark.plans import oracle_longitudinal as ol
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.plans.q_labels import POL, _risk_case
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import scratch_path
 from tidemark.sources import cohort as co
 from tidemark.sources import tables as tb
 from tidemark.sources.policy import read_policy, write_policy
@@ -40,9 +39,7 @@ NUM = ["price", "acctbal", "qty", "n_lines", "disc"]
 
 
 def _scratch(spark, prefix):
-    base = ensure_checkpoint_dir(spark)
-    base = base[5:] if base.startswith("file:") else base
-    return tempfile.mkdtemp(prefix=prefix, dir=base if os.path.isdir(base) else None)
+    return scratch_path(spark, prefix)
 
 
 def _proj(sql, cols):
@@ -273,10 +270,10 @@ def q_thr_policy(spark, sf):
 def q_read_policy(spark, sf):
     """Policy written as JSON to the shared folder (class 3 moved to high risk), read back and
     applied to T's labels."""
-    path = os.path.join(_scratch(spark, "policy-"), "policy.json")
+    path = _scratch(spark, "policy-") + "/policy.json"
     cfg = POL.merged({"risk_levels": {"high_risk": [0, 1, 2, 3], "moderate_risk": [4, 5]}})
-    write_policy(cfg, path)
-    pol = read_policy(path)
+    write_policy(cfg, path, spark)
+    pol = read_policy(path, spark)
     t = lb.class_to_risk(tb.tabular(spark, sf).select(F.col("label").cast("long").alias("cls")), pol, "cls")
     return t.groupBy("cls", "risk_level").agg(F.count(F.lit(1)).alias("n"))
 
@@ -402,13 +399,14 @@ def q_metric_interval(spark, sf):
 
 @register("save_model")
 def q_save_model(spark, sf):
-    """Fit, persist (Spark ML format + JSON sidecar) and list the saved artefact."""
+    """Fit, persist (Spark ML format + JSON metadata, shared folder) and read the metadata back."""
     tr, _ = _train_test(spark, sf)
     b = md.fit_cost_sensitive(tr, NUM, POL, "decision_tree", optimise_thresholds=False, maxDepth=3)
     path = _scratch(spark, "saved-")
     md.save_model(b, path)
-    files = sorted(os.listdir(path))
-    return spark.createDataFrame([(f,) for f in files], "entry string")
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    return spark.createDataFrame([(meta["kind"], len(meta["features"]), len(meta["thresholds"]))],
+                                 "kind string, n_features bigint, n_thresholds bigint")
 
 
 @register("load_model_registry")
@@ -418,7 +416,7 @@ def q_registry(spark, sf):
     folder = _scratch(spark, "registry-")
     for kind, params in (("decision_tree", {"maxDepth": 3}), ("logistic", {"maxIter": 20})):
         b = md.fit_cost_sensitive(tr, NUM, POL, kind, optimise_thresholds=False, **params)
-        md.save_model(b, os.path.join(folder, f"{kind}_model"))
+        md.save_model(b, f"{folder}/{kind}_model")
     reg = md.load_model_registry(folder)
     return spark.createDataFrame([(n, b["kind"], len(b["features"])) for n, b in reg.items()],
                                  "name string, kind string, n_features bigint")

@@ -3,9 +3,6 @@ Spark ML training / scoring / persistence (rows checks)."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import round_cmp
@@ -16,7 +13,7 @@ from tidemark.operators import splits as sp
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.plans.q_labels import POL
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import scratch_path
 from tidemark.sources import tables as tb
 
 K = 8
@@ -231,10 +228,7 @@ def q_save_load(spark, sf):
     """Persist a fitted bundle to the shared checkpoint folder, reload it and score."""
     tr, te = _train_test(spark, sf)
     b = md.fit_cost_sensitive(tr, FEATS, POL, "decision_tree", optimise_thresholds=False, maxDepth=3)
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    path = tempfile.mkdtemp(prefix="model-", dir=base if os.path.isdir(base) else None)
+    path = scratch_path(spark, "model-")
     md.save_model(b, path)
     b2 = md.load_model(path)
     return md.predict_labels(b2, te, POL).select("row_id", "label", "y_pred")

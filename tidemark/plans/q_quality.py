@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality as qa
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.plans.q_labels import POL
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import scratch_path
 from tidemark.sources import cohort as co
 from tidemark.sources import tables as tb
 
@@ -153,9 +150,7 @@ def q_target_counts(spark, sf):
 def q_read_cohort(spark, sf):
     """Round trip: O written as CSV (nulls as the text None) to the shared folder, read back
     with the NA-string reader."""
-    base = ensure_checkpoint_dir(spark)
-    base = base[5:] if base.startswith("file:") else base
-    path = tempfile.mkdtemp(prefix="cohort-csv-", dir=base if os.path.isdir(base) else None)
+    path = scratch_path(spark, "cohort-csv-")
     o = tb.outcomes(spark, sf)
     o.fillna("None").write.mode("overwrite").option("header", True).csv(path)
     schema = "patient_id bigint, M6_Rem string, Y1_Rem string, Y1_Rem_6 string"
@@ -175,9 +170,7 @@ def q_rename(spark, sf):
 def q_write_table(spark, sf):
     """Parquet sink round trip of the early-warning table, partitioned by alert score."""
     from tidemark.operators.longitudinal import early_warning_features
-    base = ensure_checkpoint_dir(spark)
-    base = base[5:] if base.startswith("file:") else base
-    path = tempfile.mkdtemp(prefix="ew-", dir=base if os.path.isdir(base) else None)
+    path = scratch_path(spark, "ew-")
     ew = early_warning_features(tb.longitudinal(spark, sf), "patient_id", "t", tb.SYMPTOMS_L, tb.WARNING_SIGNS_L, 1.5)
     co.write_table(ew, path, "parquet", partition_by=["early_warning_score"])
     return spark.read.parquet(path)

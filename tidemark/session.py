@@ -48,3 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def scratch_path(spark: SparkSession, prefix: str) -> str:
+    """A fresh path under the shared checkpoint folder (any Hadoop filesystem URI).
+
+    Nothing is created here: Spark writers create the directory on the shared
+    filesystem, so no machine-local temporary folder is ever used on a cluster.
+    """
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{prefix}{uuid.uuid4().hex}"

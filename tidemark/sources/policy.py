@@ -195,8 +195,17 @@ def policy(preset: str = "code") -> Policy:
     raise ValueError(f"unknown policy preset {preset!r}")
 
 
-def read_policy(path: str | None) -> Policy:
-    """Read a policy file (.json / .yaml / .yml) merged over the code default; missing -> default."""
+def read_policy(path: str | None, spark: SparkSession | None = None) -> Policy:
+    """Read a policy file (.json / .yaml / .yml) merged over the code default; missing -> default.
+
+    With ``spark`` the file is read through Spark (any shared filesystem URI)."""
+    if spark is not None and path:
+        try:
+            text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())   # one file
+        except Exception:  # noqa: BLE001 - missing file falls back to the default
+            return Policy()
+        data = _parse(text, path)
+        return Policy(deep_merge(CODE_POLICY, data))
     if not path or not os.path.exists(path):
         return Policy()
     with open(path) as fh:
@@ -211,7 +220,23 @@ def read_policy(path: str | None) -> Policy:
     return Policy(deep_merge(CODE_POLICY, data))
 
 
-def write_policy(p: Policy, path: str) -> str:
+def _parse(text: str, path: str) -> dict:
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
+def write_policy(p: Policy, path: str, spark: SparkSession | None = None) -> str:
+    """Write JSON / YAML by extension; with ``spark`` through Spark (one text file under ``path``)."""
+    if spark is not None:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+            text = yaml.safe_dump(p.config, sort_keys=True)
+        else:
+            text = json.dumps(p.config, sort_keys=True)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return path
     with open(path, "w") as fh:
         if path.endswith((".yaml", ".yml")):
             import yaml

@@ -15,8 +15,6 @@ empty batches).
 
 from __future__ import annotations
 
-import os
-import tempfile
 from typing import Iterator
 
 import pandas as pd
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import scratch_path
 
 OUT_SCHEMA = ("entity long, symptom string, n long, slope double, last_value double, "
               "recent_change double, max_increase double")
@@ -78,10 +76,8 @@ def run_to_table(spark: SparkSession, sdf: DataFrame, name: str) -> DataFrame:
     The checkpoint goes under the shared checkpoint folder, so a restarted driver resumes
     from the committed offsets and state.
     """
-    base = ensure_checkpoint_dir(spark)
-    base = base[5:] if base.startswith("file:") else base
-    ckpt = tempfile.mkdtemp(prefix=f"stream-{name}-", dir=base if os.path.isdir(base) else None)
-    name = f"{name}_{os.path.basename(ckpt).replace('-', '_')}"      # unique per run
+    ckpt = scratch_path(spark, f"stream-{name}-")
+    name = f"{name}_{ckpt.rsplit('-', 1)[-1]}"                     # unique per run
     q = (sdf.writeStream.outputMode("update").format("memory").queryName(name)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
