@@ -16,9 +16,9 @@ aggregation:
    hash partitioning the window produced - no second shuffle.
 3. The feature tables are projections of those sufficient statistics.
 
-Hot entities: if an id may hold a huge share of the rows (``hot_rows`` set), its
-series is cut into time-ordered chunks of about ``hot_rows`` rows (approximate
-per-id quantiles of time).  Windows then run per (id, chunk), and the state that
+Hot entities: by default (``hot_rows=HOT_ROWS``; ``None`` disables the check) ids with
+more than ``hot_rows`` rows have their series cut into time-ordered chunks of about
+``hot_rows`` rows (approximate per-id quantiles of time); a per-id count finds them.  Windows then run per (id, chunk), and the state that
 crosses chunk borders (last value, observation offset, last run reset, last non-zero
 sign, id-level min/max/count) is carried by a small per-chunk summary table whose size
 is bounded by ``n_hot_ids * chunks`` and checked before it is broadcast.  No group is
@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from tidemark.functions.exprs import flag, last_by_time, row_max, row_mean, safe_div
 
 MAX_BROADCAST_ROWS = 2_000_000     # rows of a carried-state table we agree to broadcast
+HOT_ROWS = 2_000_000               # default: ids with more rows than this are split into time chunks
 MAX_CHUNKS_PER_ID = 1024
 
 
@@ -90,7 +91,7 @@ def _carry_join(frame: DataFrame, summary: DataFrame, n_rows_bound: int) -> Data
 
 
 def build_series(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
-                 tie_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
+                 tie_col: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Row-level ordered series state for each symptom (internal column names)."""
     p = len(symptoms)
     base = _base(df, id_col, time_col, symptoms, tie_col)
@@ -181,7 +182,7 @@ ENTROPY_MAX_BINS = 5
 
 
 def series_stats(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
-                 tie_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
+                 tie_col: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One ``groupBy(id)`` of sufficient statistics per symptom (internal names)."""
     p = len(symptoms)
     s = build_series(df, id_col, time_col, symptoms, tie_col, hot_rows)
@@ -318,7 +319,7 @@ def _index(symptoms):
 
 
 def symptom_trends(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
-                   tie_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
+                   tie_col: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per id and symptom: slope, volatility, recent change, max increase, last value."""
     st = series_stats(df, id_col, time_col, symptoms, tie_col, hot_rows)
     return _finish(st, id_col, _trend_cols(symptoms, _index(symptoms)))
@@ -326,7 +327,7 @@ def symptom_trends(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence
 
 def symptom_stability(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
                       min_observations: int = 3, tie_col: str | None = None,
-                      hot_rows: int | None = None) -> DataFrame:
+                      hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """cv, lag-1 autocorrelation, histogram entropy per symptom and their overall means."""
     st = series_stats(df, id_col, time_col, symptoms, tie_col, hot_rows)
     return _finish(st, id_col, _stability_cols(symptoms, _index(symptoms), min_observations))
@@ -334,7 +335,7 @@ def symptom_stability(df: DataFrame, id_col: str, time_col: str, symptoms: Seque
 
 def temporal_patterns(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
                       sudden_increase_threshold: float = 2.0, sustained_increase_min_periods: int = 2,
-                      tie_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
+                      tie_col: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Sudden / sustained increases and fluctuation per symptom plus per-id roll-ups."""
     st = series_stats(df, id_col, time_col, symptoms, tie_col, hot_rows)
     return _finish(st, id_col, _pattern_cols(symptoms, _index(symptoms), sudden_increase_threshold,
@@ -357,7 +358,7 @@ def latest_snapshot(df: DataFrame, id_col: str, time_col: str, columns: Sequence
 
 def early_warning_signs(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
                         warning_signs: Mapping[str, Sequence[str]], tie_col: str | None = None,
-                        hot_rows: int | None = None) -> DataFrame:
+                        hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Warning level / increase / alert / trend / trend alert per sign + early_warning_score."""
     st = series_stats(df, id_col, time_col, symptoms, tie_col, hot_rows)
     return _finish(st, id_col, _warning_cols(warning_signs, _index(symptoms)))
@@ -365,7 +366,7 @@ def early_warning_signs(df: DataFrame, id_col: str, time_col: str, symptoms: Seq
 
 def trend_feature_table(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
                         warning_signs: Mapping[str, Sequence[str]], min_observations: int = 3,
-                        tie_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
+                        tie_col: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Trends + warnings + stability + patterns in one window pass and one aggregation."""
     idx = _index(symptoms)
     st = series_stats(df, id_col, time_col, symptoms, tie_col, hot_rows)
@@ -379,7 +380,7 @@ RISK_WEIGHTS = {"early_warning_score": 2.0, "has_sudden_increases": 1.5, "has_su
 
 def early_warning_features(df: DataFrame, id_col: str, time_col: str, symptoms: Sequence[str],
                            warning_signs: Mapping[str, Sequence[str]], sudden_increase_threshold: float = 1.5,
-                           tie_col: str | None = None, hot_rows: int | None = None) -> DataFrame:
+                           tie_col: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Warnings + warning-sign patterns + relapse_risk_score on a 0-10 scale (not clipped).
 
     relapse = (2*early_warning_score + 1.5*has_sudden + 1*has_sustained) / 12.5 * 10.
