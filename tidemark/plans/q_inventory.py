@@ -57,7 +57,7 @@ def _reg_trend(stat):
 
     @register(f"trend_{stat}", _proj(ol.trends_sql(SYM), cols))
     def _q(spark, sf, _cols=cols):
-        return lg.symptom_trends(_L(spark, sf), "patient_id", "t", SYM).select(*_cols)
+        return lg.symptom_trends(_L(spark, sf), "patient_id", "t", SYM, hot_rows=None).select(*_cols)
     return _q
 
 
@@ -70,7 +70,7 @@ def _reg_stability(stat):
 
     @register(f"stability_{stat}", _proj(ol.stability_sql(SYM), cols))
     def _q(spark, sf, _cols=cols):
-        return lg.symptom_stability(_L(spark, sf), "patient_id", "t", SYM, 3).select(*_cols)
+        return lg.symptom_stability(_L(spark, sf), "patient_id", "t", SYM, 3, hot_rows=None).select(*_cols)
     return _q
 
 
@@ -82,7 +82,7 @@ _OVERALL = ["patient_id", "overall_cv", "overall_autocorr", "overall_entropy"]
 
 @register("stability_overall", _proj(ol.stability_sql(SYM), _OVERALL))
 def q_stab_overall(spark, sf):
-    return lg.symptom_stability(_L(spark, sf), "patient_id", "t", SYM, 3).select(*_OVERALL)
+    return lg.symptom_stability(_L(spark, sf), "patient_id", "t", SYM, 3, hot_rows=None).select(*_OVERALL)
 
 
 def _reg_pattern(key, stat):
@@ -90,7 +90,7 @@ def _reg_pattern(key, stat):
 
     @register(key, _proj(ol.patterns_sql(SYM), cols))
     def _q(spark, sf, _cols=cols):
-        return lg.temporal_patterns(_L(spark, sf), "patient_id", "t", SYM).select(*_cols)
+        return lg.temporal_patterns(_L(spark, sf), "patient_id", "t", SYM, hot_rows=None).select(*_cols)
     return _q
 
 
@@ -105,7 +105,7 @@ _SUMMARY = ["patient_id", "n_sudden_increases", "n_sustained_increases", "n_fluc
 
 @register("pattern_summary", _proj(ol.patterns_sql(SYM), _SUMMARY))
 def q_pattern_summary(spark, sf):
-    return lg.temporal_patterns(_L(spark, sf), "patient_id", "t", SYM).select(*_SUMMARY)
+    return lg.temporal_patterns(_L(spark, sf), "patient_id", "t", SYM, hot_rows=None).select(*_SUMMARY)
 
 
 def _reg_warning(key, kinds):
@@ -113,7 +113,7 @@ def _reg_warning(key, kinds):
 
     @register(key, _proj(ol.warnings_sql(SYM, SIGNS), cols))
     def _q(spark, sf, _cols=cols):
-        return lg.early_warning_signs(_L(spark, sf), "patient_id", "t", SYM, SIGNS).select(*_cols)
+        return lg.early_warning_signs(_L(spark, sf), "patient_id", "t", SYM, SIGNS, hot_rows=None).select(*_cols)
     return _q
 
 
@@ -124,7 +124,7 @@ _reg_warning("warning_trend", ["trend", "trend_alert"])
 
 @register("early_warning_score", _proj(ol.warnings_sql(SYM, SIGNS), ["patient_id", "early_warning_score"]))
 def q_ews(spark, sf):
-    return lg.early_warning_signs(_L(spark, sf), "patient_id", "t", SYM, SIGNS).select("patient_id",
+    return lg.early_warning_signs(_L(spark, sf), "patient_id", "t", SYM, SIGNS, hot_rows=None).select("patient_id",
                                                                                         "early_warning_score")
 
 
@@ -133,7 +133,7 @@ _RR = ["patient_id", "early_warning_score", "has_sudden_increases", "has_sustain
 
 @register("relapse_risk_score", _proj(ol.early_warning_sql(SYM, SIGNS, 1.5), _RR))
 def q_relapse(spark, sf):
-    return lg.early_warning_features(_L(spark, sf), "patient_id", "t", SYM, SIGNS, 1.5).select(*_RR)
+    return lg.early_warning_features(_L(spark, sf), "patient_id", "t", SYM, SIGNS, 1.5, hot_rows=None).select(*_RR)
 
 
 # ---- sources / schema / cleaning ---------------------------------------------------

@@ -15,18 +15,22 @@ SIGNS = tb.WARNING_SIGNS_L
 
 
 def _L(spark, sf):
+    """L has one row per (id, day), so every id's series is bounded by the number of days
+    and the queries below pass ``hot_rows=None`` (no per-id count job).  The raw-event skew
+    is absorbed by L's map-side partial aggregation; the ``*_hot_split`` queries force the
+    chunked path to check it against the same oracle."""
     return tb.longitudinal(spark, sf)
 
 
 @register("early_warning_features", ol.early_warning_sql(SYM, SIGNS, 1.5))
 def q_early_warning(spark, sf):
     """Flagship: warnings + warning-sign patterns (tau=1.5) + relapse_risk_score."""
-    return lg.early_warning_features(_L(spark, sf), "patient_id", "t", SYM, SIGNS, 1.5)
+    return lg.early_warning_features(_L(spark, sf), "patient_id", "t", SYM, SIGNS, 1.5, hot_rows=None)
 
 
 @register("symptom_trends", ol.trends_sql(SYM))
 def q_trends(spark, sf):
-    return lg.symptom_trends(_L(spark, sf), "patient_id", "t", SYM)
+    return lg.symptom_trends(_L(spark, sf), "patient_id", "t", SYM, hot_rows=None)
 
 
 @register("symptom_trends_hot_split", ol.trends_sql(SYM))
@@ -37,12 +41,12 @@ def q_trends_hot(spark, sf):
 
 @register("symptom_stability", ol.stability_sql(SYM))
 def q_stability(spark, sf):
-    return lg.symptom_stability(_L(spark, sf), "patient_id", "t", SYM, min_observations=3)
+    return lg.symptom_stability(_L(spark, sf), "patient_id", "t", SYM, min_observations=3, hot_rows=None)
 
 
 @register("temporal_patterns", ol.patterns_sql(SYM))
 def q_patterns(spark, sf):
-    return lg.temporal_patterns(_L(spark, sf), "patient_id", "t", SYM)
+    return lg.temporal_patterns(_L(spark, sf), "patient_id", "t", SYM, hot_rows=None)
 
 
 @register("temporal_patterns_hot_split", ol.patterns_sql(SYM))
@@ -52,7 +56,7 @@ def q_patterns_hot(spark, sf):
 
 @register("early_warning_signs", ol.warnings_sql(SYM, SIGNS))
 def q_warnings(spark, sf):
-    return lg.early_warning_signs(_L(spark, sf), "patient_id", "t", SYM, SIGNS)
+    return lg.early_warning_signs(_L(spark, sf), "patient_id", "t", SYM, SIGNS, hot_rows=None)
 
 
 _SNAP_COLS = ", ".join(f"arg_max({s}, t) filter (where {s} is not null) as {s}" for s in SYM)
@@ -123,4 +127,4 @@ def q_timeline(spark, sf):
 @register("trend_feature_table")
 def q_trend_table(spark, sf):
     """Trends, warnings, stability and patterns in one pass (rows check; parts are SQL-checked)."""
-    return lg.trend_feature_table(_L(spark, sf), "patient_id", "t", SYM, SIGNS)
+    return lg.trend_feature_table(_L(spark, sf), "patient_id", "t", SYM, SIGNS, hot_rows=None)
