@@ -48,6 +48,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns."""
-    dropped = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    """The rows of ``docs`` that stay, all columns; an id goes when none of its rows stays."""
+    dropped = (exact_duplicates(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone"))
+               .agg(F.max("kept").alias("_kept")).filter(~F.col("_kept")).select("_gone"))
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_gone"]), "left_anti")

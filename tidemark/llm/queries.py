@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat_format, exact_dedup, quality, tokens, toxicity, url_filter
+from tidemark.llm import chat_format, decontaminate, exact_dedup, near_dedup, quality, tokens, toxicity, url_filter
 from tidemark.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), extra={"text_sha256": digest})
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,6 +39,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.page_outcomes(pages, read_table(spark, sf_dir, "labels")))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -48,8 +56,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_bpe_codec, op4_toxicity, op5_token_counts, op6_url_filter,
-                            op8_quality, op10_chat_format, pipeline)}
+    f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_bpe_codec, op4_toxicity, op5_token_counts, op6_url_filter,
+                            op7_near_dedup, op8_quality, op10_chat_format, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
