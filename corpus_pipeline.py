@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, quality, tokens
+from tidemark.llm import decontaminate, exact_dedup, near_dedup, quality, tokens
 from tidemark.llm.common import read_table
 from tidemark.session import scratch_path
 
@@ -20,6 +20,16 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents that are left, with digests of them and of what they decode to."""
     return tokens.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
@@ -28,6 +38,8 @@ def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_classifier),
     ("exact dedup", exact_duplicates),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
     ("BPE encoding and decoding", bpe_codec),
 ]
 
