@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat_format, decontaminate, exact_dedup, near_dedup, quality, tokens, toxicity, url_filter
+from tidemark.llm import chat_format, decontaminate, exact_dedup, near_dedup, quality, repeats, tokens, toxicity, url_filter
 from tidemark.llm.common import read_table
 
 
@@ -47,6 +47,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_bpe_codec, op4_toxicity, op5_token_counts, op6_url_filter,
-                            op7_near_dedup, op8_quality, op10_chat_format, pipeline)}
+                            op7_near_dedup, op8_quality, op9_suffix_dedup, op10_chat_format, pipeline)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
