@@ -1,9 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import near_dedup as N
-from tidemark.llm.bpe import Cache
 from tidemark.llm.components import components
 
 
@@ -12,10 +12,13 @@ def jaccard(a, b):
     return n / (len(a) + len(b) - n) if len(a) + len(b) else 1.0
 
 
+def units_of(texts):
+    return list(N.units_by_row(pa.array(texts, pa.string())))
+
+
 def classes_of(docs):
     """Smallest id of each row's class, by comparing all pairs."""
-    cache = Cache(N.word_hash)
-    units = [N.shingle_units(t or "", cache) for _, t in docs]
+    units = units_of([t for _, t in docs])
     root = list(range(len(docs)))
 
     def find(i):
@@ -40,7 +43,7 @@ def text_of(r, n):
 
 
 def test_signatures_agree_as_often_as_weighted_jaccard_says():
-    r, cache = random.Random(1), Cache(N.word_hash)
+    r = random.Random(1)
     for n, changes in ((40, 2), (400, 10), (3000, 200), (3000, 900)):
         agree, true = [], []
         for _ in range(12):
@@ -49,12 +52,23 @@ def test_signatures_agree_as_often_as_weighted_jaccard_says():
             b = list(a)
             for i in r.sample(range(len(b)), changes):
                 b[i] = "other"
-            ua, ub = (N.shingle_units(" ".join(x), cache) for x in (a, b))
-            agree.append((N.signature(ua) == N.signature(ub)).mean())
+            ua, ub = units_of([" ".join(x) for x in (a, b)])
+            agree.append((N.signatures([ua])[0] == N.signatures([ub, ua])[0]).mean())
             true.append(jaccard(ua, ub))
         assert abs(np.mean(agree) - np.mean(true)) < 0.05
     for n in (1, 2, 5, 20_000):
-        assert (N.signature(N.shingle_units(" ".join(text_of(r, n)), cache)) != 0).all()
+        assert (N.signatures(units_of([" ".join(text_of(r, n))])) != 0).all()
+
+
+def test_words_by_row(monkeypatch):
+    r = random.Random(9)
+    texts = [None, "", "a", "A  b,c!", "É é x", "one two three four five six", " . ", *(" ".join(text_of(r, r.randint(0, 60))) for _ in range(50))]
+    whole = units_of(texts)
+    assert np.array_equal(units_of(["a B c"])[0], units_of(["A, b; C"])[0])
+    assert np.array_equal(units_of(["É x"])[0], units_of(["é x"])[0])
+    assert [len(u) for u in whole[:7]] == [0, 0, 1, 1, 1, 2, 0]
+    monkeypatch.setattr(N, "RUN", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, units_of(texts), strict=True))
 
 
 def test_components(spark):

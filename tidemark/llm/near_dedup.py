@@ -3,8 +3,8 @@
 A text is a bag of five-word shingles.  Every unit of a shingle's weight is a region into which
 hashed darts fall, a Poisson number in each layer of rank, the same ones in every text that has the
 unit.  A text keeps the earliest dart of each of its coordinates, so two texts agree in a
-coordinate with the probability of their weighted Jaccard similarity.  Throwing only darts of
-rank up to about t (ln t + 2) / weight costs O(shingles + t log t).
+coordinate with the probability of their weighted Jaccard similarity.  Layers are thrown only
+until no coordinate is empty: O(shingles + t log t) darts for t coordinates.
 
 Texts of equal bags are one node.  Nodes that share a band of coordinates form a bucket; each is
 compared with its bucket's leader, not with all others, on its whole bag.  Buckets that then still
@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Cache
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import blocks_of, utf8_of
 from tidemark.llm.components import components, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -32,8 +32,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
 COORDINATES = BANDS * ROWS
 #: Borders of the layers of rank.
-LAYERS = (0.0, 0.25, 1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0)
+LAYERS = (0.0, *(2.0 ** k for k in range(-3, 13)))
+#: Leaders that a bucket with several components gets in a round, and bytes looked at together.
+LEADERS, RUN = 4, 1 << 20
+#: Bytes that words consist of.
+WORDLIKE = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+BASE = np.uint64(0xD1342543DE82EF95)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+NONE = np.uint64((1 << 64) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,64 +61,104 @@ def poisson(mean: float) -> np.ndarray:
     return np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(most)])
 
 
-def word_hash(piece: str) -> int:
-    """Hash of a word without case and outer punctuation."""
-    piece = piece.lower()
-    a, b = 0, len(piece)
-    while a < b and not piece[a].isalnum():
-        a += 1
-    while b > a and not piece[b - 1].isalnum():
-        b -= 1
-    return int.from_bytes(hashlib.blake2b(piece[a:b].encode("utf-8", "replace"), digest_size=8).digest(), "little")
-
-
-def shingle_units(text: str, cache: Cache, size: int = SHINGLE) -> np.ndarray:
+@functools.cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, and the value of each byte."""
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)]), dtype=np.uint64) for x in (BASE, inverse))
+    return up, down, mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLY)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word of lower-case bytes: runs of ASCII letters and digits and of
+    bytes beyond ASCII.  Hashes come from prefix sums of a polynomial modulo 2^64."""
+    up, down, value = powers(RUN)
+    inside = WORDLIKE[data].view(np.int8)
+    edge = np.flatnonzero(np.diff(inside, prepend=np.int8(0), append=np.int8(0)))
+    first, last = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[:len(data)], dtype=np.uint64)])
+    return first, mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def words_by_row(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """Word hashes of each row; rows are taken together up to half of ``RUN``, and a longer row is
+    cut where a word ends (a longer word: where the run ends)."""
+    for i, j in blocks_of(offsets, RUN // 2):
+        a, b = int(offsets[i]), int(offsets[j])
+        if b - a + j - i <= RUN:
+            spaced = np.full(b - a + j - i, 32, np.uint8)  # a space after each row keeps words apart
+            spaced[np.arange(b - a) + np.repeat(np.arange(j - i), np.diff(offsets[i:j + 1]))] = data[a:b]
+            first, h = word_hashes(spaced)
+            cut = np.searchsorted(first, offsets[i:j + 1] - a + np.arange(j - i + 1))
+            yield from (h[x:y] for x, y in zip(cut, cut[1:]))
+            continue
+        for k in range(i, j):
+            a, b, parts = int(offsets[k]), int(offsets[k + 1]), [np.zeros(0, np.uint64)]
+            while a < b:
+                end = min(a + RUN, b)
+                stops = np.flatnonzero(~WORDLIKE[data[a:end]]) if end < b else ()
+                end = a + int(stops[-1]) + 1 if len(stops) else end
+                parts.append(word_hashes(data[a:end])[1])
+                a = end
+            yield np.concatenate(parts)
+
+
+def units_of(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of (shingle, occurrence number), one for each unit of weight; a text of fewer
     words than a shingle is one shingle, and one without words none."""
-    words = text.split()
-    if not words:
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     n = max(len(h) - size + 1, 1)
     total = np.zeros(n, np.uint64)
     for i in range(min(size, len(h))):
         total = total * MULTIPLY + h[i:i + n]
     total = np.sort(mix(total))
-    start = np.flatnonzero(np.concatenate([[True], total[1:] != total[:-1]]))
+    same = total[1:] == total[:-1]
+    if not same.any():
+        return total
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
     occurrence = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    return np.sort(mix(total + occurrence.astype(np.uint64) * MULTIPLY))
+    return np.sort(np.where(occurrence > 0, mix(total + occurrence.astype(np.uint64) * MULTIPLY), total))
+
+
+def units_by_row(column: pa.Array) -> Iterator[np.ndarray]:
+    """Units of each text of a column, null as empty, case aside."""
+    return map(units_of, words_by_row(*utf8_of(pc.utf8_lower(pc.fill_null(column, "")))))
 
 
 def throw(units: np.ndarray, layer: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rank, name) of the darts that fall into the units' regions in a layer of rank."""
+    """(unit number, dart) of the darts that fall into the units' regions in a layer of rank; a dart's
+    value is its rank within the layer, and its name."""
     low, high = LAYERS[layer:layer + 2]
     seed = mix(units ^ mix(np.full(1, layer + 1, np.uint64) * MULTIPLY))
     count = np.searchsorted(poisson(high - low), unit(seed), side="right")
-    dart = np.repeat(seed, count)
-    number = np.arange(len(dart)) - np.repeat(np.cumsum(count) - count, count) + 1
-    dart = mix(dart + number.astype(np.uint64) * MULTIPLY)
-    return low + (high - low) * unit(dart), mix(dart)
-
-
-def signature(units: np.ndarray, t: int = COORDINATES) -> np.ndarray:
-    """The earliest dart of each coordinate."""
-    out, empty = np.zeros(t, np.uint64), np.ones(t, bool)
-    reach = t * (math.log(t) + 2) / len(units)
+    owner = np.repeat(np.arange(len(units)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + 1
+    return owner, mix(seed[owner] + number.astype(np.uint64) * MULTIPLY)
+
+
+def signatures(rows: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
+    """The earliest dart of each coordinate of each row (zeros for rows without units), layer by layer,
+    all rows together; a row is done when none of its coordinates is empty."""
+    size = np.array([len(r) for r in rows], np.int64)
+    out = np.zeros((len(rows), t), np.uint64)
+    empty = np.repeat(size > 0, t).reshape(len(rows), t)
+    units = np.concatenate([np.zeros(0, np.uint64), *rows])
+    of = np.repeat(np.arange(len(rows)), size)
     for layer in range(len(LAYERS) - 1):
-        rank, name = throw(units, layer)
-        near = rank <= reach  # mostly enough; what lies beyond fills coordinates that are still empty
-        for part in (near, ~near):
-            order = np.argsort(-rank[part], kind="stable")  # the earliest is written last
-            names = name[part][order]
-            place = (names % np.uint64(t)).astype(np.int64)
-            last = np.zeros(t, np.uint64)
-            hit = np.zeros(t, bool)
-            last[place], hit[place] = names, True
-            new = hit & empty
-            out[new] = last[new]
-            empty &= ~hit
-            if not empty.any():
-                return out
+        left = empty.any(axis=1)
+        if not left.any():
+            break
+        if not left.all():
+            live = left[of]
+            units, of = units[live], of[live]
+        owner, dart = throw(units, layer)
+        least = np.full(len(rows) * t, NONE)
+        np.minimum.at(least, of[owner] * t + (mix(dart) % np.uint64(t)).astype(np.int64), dart)
+        least = least.reshape(len(rows), t)
+        new = empty & (least != NONE)
+        out[new] = least[new]
+        empty &= ~new
     return out
 
 
@@ -121,47 +167,53 @@ def bag_of(units: np.ndarray) -> bytes:
     return hashlib.blake2b(units.tobytes(), digest_size=16).digest()
 
 
-def band_keys(sign: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of the signature."""
-    rows = sign.reshape(BANDS, ROWS)
-    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * MULTIPLY)
+def band_keys(signs: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature."""
+    rows = signs.reshape(-1, BANDS, ROWS)
+    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * MULTIPLY) + np.zeros((len(rows), 1), np.uint64)
     for i in range(ROWS):
-        key = mix(key * MULTIPLY + rows[:, i])
+        key = mix(key * MULTIPLY + rows[:, :, i])
     return key.view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = Cache(word_hash)
     for b in batches:
-        bags, bands = [], []
-        for text in texts_of(b.column(1)):
-            units = shingle_units(text, cache)
+        bags, bands, held = [], [], []
+
+        def flush():
+            bands.extend(k if len(u) else [] for k, u in zip(band_keys(signatures(held)), held))
+            held.clear()
+
+        for units in units_by_row(b.column(1)):
             bags.append(bag_of(units))
-            bands.append(band_keys(signature(units)) if len(units) else [])
+            held.append(units)
+            if len(units) > 50_000 or len(held) >= 256:
+                flush()
+        flush()
         yield pa.record_batch([b.column(0), pa.array(bags, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                               ["_id", "_bag", "_bands"])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = Cache(word_hash)
     for b in batches:
-        units = [shingle_units(text, cache) for text in texts_of(b.column(0))]
-        short = [(u >> np.uint64(32)).astype(np.uint32).view(np.int32) for u in units]
-        yield pa.record_batch([pa.array([bag_of(u) for u in units], pa.binary()), pa.array(short, pa.list_(pa.int32()))],
-                              ["_bag", "_units"])
+        bags, short = [], []
+        for units in units_by_row(b.column(0)):
+            bags.append(bag_of(units))
+            short.append((units >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        yield pa.record_batch([pa.array(bags, pa.binary()), pa.array(short, pa.list_(pa.int32()))], ["_bag", "_units"])
 
 
-def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags have at least the similarity."""
+def verified(pairs: DataFrame, bags: DataFrame, similarity: float, *more: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags have at least the similarity, with the columns ``more``."""
     left = bags.select(F.col("_bag").alias("a"), F.col("_units").alias("ua"))
     right = bags.select(F.col("_bag").alias("b"), F.col("_units").alias("ub"))
-    # a pair whose sizes alone keep it below the similarity isn't compared
     shared = F.size(F.array_intersect("ua", "ub"))
     joined = pairs.join(left, "a").join(right, "b")
+    # a pair whose sizes alone keep it below the similarity isn't compared
     small, big = F.least(F.size("ua"), F.size("ub")), F.greatest(F.size("ua"), F.size("ub"))
     return (joined.filter(small >= similarity * big)
-            .select("a", "b", (shared / (F.size("ua") + F.size("ub") - shared)).alias("_j"))
-            .filter(F.col("_j") >= similarity).select("a", "b"))
+            .select("a", "b", *more, (shared / (F.size("ua") + F.size("ub") - shared)).alias("_j"))
+            .filter(F.col("_j") >= similarity).select("a", "b", *more))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
@@ -169,10 +221,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """One row per row of ``docs``: id, class_id (smallest id of its class), class_size, kept.
 
     Two texts are linked when the weighted Jaccard similarity of their bags of five-word shingles
-    (case and outer punctuation aside) is at least ``similarity``; a class is a component of links,
-    and its document with the smallest id is kept.  Null counts as empty; texts without words are
-    one class; a text of fewer than five words is one shingle.  Rows that repeat an id are one
-    document and stay or go together; a null id is above every id.  Other columns aren't read.
+    (case and punctuation aside) is at least ``similarity``; a class is a component of links, and
+    its document with the smallest id is kept.  Null counts as empty; texts without words are one
+    class; a text of fewer than five words is one shingle.  Rows that repeat an id are one document
+    and stay or go together; a null id is above every id.  Other columns aren't read.
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -188,28 +240,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     leader = buckets.groupBy("_key").agg(F.min("_bag").alias("b"))
     pairs = buckets.join(leader, "_key").select(F.col("_bag").alias("a"), "b").filter("a != b").distinct()
-    links = stored(verified(pairs, bags, similarity), "verified")
-    roots = components(links)
-    turn, tried = 0, 0
+    roots = components(verified(pairs, bags, similarity))
+
+    # buckets that hold several components: other leaders, compared with the members of the others
+    named = (buckets.join(roots, buckets["_bag"] == roots["node"], "left")
+             .select("_key", "_bag", F.coalesce("root", "_bag").alias("_root")))
+    turn = 0
     while True:
-        # buckets that hold several components: another leader, compared with the other components
-        turn += 1
-        named = (buckets.join(roots, buckets["_bag"] == roots["node"], "left")
-                 .select("_key", "_bag", F.coalesce("root", "_bag").alias("_root")))
-        again = named.groupBy("_key").agg(
-            F.min("_root").alias("_low"), F.max("_root").alias("_high"),
-            F.min(F.struct(F.xxhash64("_bag", F.lit(turn)).alias("h"), "_bag", "_root")).alias("_lead"))
-        again = again.filter("_low != _high").select("_key", F.col("_lead._bag").alias("b"), F.col("_lead._root").alias("_rb"))
-        more = (named.join(again, "_key").filter("_root != _rb")
-                .select(F.greatest("_bag", "b").alias("a"), F.least("_bag", "b").alias("b")).distinct())
-        new = stored(verified(more, bags, similarity), "verified")
-        found = new.count()
-        tried = 0 if found else tried + 1
-        if found:
-            links = links.unionByName(new)
-            roots = components(links)
-        if tried == 2:
+        several = (named.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
+                   .filter("_low != _high").select("_key"))
+        named = stored(named.join(several, "_key", "left_semi"), "open")
+        leads = named.groupBy("_key").agg(F.array(*[
+            F.min(F.struct(F.xxhash64("_bag", F.lit(turn * LEADERS + i)).alias("h"), F.col("_bag").alias("b"),
+                           F.col("_root").alias("rb"))) for i in range(LEADERS)]).alias("_leads"))
+        leads = leads.select("_key", F.explode("_leads").alias("_lead")).select("_key", "_lead.b", "_lead.rb")
+        more = (named.join(leads, "_key").filter("_root != rb")
+                .select(F.greatest("_bag", "b").alias("a"), F.least("_bag", "b").alias("b"),
+                        F.greatest("_root", "rb").alias("ra"), F.least("_root", "rb").alias("rb")).distinct())
+        found = stored(verified(more, bags, similarity, "ra", "rb"), "verified")
+        if found.isEmpty():
             break
+        turn += 1
+        joined = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        moved = joined.select(F.col("node").alias("_root"), F.col("root").alias("_new"))
+        named = named.join(moved, "_root", "left").select("_key", "_bag", F.coalesce("_new", "_root").alias("_root"))
+        # every node of the links gets its new root; a node that had no link until now was its own root
+        roots = stored(roots.withColumnRenamed("root", "_root").join(moved, "_root", "left")
+                       .select("node", F.coalesce("_new", "_root").alias("root"))
+                       .unionByName(moved.select(F.col("_root").alias("node"), F.col("_new").alias("root")))
+                       .distinct(), "roots")
 
     classes = rows.select("_id", "_bag").join(roots, rows["_bag"] == roots["node"], "left").select(
         "_id", F.coalesce("root", "_bag").alias("_root"))
