@@ -157,12 +157,17 @@ def q_read_cohort(spark, sf):
     return co.read_cohort(spark, path, schema)
 
 
+#: Each coded item holds price x its number in the list, so that a wrong or swapped name shows.
+_RENAMED = {f"{code}: {name}": n for n, (code, name) in enumerate(co.ITEM_NAMES.items(), 1)}
+
+
 @register("rename_items", rounded(with_fixtures(
-    'select row_id, price as "P1: Delusions", qty as "N1: Blunted affect", disc as "G2: Anxiety" from T', "T"),
-    ["P1: Delusions", "N1: Blunted affect", "G2: Anxiety"]))
+    "select row_id, " + ", ".join(f'price * {n} as "{name}"' for name, n in _RENAMED.items()) + " from T", "T"),
+    list(_RENAMED)))
 def q_rename(spark, sf):
-    t = tb.tabular(spark, sf).select("row_id", F.col("price").alias("M0_PANSS_P1"), F.col("qty").alias("M0_PANSS_N1"),
-                                     F.col("disc").alias("M0_PANSS_G2"))
+    """All 30 coded items of a wide table get their descriptive names."""
+    t = tb.tabular(spark, sf).select("row_id", *[(F.col("price") * n).alias(f"M0_PANSS_{code}")
+                                                 for n, code in enumerate(co.ITEM_NAMES, 1)])
     return co.rename_items(t)
 
 

@@ -17,13 +17,13 @@ NA_STRINGS = ("", "NA", "NaN", "None", "null")
 
 # Coded item -> descriptive item name for the 30-item symptom scale.
 ITEM_NAMES = {
-    "P1": "Delusions", "P2": "Conceptual disorganization", "P3": "Hallucinatory behavior", "P4": "Excitement",
+    "P1": "Delusions", "P2": "Conceptual disorganization", "P3": "Hallucinatory behaviour", "P4": "Excitement",
     "P5": "Grandiosity", "P6": "Suspiciousness", "P7": "Hostility",
     "N1": "Blunted affect", "N2": "Emotional withdrawal", "N3": "Poor rapport",
     "N4": "Passive/apathetic social withdrawal", "N5": "Difficulty in abstract thinking",
     "N6": "Lack of spontaneity and flow of conversation", "N7": "Stereotyped thinking",
     "G1": "Somatic concern", "G2": "Anxiety", "G3": "Guilt feelings", "G4": "Tension",
-    "G5": "Mannerisms and posturing", "G6": "Depression", "G7": "Motor retardation",
+    "G5": "Mannerisms & posturing", "G6": "Depression", "G7": "Motor retardation",
     "G8": "Uncooperativeness", "G9": "Unusual thought content", "G10": "Disorientation",
     "G11": "Poor attention", "G12": "Lack of judgment and insight", "G13": "Disturbance of volition",
     "G14": "Poor impulse control", "G15": "Preoccupation", "G16": "Active social avoidance",
