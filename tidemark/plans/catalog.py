@@ -39,4 +39,4 @@ def load_all() -> None:
     """Import every query module so that its @register decorators run."""
     from tidemark.plans import (q_longitudinal, q_labels, q_metrics, q_features,  # noqa: F401
                                 q_reports, q_selection, q_splits, q_quality, q_models, q_validation,
-                                q_streaming, q_inventory)
+                                q_inventory)

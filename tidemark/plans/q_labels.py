@@ -189,90 +189,3 @@ def q_rank_factors(spark, sf):
     row = t.agg(*[F.corr(f, F.col("label").cast("double")).alias(f) for f in feats])
     weights = row.unpivot([], feats, "feature", "weight")
     return lb.rank_risk_factors(weights, "feature", "weight", k=2).select("feature", "weight", "side", "rank")
-
-
-# ---------------------------------------------------------------------------
-# heuristic scorecard over inputs derived from T
-# ---------------------------------------------------------------------------
-
-from tidemark.operators import scorecard as sc  # noqa: E402
-
-
-def _sc_inputs(t):
-    return t.select(
-        "row_id",
-        (1 + F.pmod(F.floor(F.coalesce(F.col("qty"), F.lit(0.0))).cast("long"), F.lit(7))).alias("p1"),
-        (1 + F.pmod(F.floor(F.coalesce(F.col("n_lines"), F.lit(0.0))).cast("long"), F.lit(7))).alias("g12"),
-        (1 + F.pmod(F.floor(F.coalesce(F.col("price"), F.lit(0.0)) / 1000).cast("long"), F.lit(7))).alias("n4"),
-        (1 + F.pmod(F.floor(F.abs(F.coalesce(F.col("acctbal"), F.lit(0.0)))).cast("long"), F.lit(7))).alias("g16"),
-        (F.col("status") == "F").cast("int").alias("sleep_disturbance"),
-        F.col("priority").isin("1-URGENT", "2-HIGH").cast("int").alias("social_withdrawal"),
-        (F.col("segment") == "MACHINERY").cast("int").alias("suspiciousness"),
-        (F.coalesce(F.col("disc"), F.lit(0.0)) > 0.06).cast("int").alias("med_adherence"),
-        (F.coalesce(F.col("n_lines"), F.lit(0.0)) >= 6).cast("int").alias("thought_disorder"))
-
-
-_SC_IN_SQL = """select row_id,
-    1 + cast(floor(coalesce(qty, 0)) as bigint) % 7 as p1, 1 + cast(floor(coalesce(n_lines, 0)) as bigint) % 7 as g12,
-    1 + cast(floor(coalesce(price, 0) / 1000) as bigint) % 7 as n4, 1 + cast(floor(abs(coalesce(acctbal, 0))) as bigint) % 7 as g16,
-    coalesce(cast(status = 'F' as int), 0) as f_sleep, cast(priority in ('1-URGENT', '2-HIGH') as int) as f_with,
-    cast(segment = 'MACHINERY' as int) as f_susp, cast(coalesce(disc, 0) > 0.06 as int) as f_med,
-    cast(coalesce(n_lines, 0) >= 6 as int) as f_thought from T"""
-
-
-def _sc_sql_profile(name):
-    pr = sc.PROFILES[name]
-    cnt = "cast(f_sleep + f_with + f_susp + f_med + f_thought as double)"
-    warn = f"least(1.0, {cnt} / 3)"
-    if pr.get("discrete"):
-        hr = f"(case when (((p1 - 1) / 6.0 + (g12 - 1) / 6.0 + {warn}) / 3) > 0.5 then 0.8 else 0.3 end)"
-        adh = "(case when f_med > 0 then 0.7 else 0.3 end)"
-        soc = "(case when (n4 + g16) / 2.0 > 4 then 0.3 else 0.7 end)"
-    else:
-        a, b, c = pr["hr_w"]
-        lo, hi = pr["hr_clamp"]
-        hr = f"greatest({lo}, least({hi}, ((p1 - 1) / 6.0 * {a} + (g12 - 1) / 6.0 * {b} + {warn} * {c}) / 3))"
-        lo, hi = pr["adh_clamp"]
-        adh = f"greatest({lo}, least({hi}, 1.0 - f_med / {pr['adh_div']}))"
-        s1, s2 = pr["soc_w"]
-        lo, hi = pr["soc_clamp"]
-        soc = f"greatest({lo}, least({hi}, 1.0 - ((n4 - 1) / 6.0 * {s1} + (g16 - 1) / 6.0 * {s2}) / 2))"
-    m = pr["high_mult"]
-    inv = 2 - m
-    mm, hm, lm = pr["mod_mult"], pr["mod_high_mult"], pr["low_mult"]
-    tiers = {
-        "high": [f"0.30 * hr * (1 - adh) * {m}", f"0.25 * hr * adh * {m}", f"0.20 * hr * {m}",
-                 f"0.10 * (1 - soc) * {inv}", f"0.05 * soc * {inv}", f"0.05 * adh * {inv}",
-                 f"0.03 * (1 - hr) * {inv}", f"0.02 * (1 - hr) * {inv}"],
-        "moderate": [f"0.15 * hr * (1 - adh) * {hm}", f"0.10 * hr * adh * {hm}", f"0.10 * hr * {hm}",
-                     f"0.15 * (1 - soc) * {mm}", f"0.15 * soc * {mm}", f"0.15 * adh * {mm}",
-                     "0.10 * (1 - hr)", "0.10 * (1 - hr)"],
-        "low": ["0.05 * hr * (1 - adh)", "0.05 * hr * adh", "0.05 * hr", "0.10 * (1 - soc)", "0.10 * soc",
-                "0.15 * adh", f"0.20 * (1 - hr) * {lm}", f"0.30 * (1 - hr) * {lm}"]}
-    raw = ", ".join(f"case tier when 'high' then {h} when 'moderate' then {md} else {lw} end as r{k}"
-                    for k, (h, md, lw) in enumerate(zip(tiers["high"], tiers["moderate"], tiers["low"])))
-    base = (f"select row_id, {hr} as hr, {adh} as adh, {soc} as soc, case when {cnt} >= 3 or p1 >= 5 or g12 >= 5 "
-            f"then 'high' when {cnt} >= 1 or p1 >= 3 or g12 >= 3 then 'moderate' else 'low' end as tier from SCI")
-    tot = " + ".join(f"r{k}" for k in range(8))
-    norm = ", ".join(f"r{k} / ({tot}) as p{k}" for k in range(8))
-    pcols = [f"p{k}" for k in range(8)]
-    am = "case " + " ".join(f"when p{k} = greatest({', '.join(pcols)}) then {k}" for k in range(8)) + " end"
-    return (f"select row_id, '{name}' as profile, tier as risk_tier, cast({am} as bigint) as y_pred, "
-            f"{', '.join(pcols)} from (select row_id, tier, {norm} from (select row_id, tier, {raw} from ({base}) b) c) d")
-
-
-@register("heuristic_scorecard", rounded(with_fixtures(
-    " union all ".join(_sc_sql_profile(p) for p in sc.PROFILES), "T", extra=[("SCI", _SC_IN_SQL)]),
-    [f"p{k}" for k in range(8)]))
-def q_scorecard(spark, sf):
-    """All four scorecard profiles over T-derived item ratings and warning flags."""
-    x = _sc_inputs(tb.tabular(spark, sf))
-    outs = []
-    for p in sc.PROFILES:
-        s = sc.heuristic_scorecard(x, p)
-        outs.append(s.select("row_id", F.lit(p).alias("profile"), "risk_tier", "y_pred",
-                             *[F.col("proba")[k].alias(f"p{k}") for k in range(8)]))
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    return u
