@@ -93,11 +93,10 @@ def test_policy_presets_and_validation(spark):
 def test_group_kfold_never_splits_groups(spark):
     rows = [(i, i % 37, (i * 7) % 4) for i in range(600)]
     df = spark.createDataFrame(rows, "row_id long, grp long, label long")
-    for mode in ("reference", "balanced"):
-        f = sp.balanced_group_kfold(df, "grp", "label", k=5, mode=mode)
-        per_group = f.groupBy("grp").agg(F.countDistinct("fold").alias("n")).collect()
-        assert all(r["n"] == 1 for r in per_group) and len(per_group) == 37
-        assert f.count() == 600
-    sizes = [r["count"] for r in sp.balanced_group_kfold(df, "grp", "label", k=5, mode="balanced")
-             .groupBy("fold").count().collect()]
-    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 20
+    f = sp.balanced_group_kfold(df, "grp", "label", k=5)
+    per_group = f.groupBy("grp").agg(F.countDistinct("fold").alias("n")).collect()
+    assert all(r["n"] == 1 for r in per_group) and len(per_group) == 37
+    assert f.count() == 600
+    sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 40
+

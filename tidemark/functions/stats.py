@@ -35,107 +35,88 @@ def _needed_ranks(n: int, probs: Sequence[float]) -> list[int]:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = 200_000,
-                    max_rounds: int = 12) -> dict[str, list[float | None]]:
+                    ) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles; each wanted rank has an open value range of its own, which is
+    narrowed until it holds at most ``limit`` distinct values, whatever the other ranks are."""
     cols = list(cols)
     if not cols:
         return {}
     # each pass re-reads only the projected columns (parquet column pruning); measured
     # faster here than caching the projection between passes
     x = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)])
-    return _exact_quantiles(x, cols, probs, limit, max_rounds)
-
-
-def _exact_quantiles(x: DataFrame, cols, probs, limit, max_rounds):
     names = [f"_q{i}" for i in range(len(cols))]
-    # one job: counts and distinct estimates of every column
-    row = x.agg(*[e for n in names for e in (F.count(n).alias(n), F.approx_count_distinct(n).alias(f"{n}_d"))]).first()
+    row = x.agg(*[F.count(n).alias(n) for n in names]).first()
     n_of = {n: int(row[n]) for n in names}
-    # state per column: lo (exclusive, None = -inf), hi (inclusive, None = +inf), below
-    state = {n: {"lo": None, "hi": None, "below": 0, "n_in": n_of[n], "ranks": _needed_ranks(n_of[n], probs),
-                 "distinct": int(row[f"{n}_d"])}
-             for n in names if n_of[n] > 0}
-
-    def in_range(n):
-        s = state[n]
-        c = F.col(n).isNotNull()
+    ranks = [(n, r) for n in names if n_of[n] for r in _needed_ranks(n_of[n], probs)]
+    # per rank: open range (lo, hi), rows below it and in it
+    state = {key: {"lo": None, "hi": None, "below": 0, "n_in": n_of[key[0]]} for key in ranks}
+    value: dict[tuple[str, int], float] = {}
+
+    def inside(key):
+        s, v = state[key], F.col(key[0])
+        c = v.isNotNull()
         if s["lo"] is not None:
-            c = c & (F.col(n) > F.lit(s["lo"]))
+            c = c & (v > F.lit(s["lo"]))
         if s["hi"] is not None:
-            c = c & (F.col(n) <= F.lit(s["hi"]))
+            c = c & (v < F.lit(s["hi"]))
         return c
 
-    for rnd in range(max_rounds):
-        if rnd > 0:
-            est = x.agg(*[F.approx_count_distinct(F.when(in_range(n), F.col(n))).alias(n) for n in state]).first()
-            for n in state:
-                state[n]["distinct"] = int(est[n])
-        todo = [n for n in state if state[n]["distinct"] > limit and not state[n].get("frozen")]
+    while True:
+        open_keys = [k for k in state if k not in value]
+        if not open_keys:
+            break
+        est = x.agg(*[F.approx_count_distinct(F.when(inside(k), F.col(k[0])), 0.05).alias(f"d{i}")
+                      for i, k in enumerate(open_keys)]).first()
+        todo = [k for i, k in enumerate(open_keys) if min(int(est[f"d{i}"]), state[k]["n_in"]) > limit]
         if not todo:
             break
         delta = 4.0 / ACCURACY
         aggs = []
-        for n in todo:
-            s = state[n]
-            rel_lo = max(0.0, (min(s["ranks"]) - s["below"]) / max(s["n_in"], 1) - delta)
-            rel_hi = min(1.0, (max(s["ranks"]) - s["below"]) / max(s["n_in"], 1) + delta)
-            aggs.append(F.percentile_approx(F.when(in_range(n), F.col(n)), [rel_lo, rel_hi], ACCURACY).alias(n))
-        qs = x.agg(*aggs).first()
-        cnt_aggs = []
-        for n in todo:
-            lo_new, hi_new = qs[n]
-            lo_c = F.col(n) <= F.lit(lo_new)
-            cnt_aggs += [F.count_if(in_range(n) & lo_c).alias(f"{n}_b"),
-                         F.count_if(in_range(n) & ~lo_c & (F.col(n) <= F.lit(hi_new))).alias(f"{n}_i")]
-        cn = x.agg(*cnt_aggs).first()
-        for n in todo:
-            s = state[n]
-            lo_new, hi_new = qs[n]
-            below2 = s["below"] + int(cn[f"{n}_b"])
-            n_in2 = int(cn[f"{n}_i"])
-            ok = below2 <= min(s["ranks"]) and max(s["ranks"]) < below2 + n_in2
-            if ok and n_in2 < s["n_in"]:
-                s.update(lo=lo_new, hi=hi_new, below=below2, n_in=n_in2)
-            else:
-                # approximate bounds missed (heavy duplicates): stop refining this column;
-                # the (value, count) ranking below handles duplicates
-                s["frozen"] = True
-
-    # final: one pass - every column's in-range values as (col, value) pairs, counted,
-    # then a cumulative count per column (at most ``limit`` distinct values each)
-    if not state:
-        return {c: [None] * len(probs) for c in cols}
-    pairs = F.array(*[F.when(in_range(n), F.struct(F.lit(n).alias("col"), F.col(n).alias("v"))) for n in state])
-    u = (x.select(F.explode(F.filter(pairs, lambda e: e.isNotNull())).alias("e"))
-          .groupBy(F.col("e.col").alias("col"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+        for i, k in enumerate(todo):
+            at = (k[1] - state[k]["below"]) / max(state[k]["n_in"], 1)
+            aggs.append(F.percentile_approx(F.when(inside(k), F.col(k[0])), [max(0.0, at - delta), min(1.0, at + delta)],
+                                            ACCURACY).alias(f"p{i}"))
+        cuts = x.agg(*aggs).first()
+        counts = []
+        for i, k in enumerate(todo):
+            (a, b), v, own = cuts[f"p{i}"], F.col(k[0]), inside(k)
+            counts += [F.count_if(own & c).alias(f"c{i}_{j}") for j, c in enumerate(
+                (v < F.lit(a), v == F.lit(a), (v > F.lit(a)) & (v < F.lit(b)), (v == F.lit(b)) & F.lit(b != a), v > F.lit(b)))]
+        got = x.agg(*counts).first()
+        for i, k in enumerate(todo):
+            (a, b), s = cuts[f"p{i}"], state[k]
+            below = s["below"]
+            for j, (lo, hi) in enumerate(((s["lo"], a), (a, a), (a, b), (b, b), (b, s["hi"]))):
+                n = int(got[f"c{i}_{j}"])
+                if below <= k[1] < below + n:
+                    if j in (1, 3):
+                        value[k] = lo
+                    else:
+                        s.update(lo=lo, hi=hi, below=below, n_in=n)
+                    break
+                below += n
+
+    # final: in-range values as (rank, value) pairs, counted, then a running count per rank over at
+    # most ``limit`` distinct values
+    left = [k for k in state if k not in value]
+    if left:
+        pairs = F.array(*[F.when(inside(k), F.struct(F.lit(i).alias("k"), F.col(k[0]).alias("v")))
+                          for i, k in enumerate(left)])
+        u = (x.select(F.explode(F.filter(pairs, lambda e: e.isNotNull())).alias("e"))
+              .groupBy(F.col("e.k").alias("k"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+        w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        wanted = F.element_at(F.array(*[F.lit(k[1] - state[k]["below"]) for k in left]), F.col("k") + 1)
+        picked = (u.withColumn("cum", F.sum("c").over(w)).where((F.col("cum") > wanted) & (F.col("cum") - F.col("c") <= wanted))
+                  .select("k", "v").collect())                       # one row per rank
+        value |= {left[r["k"]]: r["v"] for r in picked}
+
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    w = Window.partitionBy("col").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("cum", F.sum("c").over(w))
-    wanted = []
-    for n, s in state.items():
-        for r in s["ranks"]:
-            wanted.append((n, r - s["below"]))
-    # rank r (0-based, relative to range) is the first value with cum > r
-    conds = None
-    for n, r in wanted:
-        c = (F.col("col") == n) & (F.col("cum") > r) & (F.col("cum") - F.col("c") <= r)
-        conds = c if conds is None else conds | c
-    picked = u.where(conds).select("col", "v", "cum", "c").collect()   # <= #cols x #ranks rows
-    val = {}
-    for n, r in wanted:
-        for rr in picked:
-            if rr["col"] == n and rr["cum"] > r and rr["cum"] - rr["c"] <= r:
-                val[(n, r)] = rr["v"]
-    for i, c in enumerate(cols):
-        n = f"_q{i}"
-        if n not in state:
-            continue
-        s = state[n]
-        N = n_of[n]
+    for n, c in zip(names, cols):
         for j, q in enumerate(probs):
-            pos = q * (N - 1)
-            k0, k1 = int(math.floor(pos)), int(math.ceil(pos))
-            v0, v1 = val[(n, k0 - s["below"])], val[(n, k1 - s["below"])]
-            result[c][j] = v0 + (pos - k0) * (v1 - v0)
+            if n_of[n]:
+                pos = q * (n_of[n] - 1)
+                k0, k1 = int(math.floor(pos)), int(math.ceil(pos))
+                result[c][j] = value[n, k0] + (pos - k0) * (value[n, k1] - value[n, k0])
     return result
 
 

@@ -153,8 +153,7 @@ def _pair_distance(cols: Sequence[str]):
 
 
 def impute_knn(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, bucket_size: int = 64,
-               max_edges: int = 4096, standardize: bool = True, max_rounds: int = 30,
-               start_radius: int = 4) -> DataFrame:
+               max_edges: int = 4096, standardize: bool = True, start_radius: int = 4) -> DataFrame:
     """k-NN imputation (uniform mean of the k nearest donors under nan-euclidean distance),
     exact, without emitting all pairs.
 
@@ -184,14 +183,14 @@ def impute_knn(df: DataFrame, id_col: str, cols: Sequence[str], k: int = 5, buck
     order = sorted([c for c in cols if agg[f"n_{c}"] > 0], key=lambda c: (-agg[f"n_{c}"], cols.index(c)))
     if all(agg[f"n_{c}"] in (0, agg["_n"]) for c in cols):
         return z.withColumnRenamed("_id", id_col)
-    fills = _knn_fill(z, cols, order, k, bucket_size, max_edges, max_rounds,
+    fills = _knn_fill(z, cols, order, k, bucket_size, max_edges,
                       {c: agg[f"m_{c}"] for c in cols}, start_radius)
     out = z.join(fills, "_id", "left").select(
         "_id", *[F.coalesce(F.col(c), F.col(f"_f_{c}")).alias(c) for c in cols])
     return out.withColumnRenamed("_id", id_col)
 
 
-def _knn_fill(z: DataFrame, cols, order, k, bucket_size, max_edges, max_rounds, col_means,
+def _knn_fill(z: DataFrame, cols, order, k, bucket_size, max_edges, col_means,
               start_radius: int = 4) -> DataFrame:
     """(_id, _f_<col>...) fills for every receiver row (see ``impute_knn``)."""
     import math
@@ -211,13 +210,10 @@ def _knn_fill(z: DataFrame, cols, order, k, bucket_size, max_edges, max_rounds,
                                             *[bucket(j, j).alias(f"rb_{j}") for j in order])
     D = z.select(*[F.col(x).alias(f"d_{x}") for x in ["_id"] + cols],
                  *[bucket(j, j).alias(f"db_{j}") for j in order])
-    import os
-    import time
     from tidemark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(z.sparkSession)
-    debug = os.environ.get("TIDEMARK_KNN_DEBUG")
     pending, results, rho = R, [], max(1, int(start_radius))
-    for _ in range(max_rounds):
+    while True:  # the band doubles until it holds every bucket, so each cell is resolved in the end
         cands = None
         for m, j in enumerate(order):
             keys = F.sequence(F.col(f"rb_{j}") - rho, F.col(f"rb_{j}") + rho)
@@ -259,8 +255,6 @@ def _knn_fill(z: DataFrame, cols, order, k, bucket_size, max_edges, max_rounds,
         # unresolved cells of a receiver: at most p column names
         left = chk.where(~F.col("_ok")).groupBy("r__id").agg(F.collect_list("_col").alias("_left"))
         n_left = chk.where(~F.col("_ok")).count()
-        if debug:
-            print(f"knn round rho={rho} unresolved cells={n_left} t={time.time():.1f}", flush=True)
         if n_left == 0:
             break
         pending = (pending.join(left, "r__id", "inner").withColumn("_todo", F.col("_left")).drop("_left")

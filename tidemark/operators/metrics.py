@@ -205,6 +205,13 @@ def score_counts(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_tr
         F.count_if(pos).cast("long").alias("n_pos"), F.count_if(~pos).cast("long").alias("n_neg"))
 
 
+def with_totals(sc: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Scores with their class's positives and negatives: one row per class, summed with partial
+    aggregates and joined back, so that a class isn't gathered for a window."""
+    totals = sc.groupBy("cls").agg(F.sum("n_pos").alias("_P"), F.sum("n_neg").alias("_N"))
+    return sc.join(totals, "cls"), F.col("_P"), F.col("_N")
+
+
 def auc_per_class(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_true") -> DataFrame:
     """Exact tie-aware one-vs-rest ROC AUC per class; 0.5 if a class lacks positives or negatives."""
     sc = prefix_sums(score_counts(p_long, cls_col, score_col, true_col), ["cls"], "score", ["n_neg"])
@@ -232,7 +239,7 @@ def risk_adjusted_auc(p_long: DataFrame, policy: Policy, cls_col="cls", score_co
 
 
 def roc_points(scored: DataFrame, score_col="score", true_col="y_true", cls_col: str | None = None) -> DataFrame:
-    """FPR/TPR at every distinct score threshold (p >= s predicted positive), plus the origin.
+    """FPR/TPR at every distinct score threshold (p >= s predicted positive).
 
     ``cls_col`` given -> one curve per class of a long-form frame; else binary 0/1 labels.
     """
@@ -243,8 +250,7 @@ def roc_points(scored: DataFrame, score_col="score", true_col="y_true", cls_col:
         base = scored.select(F.col(cls_col).cast("long").alias("cls"), F.col(score_col).alias("p"),
                              F.col(true_col).cast("long").alias("y_true"))
     sc = prefix_sums(score_counts(base), ["cls"], "score", ["n_pos", "n_neg"])
-    tot = Window.partitionBy("cls")
-    P, N = F.sum("n_pos").over(tot), F.sum("n_neg").over(tot)
+    sc, P, N = with_totals(sc)
     pts = sc.select("cls", F.col("score").alias("threshold"),
                     safe_div(N - F.col("n_neg_before"), N).alias("fpr"),
                     safe_div(P - F.col("n_pos_before"), P).alias("tpr"))
@@ -256,8 +262,7 @@ def pr_points(scored: DataFrame, score_col="score", true_col="y_true") -> DataFr
     base = scored.select(F.lit(1).cast("long").alias("cls"), F.col(score_col).alias("p"),
                          F.col(true_col).cast("long").alias("y_true"))
     sc = prefix_sums(score_counts(base), ["cls"], "score", ["n_pos", "n_neg"])
-    tot = Window.partitionBy("cls")
-    P, N = F.sum("n_pos").over(tot), F.sum("n_neg").over(tot)
+    sc, P, N = with_totals(sc)
     tp = P - F.col("n_pos_before")
     fp = N - F.col("n_neg_before")
     return sc.select(F.col("score").alias("threshold"), safe_div(tp, tp + fp).alias("precision"),
@@ -268,8 +273,7 @@ def precision_at_level(p_long: DataFrame, level: float = 0.3, cls_col="cls", sco
                        true_col="y_true") -> DataFrame:
     """Per class: precision / recall at the observed score nearest ``level`` (lowest on ties)."""
     sc = prefix_sums(score_counts(p_long, cls_col, score_col, true_col), ["cls"], "score", ["n_pos", "n_neg"])
-    tot = Window.partitionBy("cls")
-    P, N = F.sum("n_pos").over(tot), F.sum("n_neg").over(tot)
+    sc, P, N = with_totals(sc)
     tp, fp = P - F.col("n_pos_before"), N - F.col("n_neg_before")
     x = sc.select("cls", "score", safe_div(tp, tp + fp).alias("precision"), safe_div(tp, P).alias("recall"),
                   F.abs(F.col("score") - F.lit(level)).alias("dist"), P.alias("P"))

@@ -142,49 +142,18 @@ def thirty_row_window(df: DataFrame, order_col: str, id_col: str, head: int = 10
     return y.where(sel).select(*df.columns, F.col("_rank").cast("long").alias("position"))
 
 
-GREEDY_GROUP_CAP = 500_000
+def balanced_group_kfold(df: DataFrame, group_col: str, label_col: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """Groups never split across folds, dealt evenly by main class and size.
 
-
-def balanced_group_kfold(df: DataFrame, group_col: str, label_col: str, k: int = 5, mode: str = "reference",
-                         cap: int = GREEDY_GROUP_CAP, seed: int = SEED) -> DataFrame:
-    """Groups never split across folds; largest group first.  ``mode='reference'``: each
-    group goes to the fold whose class shares would have the smallest population variance
-    (first fold on ties - fold size is ignored, so folds can stay empty, as observed).
-    ``mode='balanced'``: the smallest fold wins, class-share variance breaks ties.
-
-    Spark reduces the data to one row of class counts per group (partial aggregation);
-    the sequential greedy rule runs on the driver over those group rows (numpy, O(G*k*C)).
-    Only when there are more than ``cap`` groups are the smallest ones beyond the cap
-    assigned by a seeded hash instead (documented deviation).  The group -> fold table is
-    joined back (broadcast only when the group count is under the broadcast bound).
+    A group's stratum is its most frequent label (the smallest on ties) and the number of binary
+    digits of its row count, so groups of a stratum are alike and within a factor of two in size;
+    ranks in seeded md5 order inside the stratum deal them to the folds in turn, each stratum
+    starting one fold further.  One rule for any number of groups; only counts are shuffled.
     """
-    import numpy as np
-    classes = sorted(r[0] for r in df.select(label_col).distinct().collect())        # K labels
-    counts = df.groupBy(group_col).pivot(label_col, classes).count().na.fill(0)
-    counts = counts.withColumn("_size", sum([F.col(f"`{c}`") for c in classes], F.lit(0)))
-    n_groups = counts.count()
-    top = counts.orderBy(F.col("_size").desc(), F.col(group_col)).limit(cap)
-    rows = top.collect()                                                        # <= cap group rows
-    fold_counts = np.zeros((k, len(classes)))
-    assign = []
-    for r in rows:
-        g = np.array([r[str(c)] for c in classes], dtype=float)
-        cand = fold_counts + g
-        tot = cand.sum(axis=1, keepdims=True)
-        shares = np.divide(cand, tot, out=np.zeros_like(cand), where=tot > 0)
-        imb = np.where(tot[:, 0] > 0, shares.var(axis=1), 0.0)
-        if mode == "balanced":
-            order = np.lexsort((imb, fold_counts.sum(axis=1)))     # primary: fold size
-            f = int(order[0])
-        else:
-            f = int(np.argmin(imb))
-        fold_counts[f] += g
-        assign.append((r[group_col], f))
-    spark = df.sparkSession
-    gtype = df.schema[group_col].dataType.simpleString()
-    table = spark.createDataFrame(assign, f"{group_col} {gtype}, fold long")
-    joined = df.join(F.broadcast(table) if len(assign) <= 2_000_000 else table, group_col, "left")
-    if n_groups > cap:
-        fallback = F.pmod(F.xxhash64(F.col(group_col), F.lit(seed)), F.lit(k))
-        joined = joined.withColumn("fold", F.coalesce(F.col("fold"), fallback))
-    return joined
+    cells = df.groupBy(group_col, label_col).agg(F.count(F.lit(1)).alias("_n"))
+    groups = cells.groupBy(group_col).agg(
+        F.sum("_n").alias("_size"), F.max(F.struct("_n", (-F.col(label_col).cast("long")).alias("_l"))).alias("_top"))
+    groups = groups.select(group_col, (-F.col("_top._l")).alias("_main"), F.length(F.bin("_size")).alias("_digits"))
+    ranked = stratified_rank(groups, ["_main", "_digits"], group_col, seed)
+    folds = ranked.select(group_col, F.pmod(F.col("_rank") + F.col("_main") + F.col("_digits"), F.lit(k)).cast("long").alias("fold"))
+    return df.join(folds, group_col)
