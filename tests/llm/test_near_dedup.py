@@ -108,6 +108,26 @@ def test_against_all_pairs(spark):
     assert N.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_buckets_of_many_components(spark, monkeypatch):
+    """Texts that share a long passage fall into the same buckets; few of them are near to each other."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    r = random.Random(12)
+    passage = text_of(r, 120)
+    docs = []
+    for _ in range(40):
+        own = text_of(r, r.choice([25, 40, 60]))
+        for _ in range(r.choice([1, 1, 2, 3])):
+            copy = list(own)
+            for i in r.sample(range(len(copy)), r.choice([0, 1, 2, 4])):
+                copy[i] = f"x{r.randrange(1000)}"
+            docs.append(" ".join(passage + copy))
+    r.shuffle(docs)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["class_id"] for x in N.near_duplicates(df).collect()}
+    assert got == {d: c for (d, _), c in zip(docs, classes_of(docs))}
+
+
 def test_query_against_all_pairs(spark):
     from tidemark.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"

@@ -7,8 +7,9 @@ coordinate with the probability of their weighted Jaccard similarity.  Layers ar
 until no coordinate is empty: O(shingles + t log t) darts for t coordinates.
 
 Texts of equal bags are one node.  Nodes that share a band of coordinates form a bucket; each is
-compared with its bucket's leader, not with all others, on its whole bag.  Buckets that then still
-hold several components get other leaders, until a round finds no new link.
+compared with its bucket's leader on its whole bag.  In buckets that then still hold several
+components, members of different ones and of fitting sizes have their signatures compared in blocks, and
+pairs that agree in enough coordinates are compared on their whole bags.
 """
 
 from __future__ import annotations
@@ -33,8 +34,13 @@ BANDS, ROWS = 25, 4
 COORDINATES = BANDS * ROWS
 #: Borders of the layers of rank.
 LAYERS = (0.0, *(2.0 ** k for k in range(-3, 13)))
-#: Leaders that a bucket with several components gets in a round, and bytes looked at together.
-LEADERS, RUN = 4, 1 << 20
+#: Bytes looked at together; members of a block of a bucket, and units of all their bags.
+RUN, BLOCK, BLOCK_UNITS = 1 << 20, 256, 1 << 22
+#: What names a group of members that are compared in one place.
+GROUP = ["_key", "_class", "_i", "_j"]
+#: Standard deviations by which a signature's agreement may fall short of the similarity: at similarity
+#: 0.8, 60 coordinates of 100; a pair of that similarity has fewer about once in half a million.
+SHORT = 5.0
 #: Bytes that words consist of.
 WORDLIKE = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -178,10 +184,13 @@ def band_keys(signs: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags, bands, held = [], [], []
+        bags, bands, signs, sizes, held = [], [], [], [], []
 
         def flush():
-            bands.extend(k if len(u) else [] for k, u in zip(band_keys(signatures(held)), held))
+            s = signatures(held)
+            bands.extend(k if len(u) else [] for k, u in zip(band_keys(s), held))
+            signs.extend(x.tobytes() for x in s.astype(np.uint8))
+            sizes.extend(map(len, held))
             held.clear()
 
         for units in units_by_row(b.column(1)):
@@ -190,8 +199,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(units) > 50_000 or len(held) >= 256:
                 flush()
         flush()
-        yield pa.record_batch([b.column(0), pa.array(bags, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                              ["_id", "_bag", "_bands"])
+        yield pa.record_batch([b.column(0), pa.array(bags, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                               pa.array(signs, pa.binary()), pa.array(sizes, pa.int32())],
+                              ["_id", "_bag", "_bands", "_sign", "_size"])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +213,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(bags, pa.binary()), pa.array(short, pa.list_(pa.int32()))], ["_bag", "_units"])
 
 
-def verified(pairs: DataFrame, bags: DataFrame, similarity: float, *more: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags have at least the similarity, with the columns ``more``."""
+def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose bags have at least the similarity."""
     left = bags.select(F.col("_bag").alias("a"), F.col("_units").alias("ua"))
     right = bags.select(F.col("_bag").alias("b"), F.col("_units").alias("ub"))
     shared = F.size(F.array_intersect("ua", "ub"))
@@ -212,8 +222,108 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float, *more: str) -
     # a pair whose sizes alone keep it below the similarity isn't compared
     small, big = F.least(F.size("ua"), F.size("ub")), F.greatest(F.size("ua"), F.size("ub"))
     return (joined.filter(small >= similarity * big)
-            .select("a", "b", *more, (shared / (F.size("ua") + F.size("ub") - shared)).alias("_j"))
-            .filter(F.col("_j") >= similarity).select("a", "b", *more))
+            .select("a", "b", (shared / (F.size("ua") + F.size("ub") - shared)).alias("_j"))
+            .filter(F.col("_j") >= similarity).select("a", "b"))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two bags of unit hashes, each in order and without repeats."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
+def likely_pairs(signs: np.ndarray, bands: np.ndarray, sizes: np.ndarray, roots: np.ndarray, key: int,
+                 left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, agreement) of the pairs x in left and y in right, which are row numbers, that have different
+    roots, fitting sizes, enough agreeing coordinates, and ``key`` as the first band that they share."""
+    least = COORDINATES * similarity - SHORT * math.sqrt(COORDINATES * similarity * (1 - similarity))
+    size, other = sizes[left, None], sizes[None, right]
+    x, y = np.nonzero((roots[left, None] != roots[None, right])
+                      & (np.minimum(size, other) >= similarity * np.maximum(size, other)))
+    x, y, parts = left[x], right[y], []
+    for i in range(0, len(x), 8192):
+        p, q = x[i:i + 8192], y[i:i + 8192]
+        agree = (signs[p] == signs[q]).sum(axis=1)
+        near = agree >= least
+        p, q, agree = p[near], q[near], agree[near]
+        first = (bands[p] == bands[q]).argmax(axis=1)
+        here = bands[p, first] == key
+        parts.append(np.stack([p[here], q[here], agree[here]]))
+    return tuple(np.concatenate(parts, axis=1)) if parts else (x, y, x)
+
+
+def links_of(t: pa.Table, similarity: float) -> pa.RecordBatch:
+    """Links that join the components of a group of ``split_groups``: pairs in the order of their agreement,
+    compared on their whole bags unless links found before join them already."""
+    n, at = len(t), np.arange(len(t))
+    root, code = np.unique(np.array([r.hex() for r in t["_root"].to_pylist()]), return_inverse=True)
+    signs = np.frombuffer(b"".join(t["_sign"].to_pylist()), np.uint8).reshape(n, COORDINATES)
+    bands = t["_bands"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+    own, side = (t[c].to_numpy() for c in ("_own", "_side"))
+    # within a block its own members meet all; of two blocks, two visitors don't meet
+    meet = [(at[own], at)] if t["_i"][0] == t["_j"][0] else [(at[~side & own], at[side]), (at[~side & ~own], at[side & own])]
+    x, y, agree = (np.concatenate(c) for c in zip(*(
+        likely_pairs(signs, bands, t["_size"].to_numpy(), code, t["_key"][0].as_py(), p, q, similarity) for p, q in meet)))
+    to, units, found = list(range(len(root))), {}, []
+
+    def find(i: int) -> int:
+        while to[i] != i:
+            to[i] = i = to[to[i]]
+        return i
+
+    def units_at(i: int) -> np.ndarray:
+        if i not in units:
+            units[i] = np.unique(t["_units"][i].values.to_numpy())
+        return units[i]
+
+    for p, q in zip(*(c[np.argsort(-agree, kind="stable")].tolist() for c in (x, y))):
+        r, s = find(code[p]), find(code[q])
+        if r != s and jaccard(units_at(p), units_at(q)) >= similarity:
+            to[max(r, s)] = min(r, s)
+            found.append((bytes.fromhex(root[code[p]]), bytes.fromhex(root[code[q]])))
+    return pa.record_batch([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
+def _links(similarity: float):
+    """``links_of`` each group; rows of a group follow each other, maybe over batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.table(b) if rest is None else pa.concat_tables([rest, pa.table(b)])
+            group = np.stack([t[c].to_numpy() for c in GROUP])
+            edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()]
+            for i, j in zip(edges, edges[1:]):
+                if j - i > 1:
+                    yield links_of(t.slice(i, j - i), similarity)
+            rest = t.slice(edges[-1])
+        if rest is not None and len(rest) > 1:
+            yield links_of(rest, similarity)
+
+    return run
+
+
+def split_groups(members: DataFrame, similarity: float) -> DataFrame:
+    """Groups of members of a bucket (_key, _bag, _root, _size) in which all pairs of fitting sizes meet.
+
+    A member is in the group of its size class, and a visitor in that of the next one, which holds all
+    larger sizes that fit.  A group is split into blocks by hash, and each two blocks meet in one place,
+    so that no task holds more of a bucket than two blocks.
+    """
+    width = math.log(1.001 / similarity)
+    size_class = F.floor(F.log(F.col("_size").cast("double")) / F.lit(width))
+    sized = members.withColumn("_at", F.explode(F.array(
+        F.struct(size_class.alias("c"), F.lit(True).alias("own")),
+        F.struct((size_class + 1).alias("c"), F.lit(False).alias("own")))))
+    sized = sized.select("_key", F.col("_at.c").alias("_class"), F.col("_at.own").alias("_own"), "_bag", "_root", "_size")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("_size") / BLOCK_UNITS))
+    groups = (sized.groupBy("_key", "_class")
+              .agg(blocks.alias("_g"), F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.max("_own").alias("_any"))
+              .filter("_low != _high and _any").select("_key", "_class", "_g"))
+    return (sized.join(groups, ["_key", "_class"]).withColumn("_block", F.pmod(F.xxhash64("_bag"), F.col("_g")))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+            .select("_key", "_class", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
+                    (F.col("_block") > F.col("_other")).alias("_side"), "_own", "_bag", "_root"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
@@ -228,7 +338,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = stored(source.mapInArrow(_sketch, f"_id {kind}, _bag binary, _bands array<long>"), "sketches")
+    rows = stored(source.mapInArrow(_sketch, f"_id {kind}, _bag binary, _bands array<long>, _sign binary, _size int"), "sketches")
     nodes = rows.groupBy("_bag").agg(F.first("_bands").alias("_bands"))
     keys = nodes.select("_bag", F.explode("_bands").alias("_key"))
     shared = keys.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
@@ -242,33 +352,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     pairs = buckets.join(leader, "_key").select(F.col("_bag").alias("a"), "b").filter("a != b").distinct()
     roots = components(verified(pairs, bags, similarity))
 
-    # buckets that hold several components: other leaders, compared with the members of the others
+    # buckets that still hold several components: members of different ones, in groups of bounded size
     named = (buckets.join(roots, buckets["_bag"] == roots["node"], "left")
              .select("_key", "_bag", F.coalesce("root", "_bag").alias("_root")))
-    turn = 0
-    while True:
-        several = (named.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
-                   .filter("_low != _high").select("_key"))
-        named = stored(named.join(several, "_key", "left_semi"), "open")
-        leads = named.groupBy("_key").agg(F.array(*[
-            F.min(F.struct(F.xxhash64("_bag", F.lit(turn * LEADERS + i)).alias("h"), F.col("_bag").alias("b"),
-                           F.col("_root").alias("rb"))) for i in range(LEADERS)]).alias("_leads"))
-        leads = leads.select("_key", F.explode("_leads").alias("_lead")).select("_key", "_lead.b", "_lead.rb")
-        more = (named.join(leads, "_key").filter("_root != rb")
-                .select(F.greatest("_bag", "b").alias("a"), F.least("_bag", "b").alias("b"),
-                        F.greatest("_root", "rb").alias("ra"), F.least("_root", "rb").alias("rb")).distinct())
-        found = stored(verified(more, bags, similarity, "ra", "rb"), "verified")
-        if found.isEmpty():
-            break
-        turn += 1
-        joined = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        moved = joined.select(F.col("node").alias("_root"), F.col("root").alias("_new"))
-        named = named.join(moved, "_root", "left").select("_key", "_bag", F.coalesce("_new", "_root").alias("_root"))
-        # every node of the links gets its new root; a node that had no link until now was its own root
-        roots = stored(roots.withColumnRenamed("root", "_root").join(moved, "_root", "left")
-                       .select("node", F.coalesce("_new", "_root").alias("root"))
-                       .unionByName(moved.select(F.col("_root").alias("node"), F.col("_new").alias("root")))
-                       .distinct(), "roots")
+    several = (named.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
+               .filter("_low != _high").select("_key"))
+    marks = rows.groupBy("_bag").agg(*[F.first(c).alias(c) for c in ("_bands", "_sign", "_size")])
+    members = stored(named.join(several, "_key", "left_semi").join(marks.select("_bag", "_size"), "_bag"), "open")
+    groups = (split_groups(members, similarity).join(marks, "_bag").join(bags, "_bag")
+              .repartition(*GROUP).sortWithinPartitions(*GROUP)
+              .select(*GROUP, "_side", "_own", "_bag", "_root", "_bands", "_sign", "_size", "_units"))
+    joined = components(groups.mapInArrow(_links(similarity), "a binary, b binary"))
+    moved = joined.select(F.col("node").alias("_root"), F.col("root").alias("_new"))
+    # every node of the links gets its new root; a node that had no link until now was its own root
+    roots = stored(roots.withColumnRenamed("root", "_root").join(moved, "_root", "left")
+                   .select("node", F.coalesce("_new", "_root").alias("root"))
+                   .unionByName(moved.select(F.col("_root").alias("node"), F.col("_new").alias("root")))
+                   .distinct(), "roots")
 
     classes = rows.select("_id", "_bag").join(roots, rows["_bag"] == roots["node"], "left").select(
         "_id", F.coalesce("root", "_bag").alias("_root"))
