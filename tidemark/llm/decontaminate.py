@@ -103,24 +103,32 @@ class ItemIndex:
             yield i, b * w, (b + 2) * w - 1
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """(edits, end) of the best occurrence of the whole item in the text on diagonals low..high."""
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int | None = None) -> tuple[int, int]:
+    """(edits, end) of the best occurrence of the whole item in the text on diagonals low..high; with
+    ``most``, an occurrence of more edits may be given up early, with more than ``most`` edits."""
+    m, n = len(item), len(text)
     k = np.arange(high - low + 1)
-    far = len(item) + len(text) + 2
+    far = m + n + 2
     at = low + k  # text position before the first item byte
-    cost = np.where((at >= 0) & (at <= len(text)), 0, far)
-    for i, c in enumerate(item):
-        j = low + k + i  # the text byte that would match
-        inside = (j >= 0) & (j < len(text))
-        same = np.zeros(len(k), bool)
-        same[inside] = text[j[inside]] == c
-        step = np.where(inside, cost + ~same, far)
-        step[:-1] = np.minimum(step[:-1], cost[1:] + 1)  # item byte without a text byte
-        ends = (j + 1 >= 0) & (j + 1 <= len(text))
-        step = np.where(ends, step, far)
+    cost = np.where((at >= 0) & (at <= n), 0, far)
+    # the text byte that would match item byte i on diagonal k is near[i + k], and too far outside the text
+    first, last = max(low, 0), max(min(high + m, n), max(low, 0))
+    near, beyond = np.full(m + len(k), -1, np.int16), np.full(m + len(k), far)
+    near[first - low:last - low], beyond[first - low:last - low] = text[first:last], 0
+    outside = low < 0 or high + m > n
+    for i, c in enumerate(item.tolist()):
+        step = cost + (near[i:i + len(k)] != c)
+        if outside:
+            step += beyond[i:i + len(k)]
+        np.minimum(step[:-1], cost[1:] + 1, out=step[:-1])  # item byte without a text byte
+        if outside:
+            end = at + i + 1
+            step[(end < 0) | (end > n)] = far
         cost = np.minimum.accumulate(step - k) + k  # text bytes without an item byte
+        if most is not None and i % 8 == 7 and cost.min() > most:
+            return most + 1, 0  # costs never fall
     best = int(cost.argmin())
-    return int(cost[best]), min(max(low + best + len(item), 0), len(text))
+    return int(cost[best]), min(max(low + best + m, 0), n)
 
 
 def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> Iterator[tuple[int, int, int, int]]:
@@ -151,7 +159,7 @@ def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> Itera
                 while of < rows and offsets[of] < a + max(hi, lo + 1):
                     x, y = max(int(offsets[of]) - a, lo), min(int(offsets[of + 1]) - a, hi)
                     if y - x >= len(pattern) - index.edits[item]:
-                        edits, end = align(pattern, run[x:y], low - x, high - x)
+                        edits, end = align(pattern, run[x:y], low - x, high - x, int(index.edits[item]))
                         if edits <= index.edits[item]:
                             found = (edits, a + x + end - int(offsets[of]))
                             best[of, item] = min(best.get((of, item), found), found)
