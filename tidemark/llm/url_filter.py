@@ -2,8 +2,9 @@
 
 Outcomes of labelled pages are summed per host, and shrunk through beta-binomial priors: a
 suffix towards the overall rate, a registered domain towards its suffix, a host towards its
-domain.  How strongly is estimated at each level from the spread of its units (moments).  A page
-is blocked when the lower bound of its host's posterior bad rate passes a limit.
+domain.  How strongly is estimated at each level from the spread of its units (moments).  A host
+without labelled pages has its prior: the rate of its domain, else of its suffix, else overall.  A
+page is blocked when the lower bound of its host's posterior bad rate passes a limit.
 """
 
 from __future__ import annotations
@@ -63,10 +64,12 @@ def strength(units: DataFrame, mean: str) -> float:
 
 
 def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str = "bad",
-                    quantile: float = QUANTILE) -> DataFrame:
+                    quantile: float = QUANTILE, others: DataFrame | None = None) -> DataFrame:
     """Per host: _host, bad_rate (posterior mean), bad_bound (its lower bound).
 
     ``outcomes`` has a row per labelled page; bad is 0/1, and rows where it is null are left out.
+    ``others`` has a column _host, each host once: those without labelled pages are judged by their
+    prior alone.
     """
     hosts = (outcomes.filter(F.col(bad_col).isNotNull())
              .groupBy(F.coalesce(F.col(host_col), F.lit("")).alias("_host"))
@@ -86,8 +89,21 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
     suffixes, _ = shrunk(level(hosts, "_suffix", []).withColumn("_m0", F.lit(overall)), "_m0", "_m1")
     domains, _ = shrunk(level(hosts, "_domain", ["_suffix"]).join(suffixes.select("_suffix", "_m1"), "_suffix"),
                         "_m1", "_m2")
+    labelled = hosts
     hosts = hosts.join(domains.select("_domain", "_m2"), "_domain")
     hosts, t = shrunk(hosts, "_m2", "bad_rate")
+    hosts = hosts.select("_host", "_n", "bad_rate")
+    if others is not None:
+        # many hosts may share a domain, and most a suffix
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        unseen = (others.join(labelled.select("_host"), "_host", "left_anti")
+                  .select("_host", domain_of(F.col("_host")).alias("_domain"),
+                          F.pmod(F.xxhash64("_host"), F.lit(SALTS)).cast("int").alias("_salt"))
+                  .withColumn("_suffix", F.substring_index("_domain", ".", -1))
+                  .join(domains.select("_domain", "_m2", salt), ["_domain", "_salt"], "left")
+                  .join(suffixes.select("_suffix", "_m1", salt), ["_suffix", "_salt"], "left"))
+        hosts = hosts.unionByName(unseen.select("_host", F.lit(0.0).alias("_n"),
+                                                F.coalesce("_m2", "_m1", F.lit(overall)).alias("bad_rate")))
     sd = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("_n") + t + 1))
     return hosts.select("_host", "bad_rate", (F.col("bad_rate") - quantile * sd).alias("bad_bound"))
 
@@ -97,14 +113,16 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: flo
     """One row per page: id, host, path, rule, verdict.
 
     A null url, or one without '://', has an empty host and path.  The longest fitting rule
-    decides; else the host's reputation does, and a host without labelled pages is allowed.  Other
-    columns of ``pages`` are not read, and repeated rows are judged one by one.
+    decides; else the host's reputation does, which for a host without labelled pages is the prior
+    of its domain or suffix.  Other columns of ``pages`` are not read, and repeated rows are judged
+    one by one.
     """
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("_host"), path_of(url).alias("_path"))
     rule, action = rule_of(F.col("_host"), F.col("_path"), rules)
     judged = judged.select("*", rule.alias("_rule"), action.alias("_action"))
-    bad = (host_reputation(outcomes, quantile=quantile).filter(F.col("bad_bound") > max_bad)
+    others = judged.filter("_action is null").groupBy("_host").agg(F.lit(1)).select("_host")
+    bad = (host_reputation(outcomes, quantile=quantile, others=others).filter(F.col("bad_bound") > max_bad)
            .select("_host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.lit(True).alias("_bad")))
     return (judged.withColumn("_salt", F.pmod(F.xxhash64("_id", "_path"), F.lit(SALTS)).cast("int"))
             .join(bad, ["_host", "_salt"], "left")
