@@ -1,5 +1,6 @@
 """Exact quantiles, splits and label schemes."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -98,5 +99,30 @@ def test_group_kfold_never_splits_groups(spark):
     assert all(r["n"] == 1 for r in per_group) and len(per_group) == 37
     assert f.count() == 600
     sizes = [r["count"] for r in f.groupBy("fold").count().collect()]
-    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 40
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 20
+
+
+def test_group_kfold_keeps_null_groups_and_labels(spark):
+    rows = [(i, None if i % 3 == 0 else i % 23, None if i % 23 < 6 or i % 7 == 0 else (i * 7) % 4) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, grp long, label long")
+    cells = {}
+    for _, g, label in rows:
+        of = cells.setdefault(g, {})
+        of[label] = of.get(label, 0) + 1
+    strata = {}
+    for g, of in cells.items():
+        # most rows; on ties the smallest label, null last
+        main = min(of, key=lambda c: (-of[c], c is None, c or 0))
+        strata.setdefault((main, sum(of.values()).bit_length()), []).append(g)
+    want = {}
+    for (main, digits), groups in strata.items():
+        groups.sort(key=lambda g: hashlib.md5(("-42-" if g is None else f"{g}-42").encode()).hexdigest())
+        want.update({g: (r + (-1 if main is None else main) + digits) % 5 for r, g in enumerate(groups)})
+    f = sp.balanced_group_kfold(df, "grp", "label", k=5)
+    got = {r["row_id"]: (r["grp"], r["label"], r["fold"]) for r in f.collect()}
+    assert f.count() == 900 and got == {i: (g, label, want[g]) for i, g, label in rows}
+    s = sp.train_test_split(df, "row_id", "label", 0.3)
+    assert s.count() == 900
+    n = sum(label is None for _, _, label in rows)
+    assert s.filter("label is null and split = 'test'").count() == int(np.ceil(0.3 * n))
 

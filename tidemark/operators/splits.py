@@ -27,21 +27,31 @@ def order_key(id_col: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null: the keys, then left's and right's other columns."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(named, same, how).select(*keys, *[c for c in [*left.columns, *right.columns] if c not in keys])
+
+
 def stratified_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: int = SEED,
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds ``_rank`` (0-based, by md5 order within stratum) and ``_n`` (stratum size)."""
+    """Adds ``_rank`` (0-based, by md5 order within stratum) and ``_n`` (stratum size).  Null is a
+    stratum like any other, and a null id has an order key of its own."""
     strata = list(strata)
-    key = order_key(id_col, seed)
+    key = F.coalesce(order_key(id_col, seed), F.md5(F.lit(f"-{seed}-")))
     u = F.conv(F.substring(key, 1, HEX_PREFIX), 16, 10).cast("double") / float(16 ** HEX_PREFIX)
     counts = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_bucket))).cast("long"))
     # one row per stratum: small (strata are label / risk levels / folds)
-    x = df.withColumn("_key", key).join(F.broadcast(counts), strata, "inner") \
-          .withColumn("_b", F.least(F.floor(u * F.col("_nb")), F.col("_nb") - 1).cast("long"))
+    x = null_safe_join(df.withColumn("_key", key), F.broadcast(counts), strata) \
+        .withColumn("_b", F.least(F.floor(u * F.col("_nb")), F.col("_nb") - 1).cast("long"))
     bt = x.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     wb = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
-    x = x.join(F.broadcast(bt), strata + ["_b"], "inner")
+    x = null_safe_join(x, F.broadcast(bt), strata + ["_b"])
     w = Window.partitionBy(*strata, "_b").orderBy("_key")
     return x.withColumn("_rank", F.col("_off") + F.row_number().over(w) - 1).drop("_b", "_off", "_nb", "_key")
 
@@ -148,12 +158,14 @@ def balanced_group_kfold(df: DataFrame, group_col: str, label_col: str, k: int =
     A group's stratum is its most frequent label (the smallest on ties) and the number of binary
     digits of its row count, so groups of a stratum are alike and within a factor of two in size;
     ranks in seeded md5 order inside the stratum deal them to the folds in turn, each stratum
-    starting one fold further.  One rule for any number of groups; only counts are shuffled.
+    starting one fold further.  One rule for any number of groups; only counts are shuffled.  Rows
+    without a group are one group, and null is a class like any other.
     """
     cells = df.groupBy(group_col, label_col).agg(F.count(F.lit(1)).alias("_n"))
     groups = cells.groupBy(group_col).agg(
         F.sum("_n").alias("_size"), F.max(F.struct("_n", (-F.col(label_col).cast("long")).alias("_l"))).alias("_top"))
     groups = groups.select(group_col, (-F.col("_top._l")).alias("_main"), F.length(F.bin("_size")).alias("_digits"))
     ranked = stratified_rank(groups, ["_main", "_digits"], group_col, seed)
-    folds = ranked.select(group_col, F.pmod(F.col("_rank") + F.col("_main") + F.col("_digits"), F.lit(k)).cast("long").alias("fold"))
-    return df.join(folds, group_col)
+    first = F.coalesce(F.col("_main"), F.lit(-1)) + F.col("_digits")
+    folds = ranked.select(group_col, F.pmod(F.col("_rank") + first, F.lit(k)).cast("long").alias("fold"))
+    return null_safe_join(df, folds, [group_col], "left")
