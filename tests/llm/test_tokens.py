@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -98,6 +99,17 @@ def test_encode_decode_rows(spark, odd_docs):
     assert tokens.encode_decode(odd_docs.limit(0), WORD).count() == 0
 
 
+def test_decoding_reads_the_ids(spark, tmp_path):
+    """Two strings share an id, so only what is decoded from ids shows the second one."""
+    path = tmp_path / "shared.json"
+    model = {"merges": [], "vocab": {"a</w>": 0, "b</w>": 1, "z</w>": 0}, "end_of_word_suffix": "</w>"}
+    path.write_text(json.dumps({"model": model, "added_tokens": [{"content": "<s>", "id": 2}]}))
+    docs = spark.createDataFrame([(1, "a b<s>a"), (2, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in tokens.encode_decode(docs, str(path), ids=True).collect()}
+    assert got[1]["ids"] == [0, 1, 2, 0] and got[1]["decoded_sha256"] == sha("z</w> b</w> <s> z</w>")
+    assert got[2]["ids"] == [] and got[2]["decoded_sha256"] == sha("")
+
+
 def test_token_counts_rows(spark, odd_docs):
     lib = Library.from_file(BYTE)
     for table in (None, [], ["word", "a", "zz"]):

@@ -162,6 +162,7 @@ class Tokenizer:
         self.merges = MergeList(merges, model["vocab"], model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.spelled = {str(i): t for i, t in self.names.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         #: The pre-token patterns of the two kinds of file.
         self.pattern = regex.compile(
@@ -189,26 +190,30 @@ class Tokenizer:
         symbols[-1] += self.merges.suffix
         return self.merges.merge(symbols)
 
-    def word_entry(self, word: str) -> tuple[str, str]:
-        t = self.word_tokens(word)
-        return " ".join([str(self.merges.vocab[x]) for x in t]), " ".join(t)
+    def word_entry(self, word: str) -> str:
+        return " ".join([str(self.merges.vocab[x]) for x in self.word_tokens(word)])
 
-    def entry(self, piece: str) -> tuple[str, str]:
-        """(ids joined by spaces, token strings joined by spaces) of a piece without white space."""
+    def entry(self, piece: str) -> str:
+        """Ids, joined by spaces, of a piece without white space."""
         piece = piece.lower() if piece.isascii() else lower(unicodedata.normalize("NFC", piece))
-        ids, names = zip(*[self.words[w] for w in self.pattern.findall(piece)])
-        return " ".join(ids), " ".join(names)
+        return " ".join([self.words[w] for w in self.pattern.findall(piece)])
+
+    def spell(self, ids: str) -> str:
+        """What ids joined by spaces decode to by a file without decoder: each id's string, joined by
+        spaces.  Ids stand alone there, so a text can be decoded run by run."""
+        return " ".join(map(self.spelled.__getitem__, ids.split(" ")))
 
     def encode_words(self, text: str, cache: Cache) -> Iterator[tuple[str, str]]:
-        """Entries of the text run by run, for files that drop white space."""
+        """(ids, what they decode to) of the text run by run, for files that drop white space."""
         for stretch, special in self.split_special(text):
             for run in pieces(stretch):
                 words = re.findall(f"[^{SPACE}]+", run) if FILE_MARKS.search(run) else run.split()
                 if words:
-                    ids, names = zip(*map(cache.__getitem__, words))
-                    yield " ".join(ids), " ".join(names)
+                    ids = " ".join(map(cache.__getitem__, words))
+                    yield ids, self.spell(ids)
             if special is not None:
-                yield str(self.special[special]), special
+                ids = str(self.special[special])
+                yield ids, self.spell(ids)
 
     def count(self, text: str, cache: Cache) -> int:
         """Number of tokens, for files that keep white space."""

@@ -25,8 +25,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     ``path`` names a word-end BPE tokenizer file that executors can open.  Texts are encoded run by
     run, digests are updated with each run, and memory doesn't grow with the text (but for ``ids``).
-    The file has no decoder, so decoding gives the token strings joined by spaces; `Tokenizer.decode`
-    gives running text.  Null counts as empty: no token, digests of the empty string.  Repeated rows
+    The file has no decoder, so the ids of a run decode to their token strings joined by spaces
+    (`Tokenizer.spell`); `Tokenizer.decode` gives running text.  Null counts as empty: no token, digests of the empty string.  Repeated rows
     are encoded one by one; other columns aren't read.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
