@@ -72,6 +72,29 @@ def test_against_full_alignment(spark, monkeypatch):
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_searched(spark):
+    r = random.Random(8)
+    items = [(1, "kilogram"), (2, "seven blue cats"), (3, "sixteen bytes ok"), (4, "a passage of 28 bytes, whole"), (5, "short"),
+             (6, "Ünï cöde"), (7, None)]
+    docs = [(0, "a KILOGRAM of it"), (1, "kilo gram"), (2, "seven, blue cats"), (3, "xseven blue catsx"), (4, "seven blve cats"),
+            (5, "short"), (6, "ünï cöde Ünï cöde"), (7, None), (8, ""), (9, "kilogra")]
+    docs += [(10 + i, words(r, 5) + damaged(r, items[2 + i % 2][1], i % 4) + words(r, 5)) for i in range(60)]
+    fold = lambda t: bytes(D.folded(np.frombuffer(t.encode(), np.uint8)))
+    want = set()
+    for d, text in docs:
+        for k, item in items:
+            size = len((item or "").encode())
+            if text and size >= D.GRAM:
+                n = edits(fold(item), fold(text))
+                if n <= min(int(size * D.EDIT_RATE), (size - D.GRAM) // D.GRAM):
+                    want.add((d, k, n))
+    assert {(0, 1, 0), (3, 2, 0), (6, 6, 0)} <= want and not {1, 4, 5, 9} & {d for d, _, _ in want}
+    assert any(k == 3 and n == 1 for _, k, n in want)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(x)[:3] for x in D.contaminated(df, bench).collect()} == want
+
+
 def test_long_rows_in_runs(monkeypatch):
     r = random.Random(6)
     monkeypatch.setattr(D, "RUN", 512)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import utf8_of
 
-#: Gram length, edits allowed per byte of an item, and bytes from which an item is evidence.
-GRAM, EDIT_RATE, LEAST_ITEM = 8, 0.10, 32
+#: Gram length, edits allowed per byte of an item, and bytes from which an item is searched: one gram.
+GRAM, EDIT_RATE, LEAST_ITEM = 8, 0.10, 8
 #: Bytes of items in one broadcast, and of text looked at together.
 BLOCK_BYTES, RUN = 4 << 20, 1 << 20
 FILTER_BITS = 21
@@ -176,8 +176,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE,
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and benchmark item that occurs in it: id, item id, n_edits, end_byte.
 
-    The whole item must occur with at most ``rate`` edits per byte, case and punctuation aside.
-    Items under ``LEAST_ITEM`` bytes (also null and empty ones) are no evidence and are left out.
+    The whole item must occur with at most ``rate`` edits per byte, case and punctuation aside; an
+    item of less than two grams (16 bytes) must occur without an edit.  Items under ``LEAST_ITEM``
+    bytes, less than a gram (also null and empty ones), are left out.
     Null texts hold nothing; repeated rows and items give repeated rows; other columns aren't read.
     Items are broadcast in blocks of about ``block_bytes``; each further block is one more pass.
     """
