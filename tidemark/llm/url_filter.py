@@ -20,6 +20,16 @@ MAX_BAD, QUANTILE = 0.5, 1.645
 #: Smallest and largest prior strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
 SALTS = 16
+#: Common suffixes of several labels under which names are registered or sites hosted (not all that there are).
+SUFFIXES = tuple((
+    "co.uk org.uk ac.uk gov.uk me.uk ltd.uk plc.uk net.uk sch.uk nhs.uk com.au net.au org.au edu.au gov.au id.au co.nz net.nz "
+    "org.nz govt.nz ac.nz co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr ac.kr go.kr com.cn net.cn org.cn gov.cn edu.cn com.tw org.tw "
+    "edu.tw com.hk org.hk com.sg edu.sg com.my co.id or.id ac.id go.id co.th ac.th com.vn com.ph co.in net.in org.in ac.in gov.in "
+    "com.pk com.bd com.tr org.tr edu.tr gov.tr co.il org.il ac.il com.sa com.eg co.za org.za ac.za gov.za com.ng co.ke com.br "
+    "net.br org.br gov.br edu.br com.ar com.mx org.mx gob.mx com.co com.pe com.ve com.ec com.uy com.ua com.pl co.at or.at com.pt "
+    "com.gr github.io gitlab.io readthedocs.io blogspot.com blogspot.co.uk blogspot.com.br wordpress.com herokuapp.com "
+    "netlify.app vercel.app web.app pages.dev firebaseapp.com appspot.com azurewebsites.net cloudfront.net s3.amazonaws.com "
+    "neocities.org").split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,9 +56,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
+def _last_labels(host: Column, more: int) -> Column:
+    """The host's suffix (the longest of ``SUFFIXES``, else the last label) and ``more`` labels before it."""
+    out = F.substring_index(host, ".", -1 - more)
+    for n in sorted({s.count(".") + 1 for s in SUFFIXES}):
+        fits = F.substring_index(host, ".", -n).isin([s for s in SUFFIXES if s.count(".") + 1 == n])
+        out = F.when(fits, F.substring_index(host, ".", -n - more)).otherwise(out)
+    return out
+
+
+def suffix_of(host: Column) -> Column:
+    return _last_labels(host, 0)
+
+
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+    """Registered domain: the suffix and the label before it; a suffix itself stands for its domain."""
+    return _last_labels(host, 1)
 
 
 def strength(units: DataFrame, mean: str) -> float:
@@ -75,7 +98,7 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
              .groupBy(F.coalesce(F.col(host_col), F.lit("")).alias("_host"))
              .agg(F.count("*").cast("double").alias("_n"), F.sum(F.col(bad_col).cast("double")).alias("_k"))
              .withColumn("_domain", domain_of(F.col("_host")))
-             .withColumn("_suffix", F.substring_index("_domain", ".", -1)))
+             .withColumn("_suffix", suffix_of(F.col("_host"))))
     total = hosts.agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).first()
     overall = ((total["k"] or 0.0) + 0.5) / ((total["n"] or 0.0) + 1.0)
 
@@ -99,7 +122,7 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
         unseen = (others.join(labelled.select("_host"), "_host", "left_anti")
                   .select("_host", domain_of(F.col("_host")).alias("_domain"),
                           F.pmod(F.xxhash64("_host"), F.lit(SALTS)).cast("int").alias("_salt"))
-                  .withColumn("_suffix", F.substring_index("_domain", ".", -1))
+                  .withColumn("_suffix", suffix_of(F.col("_host")))
                   .join(domains.select("_domain", "_m2", salt), ["_domain", "_salt"], "left")
                   .join(suffixes.select("_suffix", "_m1", salt), ["_suffix", "_salt"], "left"))
         hosts = hosts.unionByName(unseen.select("_host", F.lit(0.0).alias("_n"),
