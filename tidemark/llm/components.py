@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
@@ -43,3 +43,33 @@ def components(links: DataFrame) -> DataFrame:
         edges, state = new, now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def numbered(df: DataFrame, order: list, as_col: str) -> DataFrame:
+    """Rows with their place (from 0) in ``order``, written to the shared folder.
+
+    Ranges are sorted apart; a table of one row a partition, which is broadcast, says how many rows
+    come before each.
+    """
+    cut = stored(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                 .withColumn("_mid", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_mid", 33).alias("_part")
+    sizes = cut.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    return (cut.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(as_col, F.col("_before") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_mid"))
+
+
+def with_small(df: DataFrame, small: DataFrame, key: str, spread: str, most_rows: int = 100_000) -> DataFrame:
+    """df joined with ``small`` (one row a key): broadcast up to ``most_rows`` rows.
+
+    Above that the rows of a key are dealt over salts by a hash of ``spread``, so that a key that
+    holds a third of all rows isn't one task; ``small`` is copied for each salt.
+    """
+    n = small.count()
+    if n <= most_rows:
+        return df.join(F.broadcast(small), key)
+    salts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(copies, [key, "_salt"]).drop("_salt")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat_format, decontaminate, exact_dedup, near_dedup, quality, repeats, tokens, toxicity, url_filter
+from tidemark.llm import (centroids, chat_format, decontaminate, divergence, exact_dedup, mixing, near_dedup, quality, repeats, tokens,
+                          toxicity, url_filter)
 from tidemark.llm.common import read_table
 
 
@@ -55,15 +56,98 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_bpe_codec, op4_toxicity, op5_token_counts, op6_url_filter,
-                            op7_near_dedup, op8_quality, op9_suffix_dedup, op10_chat_format, pipeline)}
+                            op7_near_dedup, op8_quality, op9_suffix_dedup, op10_chat_format, op11_source_audit, op12_source_mixing,
+                            op13_centroid_clustering, pipeline)}
+
+
+
+def _clustering_sql(rounds: int = centroids.ROUNDS, k: int = centroids.CENTROIDS, dims: int = centroids.DIMS) -> str:
+    """Lloyd's rounds written out: a table of (number, component, value) of the centroids for each round."""
+    def assign(i: int) -> str:
+        return f"""
+        d{i} as materialized (
+          select row, j, sum((x - c) * (x - c))::bigint as s from cells join c{i} using (d) group by row, j),
+        a{i} as materialized (select row, arg_min(j, (s, j)) as j, min(s) as s from d{i} group by row)"""
+    steps = ["""
+        kept as materialized (
+          select row_number() over () as row, vec_id, list_transform(embedding, lambda v: floor(256 * v::double)::bigint) as x from embeddings
+          where len(embedding) = %d and len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = %d),
+        cells as materialized (select row, unnest(x) as x, unnest(range(%d)) as d from kept),
+        c0 as materialized (
+          select row_number() over (order by h, v) - 1 as j, unnest(v) as c, unnest(range(%d)) as d
+          from (select sha256('2:' || coalesce(vec_id::varchar, '')) as h, x as v from kept order by h, v limit %d))"""
+             % (dims, dims, dims, dims, k)]
+    for i in range(rounds):
+        steps += [assign(i), f"""
+        m{i} as materialized (
+          select j, d, floor_div(sum(x)::hugeint, count(*)) as c from a{i} join cells using (row) group by j, d),
+        c{i + 1} as materialized (
+          select j, d, coalesce(m{i}.c, c{i}.c)::bigint as c from c{i} left join m{i} using (j, d))"""]
+    steps += [assign(rounds), f"""
+        named as materialized (select j, sha256(string_agg(c::varchar, ',' order by d)) as centroid_sha256 from c{rounds} group by j)"""]
+    return "with " + ",".join(steps).replace("floor_div(sum(x)::hugeint, count(*))", _FLOOR) + f"""
+        select vec_id, j::int as cluster, s as distance, (sum(s) over (partition by j))::bigint as cluster_inertia,
+               (sum(s) over ())::bigint as inertia, centroid_sha256
+        from a{rounds} join kept using (row) join named using (j)"""
+
+
+#: Integer division of DuckDB cuts towards zero.
+_FLOOR = "(sum(x)::hugeint // count(*) - (sum(x)::hugeint % count(*) < 0)::int)"
 
 ORACLE: dict[str, str] = {
+    "op11_source_audit": f"""
+        with terms as (
+          select coalesce(lang, '') as lang, coalesce(source, '') as source,
+                 regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'),
+                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+        kept as (
+          select lang, term from (select lang, unnest(list_distinct(t)) as term from terms) group by all having count(*) >= 30),
+        occ as (
+          select lang, source, term, count(*) as c
+          from (select lang, source, unnest(t) as term from terms) semi join kept using (lang, term) group by all),
+        groups as (select distinct lang, source from terms),
+        sizes as (
+          select lang, source, coalesce(sum(c), 0)::hugeint as n, (select count(*) from kept k where k.lang = g.lang)::hugeint as v
+          from groups g left join occ using (lang, source) group by all),
+        shares as (
+          select lang, source, term, coalesce(c, 0) as c, 1 + 1000000000::hugeint * (coalesce(c, 0) + 5) // (n + 5 * v) as p
+          from sizes join kept using (lang) left join occ using (lang, source, term)),
+        whole as (
+          select lang, term, 1 + 1000000000::hugeint * (sum(c) + 5)::hugeint // ((sum(sum(c)) over (partition by lang)
+                 + 5 * count(*) over (partition by lang))::hugeint) as p from occ group by lang, term),
+        pairs as (
+          select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value
+          from groups a join groups b on a.lang = b.lang and a.source <> b.source
+          left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+                     from shares x join shares y on x.lang = y.lang and x.term = y.term group by all) s
+            on s.lang = a.lang and s.source = a.source and s.item = b.source),
+        marks as (
+          select s.lang, s.source, s.term as item, (s.p - w.p)::bigint as value
+          from shares s join whole w using (lang, term) where s.c > 0 and s.p > w.p)
+        select lang, source, 'pair' as part, item, value,
+               row_number() over (partition by lang, source order by value desc, encode(item))::int as rank from pairs
+        union all
+        select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, encode(item))::int as rank
+        from marks qualify rank <= 50""",
+    "op13_centroid_clustering": _clustering_sql(),
     "op1_exact_dedup": """
         select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
                count(*) over (partition by coalesce(text, '')) as group_size,
