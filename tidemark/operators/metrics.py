@@ -198,10 +198,10 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order_col: str, value_cols:
     return out
 
 
-def score_counts(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_true") -> DataFrame:
-    """(cls, score, n_pos, n_neg) per distinct score - partial aggregation."""
+def score_counts(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_true", group_cols: Sequence[str] = ()) -> DataFrame:
+    """(groups, cls, score, n_pos, n_neg) per distinct score - partial aggregation."""
     pos = F.col(true_col).cast("long") == F.col(cls_col).cast("long")
-    return p_long.groupBy(F.col(cls_col).cast("long").alias("cls"), F.col(score_col).alias("score")).agg(
+    return p_long.groupBy(*group_cols, F.col(cls_col).cast("long").alias("cls"), F.col(score_col).alias("score")).agg(
         F.count_if(pos).cast("long").alias("n_pos"), F.count_if(~pos).cast("long").alias("n_neg"))
 
 
@@ -212,15 +212,27 @@ def with_totals(sc: DataFrame) -> tuple[DataFrame, Column, Column]:
     return sc.join(totals, "cls"), F.col("_P"), F.col("_N")
 
 
-def auc_per_class(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_true") -> DataFrame:
-    """Exact tie-aware one-vs-rest ROC AUC per class; 0.5 if a class lacks positives or negatives."""
-    sc = prefix_sums(score_counts(p_long, cls_col, score_col, true_col), ["cls"], "score", ["n_neg"])
-    g = sc.groupBy("cls").agg(
+def auc_per_class(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_true", group_cols: Sequence[str] = (),
+                  n_buckets: int = 256) -> DataFrame:
+    """Exact tie-aware one-vs-rest ROC AUC per class; 0.5 if a class lacks positives or negatives.
+
+    With ``group_cols`` (folds, candidates, replicates) one pass yields every group's AUC.
+    """
+    keys = [*group_cols, "cls"]
+    sc = prefix_sums(score_counts(p_long, cls_col, score_col, true_col, group_cols), keys, "score", ["n_neg"], n_buckets)
+    g = sc.groupBy(*keys).agg(
         F.sum(F.col("n_pos") * (F.col("n_neg_before") + 0.5 * F.col("n_neg"))).alias("_u"),
         F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                  F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg"))).otherwise(F.lit(0.5))
-    return g.select("cls", auc.alias("auc"), "n_pos", "n_neg")
+    return g.select(*keys, auc.alias("auc"), "n_pos", "n_neg")
+
+
+def weighted_ovr_auc(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_true", group_cols: Sequence[str] = (),
+                     n_buckets: int = 256) -> DataFrame:
+    """Mean of the one-vs-rest AUCs weighted by how many rows each class has: one row a group."""
+    a = auc_per_class(p_long, cls_col, score_col, true_col, group_cols, n_buckets).where("n_pos > 0")
+    return a.groupBy(*group_cols).agg((F.sum(F.col("auc") * F.col("n_pos")) / F.sum("n_pos")).alias("weighted_ovr_auc"))
 
 
 def risk_adjusted_auc(p_long: DataFrame, policy: Policy, cls_col="cls", score_col="p", true_col="y_true",

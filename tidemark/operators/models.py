@@ -9,21 +9,21 @@ priority order.  Ensemble combination rules are pure array expressions over the
 from __future__ import annotations
 
 import json
-import os
 import time
 from typing import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier,
+                                       RandomForestClassifier)
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import metrics as mt
+from tidemark.operators.boosting import MultiClassBoosting
 from tidemark.operators.labels import apply_thresholds_expr, attach_sample_weight
+from tidemark.operators.logistic_path import L1LogisticPath
 from tidemark.sources.policy import Policy
 
 SEED = 42
@@ -111,19 +111,38 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
+#: The parameter values that each kind is searched over (grid of the tree, random draws of the booster).
+TREE_GRID = {"maxDepth": list(range(2, 8)), "minInstancesPerNode": list(range(5, 55, 5))}
+BOOSTING_CHOICES = {
+    "stepSize": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0],
+    "maxDepth": list(range(3, 8)),
+    "maxIter": list(range(100, 150, 10)),
+    "subsamplingRate": [0.4, 0.5, 0.6, 0.7, 0.8, 0.9],
+    "minInstancesPerNode": list(range(1, 10)),
+}
+
+
 def make_classifier(kind: str, label_col: str = "label", weight_col: str | None = "sample_weight", **params):
+    """Unfitted estimator of a kind; ``params`` are its Spark ML parameters.
+
+    logistic: one-against-rest L1 path; multinomial: Spark's softmax regression; decision_tree;
+    random_forest; gbt: a weighted booster per class; mlp: scaled inputs (weights: ``fit_weighted``).
+    """
     common = dict(featuresCol="features", labelCol=label_col)
     if kind == "logistic":
-        est = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=params.get("regParam", 0.01),
-                                 maxIter=params.get("maxIter", 100), **common)
+        est = L1LogisticPath(**common, **params)
+    elif kind == "multinomial":
+        est = LogisticRegression(family="multinomial", **{"elasticNetParam": 1.0, "regParam": 0.01, **params}, **common)
     elif kind == "decision_tree":
-        est = DecisionTreeClassifier(maxDepth=params.get("maxDepth", 5), seed=SEED,
-                                     minInstancesPerNode=params.get("minInstancesPerNode", 5), **common)
+        est = DecisionTreeClassifier(seed=SEED, **{"minInstancesPerNode": 5, **params}, **common)
     elif kind == "random_forest":
-        est = RandomForestClassifier(numTrees=params.get("numTrees", 100), seed=SEED, **common)
+        est = RandomForestClassifier(seed=SEED, **{"numTrees": 100, **params}, **common)
+    elif kind == "gbt":
+        est = MultiClassBoosting(**common, **params)
     elif kind == "mlp":
-        return MultilayerPerceptronClassifier(layers=params["layers"], seed=SEED, maxIter=params.get("maxIter", 200),
-                                              **common)
+        scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True)
+        net = MultilayerPerceptronClassifier(featuresCol="_scaled", labelCol=label_col, seed=SEED, **{"maxIter": 200, **params})
+        return Pipeline(stages=[scaler, net])
     else:
         raise ValueError(kind)
     if weight_col:
@@ -131,27 +150,45 @@ def make_classifier(kind: str, label_col: str = "label", weight_col: str | None
     return est
 
 
-def fit_cost_sensitive(train: DataFrame, features: Sequence[str], policy: Policy, kind: str = "logistic",
-                       label_col: str = "label", optimise_thresholds: bool = True, **params) -> dict:
-    """Weights -> fit -> (cost-optimal thresholds) -> fitted bundle with history.
+def fit_weighted(est, d: DataFrame, kind: str, weight_col: str = "sample_weight"):
+    """Fitted model; a kind without row weights (mlp) sees rows about as often as their weight says."""
+    return est.fit(weighted_resample(d, weight_col) if kind == "mlp" else d)
+
 
-    Sample weights are kept for the threshold refit too (fixes the silent weight loss).
+def fit_cost_sensitive(train: DataFrame, features: Sequence[str], policy: Policy, kind: str = "logistic",
+                       label_col: str = "label", optimise_thresholds: bool = True, id_col: str = "row_id",
+                       validation: float = 0.3, min_rows: int = 50, folds: int = 0, **params) -> dict:
+    """One training path for every kind: weights -> (thresholds on held-out rows) -> fit on all rows.
+
+    Thresholds: the model is fitted on the other rows of a label-stratified split, ``validation`` of the
+    rows are scored, and the cost sweep on these picks each class's threshold; below ``min_rows`` rows
+    the policy's are kept.  Sample weights are kept in every fit.  ``folds`` > 0 adds risk-stratified folds
+    that the logistic path chooses its penalties on.
     """
+    from tidemark.operators import splits as sp
+    from tidemark.operators.thresholds import choose_thresholds
     t0 = time.time()
     d = attach_sample_weight(train, policy, label_col)
+    if folds and kind == "logistic":
+        d = sp.risk_stratified_kfold(d, id_col, policy, label_col, folds)
+        params = {"foldCol": "fold", **params}
     d = assemble(d, features).persist()
-    est = make_classifier(kind, label_col, **params)
-    model = est.fit(d)
-    thresholds = {c: policy.threshold(c) for c in policy.classes}
-    if optimise_thresholds:
-        from tidemark.operators.thresholds import choose_thresholds
-        scored = proba_long(model.transform(d), label_col)
-        ch = choose_thresholds(scored, policy).collect()          # one row per class
-        thresholds = {int(r["cls"]): float(r["threshold"]) for r in ch}
-    counts = {int(r[0]): int(r[1]) for r in d.groupBy(label_col).count().collect()}   # K rows
-    d.unpersist()
+    try:
+        counts = {r[0]: int(r[1]) for r in d.groupBy(F.col(label_col).cast("long")).count().collect()}   # K rows
+        est = make_classifier(kind, label_col, **params)
+        thresholds = {c: policy.threshold(c) for c in policy.classes}
+        if optimise_thresholds and sum(counts.values()) >= min_rows:
+            part = sp.train_test_split(d, id_col, label_col, validation)
+            model = fit_weighted(est, part.filter("split = 'train'"), kind)
+            held = proba_long(model.transform(part.filter("split = 'test'")), label_col)
+            chosen = choose_thresholds(held, policy).collect()          # one row per class
+            thresholds.update({int(r["cls"]): float(r["threshold"]) for r in chosen})
+        model = fit_weighted(est, d, kind)
+    finally:
+        d.unpersist()
     return {"model": model, "features": list(features), "thresholds": thresholds, "kind": kind,
-            "history": {"fit_seconds": time.time() - t0, "class_counts": counts}}
+            "history": {"fit_seconds": time.time() - t0, "n_samples": sum(counts.values()), "class_counts": counts,
+                        "optimised": bool(optimise_thresholds and sum(counts.values()) >= min_rows)}}
 
 
 def proba_long(scored: DataFrame, label_col: str = "label", id_col: str | None = None) -> DataFrame:
@@ -164,8 +201,8 @@ def proba_long(scored: DataFrame, label_col: str = "label", id_col: str | None =
 def score_proba(bundle: dict, df: DataFrame) -> DataFrame:
     """Adds ``proba`` (array<double> by class index)."""
     scored = bundle["model"].transform(assemble(df, bundle["features"]))
-    return scored.withColumn("proba", vector_to_array(F.col("probability"))).drop("features", "rawPrediction",
-                                                                                    "probability", "prediction")
+    return scored.withColumn("proba", vector_to_array(F.col("probability"))).drop(
+        "features", "_scaled", "rawPrediction", "probability", "prediction")
 
 
 def predict_labels(bundle: dict, df: DataFrame, policy: Policy, out: str = "y_pred") -> DataFrame:
@@ -174,33 +211,6 @@ def predict_labels(bundle: dict, df: DataFrame, policy: Policy, out: str = "y_pr
                                                    missing="default"))
 
 
-def fit_gbt_one_vs_rest(train: DataFrame, features: Sequence[str], classes: Sequence[int], label_col="label",
-                        weight_col: str | None = "sample_weight", **params) -> dict:
-    """GBTClassifier is binary in Spark: one model per class, P(class) normalised at scoring."""
-    d = assemble(train, features).persist()
-    models = {}
-    for c in classes:
-        dc = d.withColumn("_y", (F.col(label_col) == c).cast("double"))
-        gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=params.get("maxIter", 20),
-                            maxDepth=params.get("maxDepth", 3), seed=SEED)
-        if weight_col and weight_col in d.columns:
-            gbt.setWeightCol(weight_col)
-        models[c] = gbt.fit(dc)
-    d.unpersist()
-    return {"models": models, "features": list(features), "classes": list(classes)}
-
-
-def score_gbt_one_vs_rest(bundle: dict, df: DataFrame) -> DataFrame:
-    x = assemble(df, bundle["features"])
-    cols = []
-    for c in bundle["classes"]:
-        m = bundle["models"][c]
-        x = m.setProbabilityCol(f"_p{c}").setRawPredictionCol(f"_r{c}").setPredictionCol(f"_y{c}").transform(x)
-        cols.append(vector_to_array(F.col(f"_p{c}"))[1])
-    drop = [f"_{k}{c}" for c in bundle["classes"] for k in ("p", "r", "y")] + ["features"]
-    return x.withColumn("proba", _renorm(F.array(*cols))).drop(*drop)
-
-
 def weighted_resample(df: DataFrame, weight_col: str, seed: int = SEED) -> DataFrame:
     """For learners without weightCol (MLP): replicate rows ~weight times (Poisson), no driver loop."""
     u = (F.pmod(F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
@@ -209,21 +219,6 @@ def weighted_resample(df: DataFrame, weight_col: str, seed: int = SEED) -> DataF
              .withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k", "_rep")
 
 
-def search_params(train: DataFrame, features: Sequence[str], kind: str, grid: Mapping[str, list],
-                  label_col="label", folds: int = 5, parallelism: int = 4) -> dict:
-    """Exhaustive grid search with k-fold CV (weighted F1 as the metric)."""
-    d = assemble(train, features)
-    est = make_classifier(kind, label_col, weight_col=None)
-    pg = ParamGridBuilder()
-    for name, values in grid.items():
-        pg = pg.addGrid(est.getParam(name), values)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=pg.build(), numFolds=folds, parallelism=parallelism,
-                        evaluator=MulticlassClassificationEvaluator(labelCol=label_col, metricName="f1"), seed=SEED)
-    m = cv.fit(d)
-    best = {p.name: v for p, v in m.bestModel.extractParamMap().items() if p.name in grid}
-    return {"model": m.bestModel, "best_params": best, "avg_metrics": list(m.avgMetrics)}
-
-
 def save_model(bundle: dict, path: str) -> str:
     """PipelineModel (Spark format) + a JSON metadata file (features, thresholds, kind),
     both written through Spark so ``path`` may be any shared filesystem URI."""
@@ -274,21 +269,28 @@ def load_model_registry(folder: str) -> dict[str, dict]:
 
 
 def train_report(train: DataFrame, test: DataFrame, features: Sequence[str], policy: Policy,
-                 kinds: Sequence[str] = ("logistic", "decision_tree", "random_forest"), label_col="label") -> DataFrame:
-    """Fit several models, hold-out accuracy each; failures are recorded, not raised."""
+                 kinds: Mapping[str, dict] | Sequence[str] = ("logistic", "decision_tree", "gbt"), label_col="label",
+                 folder: str | None = None) -> DataFrame:
+    """Fits a model of each kind (with its parameters), saves it under ``folder`` and measures it on the test rows.
+
+    One row a kind: test rows, accuracy, weighted one-vs-rest AUC and, where saved, the path.
+    """
+    params = kinds if isinstance(kinds, Mapping) else {k: {} for k in kinds}
     rows = []
-    for k in kinds:
-        try:
-            b = fit_cost_sensitive(train, features, policy, k, label_col, optimise_thresholds=False)
-            pred = predict_labels(b, test, policy)
-            acc = pred.agg(F.avg((F.col("y_pred") == F.col(label_col)).cast("double"))).first()[0]
-            rows.append((k, float(acc), float(b["history"]["fit_seconds"]), None))
-        except Exception as e:  # noqa: BLE001
-            rows.append((k, None, None, f"{type(e).__name__}: {e}"[:300]))
-    return train.sparkSession.createDataFrame(rows, "model string, accuracy double, fit_seconds double, error string")
-
-
-def linear_contributions(bundle: dict, df: DataFrame, cls: int, id_col: str) -> DataFrame:
+    for kind, own in params.items():
+        bundle = fit_cost_sensitive(train, features, policy, kind, label_col, optimise_thresholds=False, **own)
+        path = save_model(bundle, f"{folder.rstrip('/')}/{kind}_model") if folder else None
+        pred = predict_labels(bundle, test, policy).select(label_col, "proba", "y_pred").persist()
+        n, accuracy = pred.agg(F.count("*"), F.avg((F.col("y_pred") == F.col(label_col)).cast("double"))).first()
+        long = pred.select(F.col(label_col).cast("long").alias("y_true"), F.posexplode("proba").alias("cls", "p"))
+        auc = mt.weighted_ovr_auc(long).first()[0]
+        pred.unpersist()
+        rows.append((kind, n, accuracy, auc, path))
+    return train.sparkSession.createDataFrame(
+        rows, "model string, n_test long, accuracy double, weighted_ovr_auc double, path string")
+
+
+def linear_contributions(bundle: dict, df: DataFrame, cls: int, id_col: str, top: int = 3) -> DataFrame:
     """Per entity signed contributions coef_j * x_j for one class of a linear model, ranked by sign."""
     coefs = bundle["model"].coefficientMatrix.toArray()[cls]
     feats = bundle["features"]
@@ -297,7 +299,7 @@ def linear_contributions(bundle: dict, df: DataFrame, cls: int, id_col: str) ->
     from pyspark.sql import Window
     side = F.when(F.col("contribution") >= 0, F.lit("risk")).otherwise(F.lit("protective"))
     w = Window.partitionBy(id_col, side).orderBy(F.abs("contribution").desc(), "feature")
-    return long.withColumn("side", side).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    return long.withColumn("side", side).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def model_importance(bundle: dict) -> list[tuple[str, float]]:
@@ -310,11 +312,8 @@ def model_importance(bundle: dict) -> list[tuple[str, float]]:
         imp = m.featureImportances.toArray()
     else:
         import numpy as np
-        w = np.array(m.weights.toArray())
-        n_in, n_h = len(feats), m.getLayers()[1]
+        net = m.stages[-1]  # behind its scaler
+        w = np.array(net.weights.toArray())
+        n_in, n_h = len(feats), net.getLayers()[1]
         imp = np.abs(w[: n_in * n_h].reshape(n_in, n_h)).mean(axis=1)
     return sorted(zip(feats, [float(v) for v in imp]), key=lambda t: -t[1])
-
-
-def pipeline(stages) -> Pipeline:
-    return Pipeline(stages=list(stages))

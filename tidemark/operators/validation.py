@@ -36,7 +36,7 @@ def summarize(per: DataFrame, key: str) -> DataFrame:
                                       F.count("value").alias("n"))
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], policy: Policy, kind: str = "logistic", k: int = 5,
+def cross_validate(df: DataFrame, features: Sequence[str], policy: Policy, kind: str = "multinomial", k: int = 5,
                    id_col: str = "row_id", label_col: str = "label", **params) -> tuple[DataFrame, DataFrame]:
     """Risk-stratified K-fold: per-fold metrics and their mean / pop std."""
     folds = sp.risk_stratified_kfold(df, id_col, policy, label_col, k).persist()
@@ -55,7 +55,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], policy: Policy, kind:
 
 
 def temporal_cross_validate(df: DataFrame, features: Sequence[str], policy: Policy, time_col: str,
-                            kind: str = "logistic", min_train_periods: int = 3, step: int = 1,
+                            kind: str = "multinomial", min_train_periods: int = 3, step: int = 1,
                             max_train_periods: int | None = None, label_col: str = "label", **params):
     """Expanding-window evaluation over distinct periods: per test period utility, recall,
     sizes and class mix; nan-skipping mean / std."""
@@ -84,7 +84,7 @@ def temporal_cross_validate(df: DataFrame, features: Sequence[str], policy: Poli
 
 
 def bootstrap_evaluation(train: DataFrame, test: DataFrame, features: Sequence[str], policy: Policy,
-                         n_boot: int = 10, kind: str = "logistic", id_col: str = "row_id", label_col: str = "label",
+                         n_boot: int = 10, kind: str = "multinomial", id_col: str = "row_id", label_col: str = "label",
                          seed: int = 42, **params):
     """B refits on Poisson-bootstrap weights (weight x class weight - no row duplication),
     each scored on the test set; per-replicate metrics and mean / pop std / 2.5-97.5%."""
@@ -99,7 +99,7 @@ def bootstrap_evaluation(train: DataFrame, test: DataFrame, features: Sequence[s
         tr = w.withColumn("sample_weight", F.col("sample_weight") * k).where(k > 0).drop("_u")
         d = md.assemble(tr, features)
         est = md.make_classifier(kind, label_col, **params)
-        m = est.fit(d)
+        m = md.fit_weighted(est, d, kind)
         b = {"model": m, "features": list(features), "thresholds": {c: policy.threshold(c) for c in policy.classes}}
         preds.append(md.predict_labels(b, test, policy).select(F.lit(r).cast("long").alias("replicate"),
                                                                F.col(label_col).alias("label"), "y_pred"))

@@ -300,7 +300,7 @@ def q_fit_cs(spark, sf):
 @register("score_proba")
 def q_score_proba(spark, sf):
     tr, te = _train_test(spark, sf)
-    b = md.fit_cost_sensitive(tr, NUM, POL, "logistic", optimise_thresholds=False, maxIter=30)
+    b = md.fit_cost_sensitive(tr, NUM, POL, "multinomial", optimise_thresholds=False, maxIter=30)
     s = md.score_proba(b, te)
     return s.select("row_id", *[F.col("proba")[k].alias(f"p{k}") for k in range(8)])
 
@@ -309,7 +309,7 @@ def q_score_proba(spark, sf):
 def q_predict(spark, sf):
     """Scores + thresholds walked in clinical priority order (argmax fallback)."""
     tr, te = _train_test(spark, sf)
-    b = md.fit_cost_sensitive(tr, NUM, POL, "logistic", optimise_thresholds=False, maxIter=30)
+    b = md.fit_cost_sensitive(tr, NUM, POL, "multinomial", optimise_thresholds=False, maxIter=30)
     return md.predict_labels(b, te, POL).select("row_id", "label", "y_pred")
 
 
@@ -414,7 +414,7 @@ def q_registry(spark, sf):
     """Two fitted models saved under one folder, reloaded as a name -> model registry."""
     tr, _ = _train_test(spark, sf)
     folder = _scratch(spark, "registry-")
-    for kind, params in (("decision_tree", {"maxDepth": 3}), ("logistic", {"maxIter": 20})):
+    for kind, params in (("decision_tree", {"maxDepth": 3}), ("gbt", {"maxIter": 2, "maxDepth": 2})):
         b = md.fit_cost_sensitive(tr, NUM, POL, kind, optimise_thresholds=False, **params)
         md.save_model(b, f"{folder}/{kind}_model")
     reg = md.load_model_registry(folder)

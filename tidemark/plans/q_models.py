@@ -5,14 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import round_cmp
 from tidemark.operators import clean as cl
 from tidemark.operators import labels as lb
+from tidemark.operators import metrics as mt
 from tidemark.operators import models as md
+from tidemark.operators import search as se
 from tidemark.operators import splits as sp
+from tidemark.operators import thresholds as th
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.plans.q_labels import POL
+from tidemark.plans.q_metrics import AUC_SQL
+from tidemark.plans.q_splits import MD5
 from tidemark.session import scratch_path
 from tidemark.sources import tables as tb
 
@@ -71,14 +75,15 @@ def q_boost(spark, sf):
     return b.select("row_id", *_out(F.col("proba")))
 
 
-def _stacked_sql():
+def _stacked_sql(exact=False):
     tot = " + ".join(PCOLS)
     a = ("select row_id, " + ", ".join(
         f"case when least(1.0, 2.5 * p0) > 0.7 then {'0.7 * least(1.0, 2.5 * p0) + 0.3 * p0' if k == 0 else f'p{k}'} "
         f"else p{k} end as p{k}" for k in range(K)) + ", least(1.0, 2.5 * p0) > 0.7 as hit from W")
     b = ("select row_id, " + ", ".join(f"case when hit then p{k} / ({tot}) else p{k} end as p{k}" for k in range(K))
          + " from A")
-    return rounded(with_fixtures("select * from S", "P", extra=[("W", _wide_sql()), ("A", a), ("S", b)]), PCOLS)
+    sql = with_fixtures("select * from S", "P", extra=[("W", _wide_sql()), ("A", a), ("S", b)])
+    return sql if exact else rounded(sql, PCOLS)
 
 
 @register("stacked_boost", _stacked_sql())
@@ -88,7 +93,7 @@ def q_stacked(spark, sf):
     return w.select("row_id", p.alias("pp")).select("row_id", *_out(F.col("pp")))
 
 
-def _decay_sql():
+def _decay_sql(exact=False):
     ctes = [("W", _wide_sql()), ("X", "select *, pow(0.9, t_days / (select max(t_days) from W)) as w from W")]
     src = "X"
     tot = " + ".join(PCOLS)
@@ -99,7 +104,8 @@ def _decay_sql():
         b = "select row_id, w, " + ", ".join(f"p{k} / ({tot}) as p{k}" for k in range(K)) + f" from A{i}"
         ctes += [(f"A{i}", a), (f"S{i}", b)]
         src = f"S{i}"
-    return rounded(with_fixtures(f"select row_id, {', '.join(PCOLS)} from {src}", "P", extra=ctes), PCOLS)
+    sql = with_fixtures(f"select row_id, {', '.join(PCOLS)} from {src}", "P", extra=ctes)
+    return sql if exact else rounded(sql, PCOLS)
 
 
 def _decayed(spark, sf):
@@ -116,15 +122,11 @@ def q_decay(spark, sf):
 @register("soft_vote", rounded(with_fixtures(
     "select W.row_id, " + ", ".join(f"W.p{k} * 0.7 + S.p{k} * 0.3 as p{k}" for k in range(K))
     + " from W join SB S on W.row_id = S.row_id", "P",
-    extra=[("W", _wide_sql()), ("SB", f"select * from ({_stacked_sql()})")]), PCOLS))
+    extra=[("W", _wide_sql()), ("SB", f"select * from ({_stacked_sql(exact=True)})")]), PCOLS))
 def q_soft_vote(spark, sf):
-    """0.7 x main + 0.3 x stacked-boost probabilities.
-
-    The oracle reads the stacked probabilities already rounded to 6 places, so both sides
-    round before voting (the Spark side rounds its second input the same way)."""
+    """0.7 x main + 0.3 x stacked-boost probabilities."""
     w = _wide(spark, sf)
     st = md.stacked_boost(F.col("proba"), F.least(F.lit(1.0), F.lit(2.5) * F.col("proba")[0]), 0.7, 0)
-    st = F.transform(st, lambda x: round_cmp(x))
     v = md.soft_vote([F.col("proba"), st], [0.7, 0.3])
     return w.select("row_id", v.alias("pp")).select("row_id", *_out(F.col("pp")))
 
@@ -139,13 +141,12 @@ def _argmax_sql(src):
 
 @register("label_vote", with_fixtures(
     "select a.row_id, cast(round_even(a.lab * 0.7 + b.lab * 0.3, 0) as bigint) as y_vote from A a join D b on a.row_id = b.row_id",
-    "P", extra=[("W", _wide_sql()), ("A", _argmax_sql("W")), ("DD", _decay_sql()), ("D", _argmax_sql("DD"))]))
+    "P", extra=[("W", _wide_sql()), ("A", _argmax_sql("W")), ("DD", _decay_sql(exact=True)), ("D", _argmax_sql("DD"))]))
 def q_label_vote(spark, sf):
     """Weighted (0.7/0.3) label vote of argmax(main) and argmax(time-decayed), half-to-even."""
     d = _decayed(spark, sf)
-    dd = F.transform("pd", lambda x: round_cmp(x))
     a = lb.argmax_expr(F.col("proba"))
-    b = lb.argmax_expr(dd)
+    b = lb.argmax_expr(F.col("pd"))
     return d.select("row_id", md.label_vote([a, b], [0.7, 0.3]).alias("y_vote"))
 
 
@@ -171,13 +172,17 @@ def _fit_predict(spark, sf, kind, **params):
 
 @register("fit_logistic")
 def q_fit_logistic(spark, sf):
-    """Weighted L1 multinomial logistic regression + cost-optimal thresholds; test predictions."""
-    return _fit_predict(spark, sf, "logistic", maxIter=50)
+    """One-against-rest L1 path over 10 penalties, each class's chosen on 10 folds; cost-optimal thresholds."""
+    return _fit_predict(spark, sf, "logistic", folds=10)
 
 
 @register("fit_decision_tree")
 def q_fit_tree(spark, sf):
-    return _fit_predict(spark, sf, "decision_tree", maxDepth=4)
+    """Depth and leaf size from a small grid (5 folds, weighted AUC), then the one training path."""
+    tr, te = _train_test(spark, sf)
+    found = se.search_params(tr, FEATS, POL, "decision_tree", se.grid_candidates({"maxDepth": [2, 4], "minInstancesPerNode": [5, 50]}))
+    b = md.fit_cost_sensitive(tr, FEATS, POL, "decision_tree", **found["best_params"])
+    return md.predict_labels(b, te, POL).select("row_id", "label", "y_pred")
 
 
 @register("fit_random_forest")
@@ -187,40 +192,85 @@ def q_fit_forest(spark, sf):
 
 @register("fit_gradient_boosting")
 def q_fit_gbt(spark, sf):
-    """Per-class binary GBT (Spark GBT is binary), probabilities normalised; argmax labels."""
+    """Boosting through the one training path, saved and read again; test rows scored by the reloaded model."""
     tr, te = _train_test(spark, sf)
-    tr = lb.attach_sample_weight(tr, POL, "label")
-    b = md.fit_gbt_one_vs_rest(tr, FEATS, list(range(K)), maxIter=5, maxDepth=3)
-    s = md.score_gbt_one_vs_rest(b, te)
-    return s.select("row_id", "label", lb.argmax_expr(F.col("proba")).alias("y_pred"))
+    path = md.save_model(md.fit_cost_sensitive(tr, FEATS, POL, "gbt", maxIter=5, maxDepth=3), scratch_path(spark, "boosting-"))
+    s = md.predict_labels(md.load_model(path), te, POL)
+    total = F.aggregate("proba", F.lit(0.0), lambda x, y: x + y)
+    return s.select("row_id", "label", "y_pred", total.alias("p_total"))
 
 
 @register("fit_mlp")
 def q_fit_mlp(spark, sf):
-    """MLP (no weightCol in Spark): class weights applied by weighted resampling."""
+    """MLP through the one training path: scaled inputs, class weights by weighted resampling."""
+    return _fit_predict(spark, sf, "mlp", layers=[len(FEATS), 6, 6, K], maxIter=50)
+
+
+def _tts_sql(strat: str = "label") -> str:
+    return (f"select row_id, label, case when rk < ceil(n * 0.3) then 'test' else 'train' end as split from (select row_id, label, "
+            f"row_number() over (partition by {strat} order by {MD5}) - 1 as rk, count(*) over (partition by {strat}) as n from T) x")
+
+
+CHECKED = {"logistic": {"Cs": [0.01, 1.0]}, "decision_tree": {"maxDepth": 3}, "gbt": {"maxIter": 2, "maxDepth": 2},
+           "mlp": {"layers": [len(FEATS), 4, K], "maxIter": 10}}
+
+
+@register("training_path_checks", with_fixtures(
+    "select kind, n_test, n_test as n_sum_one, 0::bigint as n_negative, n_train, 0::bigint as n_off_grid from (select "
+    "count(*) filter (where split = 'test') as n_test, count(*) filter (where split = 'train') as n_train from S) x, (values "
+    + ", ".join(f"('{k}')" for k in CHECKED) + ") k(kind)", "T", extra=[("S", _tts_sql())]))
+def q_training_checks(spark, sf):
+    """What holds for every kind of the training path: the test rows are all scored, their probabilities are not
+    negative and sum to 1, all training rows are counted, thresholds are the policy's or on the 50-point grid."""
     tr, te = _train_test(spark, sf)
-    tr = md.weighted_resample(lb.attach_sample_weight(tr, POL, "label"), "sample_weight")
-    from tidemark.operators.features import apply_scaler, fit_scaler
-    sc = fit_scaler(tr, FEATS, "standard")
-    tr, te = apply_scaler(tr, sc), apply_scaler(te, sc)
-    est = md.make_classifier("mlp", layers=[len(FEATS), 6, 6, K], maxIter=50)
-    m = est.fit(md.assemble(tr, FEATS))
-    return m.transform(md.assemble(te, FEATS)).select("row_id", "label", F.col("prediction").cast("long").alias("y_pred"))
+    out = None
+    grid = [round(x, 9) for x in th.grid(50, 0.1, 0.9)]
+    for kind, params in CHECKED.items():
+        b = md.fit_cost_sensitive(tr, FEATS, POL, kind, **params)
+        off = sum(round(t, 9) not in grid and t != POL.threshold(c) for c, t in b["thresholds"].items())
+        total = F.aggregate("proba", F.lit(0.0), lambda x, y: x + y)
+        row = md.score_proba(b, te).agg(
+            F.lit(kind).alias("kind"), F.count("*").alias("n_test"), F.count_if(F.abs(total - 1) < 1e-9).alias("n_sum_one"),
+            F.count_if(F.array_min("proba") < 0).alias("n_negative"),
+            F.lit(b["history"]["n_samples"]).cast("long").alias("n_train"), F.lit(off).cast("long").alias("n_off_grid"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("weighted_ovr_auc", rounded(with_fixtures(
+    "select sum(auc * n_pos) / sum(n_pos) as weighted_ovr_auc from (" + AUC_SQL + ") x where n_pos > 0", "P"), ["weighted_ovr_auc"]))
+def q_weighted_auc(spark, sf):
+    """The searches' metric on fixed scores, through the evaluator's operator."""
+    return mt.weighted_ovr_auc(tb.scored_multiclass(spark, sf))
 
 
 @register("search_params")
 def q_search(spark, sf):
-    """3-fold grid search over tree depth; one row per grid point with its mean F1."""
+    """Grid search of a tree: class weights, 3 risk-stratified folds, weighted AUC; one row per grid point."""
+    tr, _ = _train_test(spark, sf)
+    points = se.grid_candidates({"maxDepth": [2, 4], "minInstancesPerNode": [5, 50]})
+    found = se.search_params(tr, FEATS, POL, "decision_tree", points, folds=3)
+    rows = [(r["params"]["maxDepth"], r["params"]["minInstancesPerNode"], r["mean"], r["std"]) for r in found["results"]]
+    return spark.createDataFrame(rows, "maxDepth int, minInstancesPerNode int, mean_auc double, std_auc double")
+
+
+@register("best_params")
+def q_best_params(spark, sf):
+    """Random search: 20 seeded draws of a tree's parameters, 2 folds; the draw of the largest mean score."""
     tr, _ = _train_test(spark, sf)
-    res = md.search_params(tr, FEATS, "decision_tree", {"maxDepth": [2, 4]}, folds=3, parallelism=2)
-    rows = [(int(d), float(m)) for d, m in zip([2, 4], res["avg_metrics"])]
-    return spark.createDataFrame(rows, "maxDepth bigint, mean_f1 double")
+    found = se.search_params(tr, FEATS, POL, "decision_tree", se.random_candidates(md.TREE_GRID, 20), folds=2)
+    best = found["best_params"]
+    top = max(r["mean"] for r in found["results"])
+    return spark.createDataFrame([(len(found["results"]), best["maxDepth"], best["minInstancesPerNode"], top)],
+                                 "n_draws int, maxDepth int, minInstancesPerNode int, mean_auc double")
 
 
 @register("train_report")
 def q_train_report(spark, sf):
+    """Models of three kinds, saved to one folder and measured on the test rows."""
     tr, te = _train_test(spark, sf)
-    return md.train_report(tr, te, FEATS, POL, kinds=("logistic", "decision_tree"))
+    kinds = {"multinomial": {"maxIter": 20}, "decision_tree": {"maxDepth": 4}, "gbt": {"maxIter": 3}}
+    return md.train_report(tr, te, FEATS, POL, kinds, folder=scratch_path(spark, "report-")).drop("path")
 
 
 @register("save_load_model")
@@ -237,7 +287,7 @@ def q_save_load(spark, sf):
 @register("score_proba_long")
 def q_score_long(spark, sf):
     tr, te = _train_test(spark, sf)
-    b = md.fit_cost_sensitive(tr, FEATS, POL, "logistic", optimise_thresholds=False, maxIter=30)
+    b = md.fit_cost_sensitive(tr, FEATS, POL, "multinomial", optimise_thresholds=False, maxIter=30)
     scored = b["model"].transform(md.assemble(te, FEATS))
     return md.proba_long(scored, "label", "row_id")
 
@@ -246,7 +296,7 @@ def q_score_long(spark, sf):
 def q_contrib(spark, sf):
     """Linear-model contributions coef x value, top 3 per side per entity (class 0)."""
     tr, te = _train_test(spark, sf)
-    b = md.fit_cost_sensitive(tr, FEATS, POL, "logistic", optimise_thresholds=False, maxIter=30)
+    b = md.fit_cost_sensitive(tr, FEATS, POL, "multinomial", optimise_thresholds=False, maxIter=30)
     return md.linear_contributions(b, te, 0, "row_id")
 
 
