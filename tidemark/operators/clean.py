@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import numeric_columns, safe_div, string_columns
+from tidemark.functions.exprs import numeric_columns, string_columns
 from tidemark.functions.stats import exact_median
+from tidemark.operators.stages import StatefulModel
 
 OUTCOMES = ("M6_Rem", "Y1_Rem", "Y1_Rem_6")
 
@@ -113,28 +114,15 @@ class MedianModeImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultP
         cols = self.getInputCols() if self.isDefined("inputCols") else dataset.columns
         num = [c for c in cols if c in numeric_columns(dataset)]
         txt = [c for c in cols if c in string_columns(dataset)]
-        m = MedianModeImputerModel()
-        m.medians, m.modes = fit_medians(dataset, num), fit_modes(dataset, txt)
-        return m
+        return MedianModeImputerModel({"medians": fit_medians(dataset, num), "modes": fit_modes(dataset, txt)})
 
 
-class MedianModeImputerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    medians: dict = {}
-    modes: dict = {}
+class MedianModeImputerModel(StatefulModel):
+    """Fitted medians and modes; saved and read with its state."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return impute_mode(impute_median(dataset, list(self.medians), self.medians), list(self.modes), self.modes)
-
-
-def impute_standardized_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Helper for pipelines: z-score then mean-fill (0) - the scaled-space fill the KNN path starts from."""
-    st = fit_mean_std(df, cols, 1)
-    out = {}
-    for c in cols:
-        m, s = st[c]
-        z = safe_div(F.col(c) - F.lit(m), F.lit(s)) if s else F.col(c) - F.lit(m)
-        out[c] = F.coalesce(z, F.lit(0.0))
-    return df.withColumns(out)
+        medians, modes = self.state["medians"], self.state["modes"]
+        return impute_mode(impute_median(dataset, list(medians), medians), list(modes), modes)
 
 
 # ---------------------------------------------------------------------------

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import bias_corrected_skewness, numeric_columns, row_mean, row_sum, safe_div
+from tidemark.functions.exprs import bias_corrected_skewness, numeric_columns, row_mean, row_sum, string_columns
 from tidemark.functions.stats import exact_quantiles
+from tidemark.operators.stages import StatefulModel
 
 # Five-factor item sets of the 30-item symptom scale.
 FACTOR_ITEMS = {
@@ -235,17 +237,17 @@ def apply_scaler(df: DataFrame, params: Mapping[str, tuple]) -> DataFrame:
                            for c, (center, scale) in params.items() if center is not None})
 
 
-def scale_features(df: DataFrame, method: str = "standard", robust_for_outliers: bool = True,
-                   cols: Sequence[str] | None = None) -> DataFrame:
-    """Robust scaling for columns with IQR outliers, ``method`` for the rest.
+def fit_outlier_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard",
+                       robust_for_outliers: bool = True) -> dict[str, tuple]:
+    """(center, scale) per column: robust for columns with IQR outliers, ``method`` for the rest.
 
-    Fitting reads the data twice in total: one exact-quantile computation (q1, median,
-    q3 of every column) and one aggregation with every column's outlier count, mean,
-    population std, min and max.  The transform is a single projection.
+    Reads the data twice in total: one exact-quantile computation (q1, median, q3 of every
+    column) and one aggregation with every column's outlier count, mean, population std, min
+    and max.
     """
-    cols = numeric_columns(df) if cols is None else list(cols)
+    cols = list(cols)
     if not cols:
-        return df
+        return {}
     qs = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for c in cols:
@@ -274,35 +276,43 @@ def scale_features(df: DataFrame, method: str = "standard", robust_for_outliers:
             params[c] = (lo, rng if rng else 1.0)
         else:
             raise ValueError(method)
-    return apply_scaler(df, params)
+    return params
+
+
+def scale_features(df: DataFrame, method: str = "standard", robust_for_outliers: bool = True,
+                   cols: Sequence[str] | None = None) -> DataFrame:
+    """Robust scaling for columns with IQR outliers, ``method`` for the rest, in one projection."""
+    cols = numeric_columns(df) if cols is None else list(cols)
+    return apply_scaler(df, fit_outlier_scaler(df, cols, method, robust_for_outliers)) if cols else df
 
 
 class SkewItemTransformer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Fit: find item columns and those with skewness > 0.5; transform: cube-root them and
     add subscale totals, factor means and the positive/negative ratio."""
 
-    def __init__(self, method: str = "cbrt", threshold: float = 0.5, derived: bool = True):
+    method = Param(Params._dummy(), "method", "cbrt, log, sqrt, or empty for none", TypeConverters.toString)
+    threshold = Param(Params._dummy(), "threshold", "skewness above which an item is transformed", TypeConverters.toFloat)
+    derived = Param(Params._dummy(), "derived", "add totals, factor means and the ratio", TypeConverters.toBoolean)
+
+    def __init__(self, **params):
         super().__init__()
-        self.method, self.threshold, self.derived = method, threshold, derived
+        self._setDefault(method="cbrt", threshold=0.5, derived=True)
+        self._set(**params)
 
     def _fit(self, dataset: DataFrame) -> "SkewItemModel":
         items = select_by_prefix(dataset)
-        m = SkewItemModel()
-        m.items = items
-        m.skewed = skew_select(dataset, items, self.threshold, absolute=False) if items else []
-        m.method, m.derived = self.method, self.derived
-        return m
+        skewed = skew_select(dataset, items, self.getOrDefault("threshold"), absolute=False) if items else []
+        return SkewItemModel({"items": items, "skewed": skewed, "method": self.getOrDefault("method"),
+                              "derived": self.getOrDefault("derived")})
 
 
-class SkewItemModel(Model, DefaultParamsReadable, DefaultParamsWritable):
-    items: list = []
-    skewed: list = []
-    method: str = "cbrt"
-    derived: bool = True
+class SkewItemModel(StatefulModel):
+    """Fitted items; saved and read with its state."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out = transform_columns(dataset, self.skewed, self.method) if self.method else dataset
-        if self.derived:
+        skewed = [c for c in self.state["skewed"] if c in dataset.columns]
+        out = transform_columns(dataset, skewed, self.state["method"]) if self.state["method"] and skewed else dataset
+        if self.state["derived"]:
             out = subscale_totals(out)
             out = factor_means(out)
             if "PANSS_P_Total" in out.columns and "PANSS_N_Total" in out.columns:
@@ -310,30 +320,78 @@ class SkewItemModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return out
 
 
-def engineer_features(df: DataFrame, label_col: str | None = None, transform: bool = True,
-                      skew: bool = True, interact: bool = True, encode: bool = True, scale: bool = True,
-                      pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """item transform -> skew transform -> interactions -> one-hot -> scaling (each switchable).
+class FeatureEngineer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """item transform -> skew transform -> interactions -> one-hot -> scaling (each switchable), fitted once.
 
-    The skew transform is applied twice (item stage, then all numerics), as observed.
+    Columns of ``passThrough`` (row keys, the label) are kept as they are and enter no statistic.  The skew
+    transform is applied twice (item stage, then all numerics), as observed.
     """
-    out = df
-    if transform:
-        out = SkewItemTransformer().fit(out).transform(out)
-    if skew:
-        num = [c for c in numeric_columns(out) if c != label_col]
-        out = transform_skewed(out, 0.5, "cbrt", num)
-    if interact:
-        out = interactions(out, default_interaction_pairs(out) if pairs is None else pairs)
-    if encode:
-        from tidemark.functions.exprs import string_columns
-        cats = [c for c in string_columns(out) if c != label_col]
-        out = one_hot(out, cats, drop_first=True)
-    if scale:
-        num = [c for c in numeric_columns(out) if c != label_col]
-        out = scale_features(out, "standard", True, num)
-    return out
+
+    items = Param(Params._dummy(), "items", "transform items and add totals", TypeConverters.toBoolean)
+    skew = Param(Params._dummy(), "skew", "cube roots of skewed numerics", TypeConverters.toBoolean)
+    interact = Param(Params._dummy(), "interact", "add interactions", TypeConverters.toBoolean)
+    encode = Param(Params._dummy(), "encode", "one-hot text columns, first category dropped", TypeConverters.toBoolean)
+    scale = Param(Params._dummy(), "scale", "scale numerics, robustly where there are outliers", TypeConverters.toBoolean)
+    pairs = Param(Params._dummy(), "pairs", "interacting pairs; unset: the first items", TypeConverters.identity)
+    passThrough = Param(Params._dummy(), "passThrough", "columns left alone", TypeConverters.toListString)
+
+    def __init__(self, **params):
+        super().__init__()
+        self._setDefault(items=True, skew=True, interact=True, encode=True, scale=True, passThrough=[])
+        self._set(**params)
+
+    def _fit(self, dataset: DataFrame) -> "FeatureEngineerModel":
+        kept = self.getOrDefault("passThrough")
+        free = lambda names: [c for c in names if c not in kept]
+        state: dict = {"kept": kept, "items": None, "skewed": [], "pairs": [], "categories": None, "scaler": None}
+        model = FeatureEngineerModel(state)
+        if self.getOrDefault("items"):
+            state["items"] = SkewItemTransformer().fit(dataset).state
+        out = model._items(dataset)
+        if self.getOrDefault("skew"):
+            state["skewed"] = skew_select(out, free(numeric_columns(out)), 0.5, absolute=True)
+        out = model._skew(out)
+        if self.getOrDefault("interact"):
+            pairs = self.getOrDefault("pairs") if self.isDefined("pairs") else default_interaction_pairs(out)
+            state["pairs"] = [list(p) for p in pairs]
+        out = model._interact(out)
+        if self.getOrDefault("encode"):
+            cats = fit_categories(out, free(string_columns(out)))
+            state["categories"] = [[c, values] for c, values in cats.items()]
+        out = model._encode(out)
+        if self.getOrDefault("scale"):
+            out = out.persist()  # quantiles read it several times
+            state["scaler"] = {c: list(p) for c, p in fit_outlier_scaler(out, free(numeric_columns(out))).items()}
+            out.unpersist()
+        return model
+
+
+class FeatureEngineerModel(StatefulModel):
+    """Fitted chain; saved and read with its state (items, skewed columns, pairs, categories, centres and scales)."""
+
+    def _items(self, df: DataFrame) -> DataFrame:
+        return SkewItemModel(self.state["items"]).transform(df) if self.state["items"] else df
+
+    def _skew(self, df: DataFrame) -> DataFrame:
+        return transform_columns(df, self.state["skewed"], "cbrt") if self.state["skewed"] else df
+
+    def _interact(self, df: DataFrame) -> DataFrame:
+        return interactions(df, [tuple(p) for p in self.state["pairs"]]) if self.state["pairs"] else df
+
+    def _encode(self, df: DataFrame) -> DataFrame:
+        cats = dict(self.state["categories"] or [])
+        return one_hot(df, list(cats), drop_first=True, categories=cats) if cats else df
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = self._encode(self._interact(self._skew(self._items(dataset))))
+        return apply_scaler(out, self.state["scaler"]) if self.state["scaler"] else out
 
 
-def _safe_ratio(a, b):
-    return safe_div(a, b)
+def engineer_features(df: DataFrame, label_col: str | None = None, keep: Sequence[str] = (), transform: bool = True,
+                      skew: bool = True, interact: bool = True, encode: bool = True, scale: bool = True,
+                      pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """``FeatureEngineer`` fitted on and applied to the same rows."""
+    given = {} if pairs is None else {"pairs": [list(p) for p in pairs]}
+    kept = [*keep, *([label_col] if label_col else [])]
+    return FeatureEngineer(items=transform, skew=skew, interact=interact, encode=encode, scale=scale, passThrough=kept,
+                           **given).fit(df).transform(df)

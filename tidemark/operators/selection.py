@@ -26,11 +26,10 @@ def anova_f(df: DataFrame, features: Sequence[str], label_col: str = "label") ->
     g = df.groupBy(F.col(label_col).alias("_y")).agg(
         *[e for f in features for e in (F.count(f).alias(f"n_{f}"), F.avg(f).alias(f"m_{f}"),
                                         F.var_pop(f).alias(f"v_{f}"))])
-    parts = [g.select(F.lit(f).alias("feature"), "_y", F.col(f"n_{f}").alias("n"), F.col(f"m_{f}").alias("m"),
-                      F.col(f"v_{f}").alias("v")) for f in features]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    # a row per class and feature of the one aggregation
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"n_{f}").alias("n"), F.col(f"m_{f}").alias("m"),
+                               F.col(f"v_{f}").alias("v")) for f in features])
+    u = g.select("_y", F.inline(cells))
     u = u.where(F.col("n") > 0)
     w = Window.partitionBy("feature")
     u = u.withColumn("_N", F.sum("n").over(w)) \

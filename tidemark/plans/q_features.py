@@ -8,6 +8,7 @@ from tidemark.operators import clean as cl
 from tidemark.operators import features as fe
 from tidemark.operators import labels as lb
 from tidemark.plans.catalog import register
+from tidemark.session import scratch_path
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.sources import tables as tb
 
@@ -238,11 +239,60 @@ def q_scale_features(spark, sf):
     return fe.scale_features(t, "standard", True, NUM)
 
 
-@register("engineer_features")
+CODED = {"price": "M0_PANSS_P1", "acctbal": "M0_PANSS_P2", "qty": "M0_PANSS_N1", "n_lines": "M0_PANSS_N2", "disc": "M0_PANSS_G1"}
+ITEMS = list(CODED.values())
+DERIVED = {
+    "PANSS_P_Total": "coalesce(M0_PANSS_P1, 0) + coalesce(M0_PANSS_P2, 0)",
+    "PANSS_N_Total": "coalesce(M0_PANSS_N1, 0) + coalesce(M0_PANSS_N2, 0)",
+    "PANSS_G_Total": "coalesce(M0_PANSS_G1, 0)",
+    "PANSS_Factor_Positive": "M0_PANSS_P1",
+    "PANSS_Factor_Negative": "(coalesce(M0_PANSS_N1, 0) + coalesce(M0_PANSS_N2, 0)) / nullif((M0_PANSS_N1 is not null)::int "
+                             "+ (M0_PANSS_N2 is not null)::int, 0)",
+    "PANSS_Factor_Disorganized": "M0_PANSS_P2",
+    "PANSS_Factor_Anxiety_Depression": "M0_PANSS_G1",
+    "PANSS_P_N_Ratio": "(coalesce(M0_PANSS_P1, 0) + coalesce(M0_PANSS_P2, 0)) / (coalesce(M0_PANSS_N1, 0) "
+                       "+ coalesce(M0_PANSS_N2, 0) + 0.001)",
+}
+
+
+def _engineer_sql() -> str:
+    """Every stage as a table of its own, each with a one-row table of what it fits."""
+    keys = "row_id, label"
+    num = [*ITEMS, *DERIVED]
+    cross = [(f"Interaction_{a}_{b}", a, b) for a in ITEMS[:2] for b in ITEMS[2:4]]
+    dummies = ["status_O", "status_P", "status_nan"]
+    scaled = [*num, *[c for c, _, _ in cross], *dummies]
+    one = lambda cols, f: "select " + ", ".join(f(c) for c in cols)
+    extra = [
+        ("C", f"select {keys}, status, " + ", ".join(f"{c}::double as {n}" for c, n in CODED.items()) + " from T"),
+        ("KC", one(ITEMS, lambda c: f"skewness({c}) > 0.5 as {c}") + " from C"),
+        ("I", f"select {keys}, status, " + ", ".join(f"case when KC.{c} then cbrt(C.{c}) else C.{c} end as {c}" for c in ITEMS)
+         + " from C, KC"),
+        ("D", f"select {keys}, status, {', '.join(ITEMS)}, " + ", ".join(f"{e} as {n}" for n, e in DERIVED.items()) + " from I"),
+        ("KD", one(num, lambda c: f"abs(skewness({c})) > 0.5 as {c}") + " from D"),
+        ("S", f"select {keys}, status, " + ", ".join(f"case when KD.{c} then cbrt(D.{c}) else D.{c} end as {c}" for c in num)
+         + " from D, KD"),
+        ("X", "select *, " + ", ".join(f"{a} * {b} as {n}" for n, a, b in cross)
+         + ", coalesce(status = 'O', false)::int::double as status_O, coalesce(status = 'P', false)::int::double as status_P, "
+         "(status is null)::int::double as status_nan from S"),
+        ("QX", one(scaled, lambda c: f"quantile_cont({c}, 0.25) as q1_{c}, median({c}) as q2_{c}, quantile_cont({c}, 0.75) as q3_{c}, "
+                                     f"avg({c}) as a_{c}, stddev_pop({c}) as s_{c}") + " from X"),
+        ("OX", one(scaled, lambda c: f"count(*) filter (where {c} > q3_{c} + 1.5 * (q3_{c} - q1_{c}) "
+                                     f"or {c} < q1_{c} - 1.5 * (q3_{c} - q1_{c})) > 0 as o_{c}") + " from X, QX"),
+    ]
+    body = f"select {keys}, " + ", ".join(
+        f"case when o_{c} then ({c} - q2_{c}) / coalesce(nullif(q3_{c} - q1_{c}, 0), 1) else ({c} - a_{c}) / coalesce(nullif(s_{c}, 0), 1) "
+        f"end as {c}" for c in scaled) + " from X, QX, OX"
+    return rounded(with_fixtures(body, "T", extra=[(n, s) for n, s in extra]), scaled)
+
+
+@register("engineer_features", _engineer_sql())
 def q_engineer(spark, sf):
-    """Full chain on T (skew -> interactions -> one-hot -> scaling); rows check."""
-    t = _T(spark, sf).drop("row_id")
-    return fe.engineer_features(t, label_col="label", transform=False, pairs=[("qty", "n_lines")])
+    """The whole chain over coded items, row key and label kept: fitted, saved, read again, then applied."""
+    t = _T(spark, sf).select("row_id", "label", "status", *[F.col(c).cast("double").alias(n) for c, n in CODED.items()])
+    path = scratch_path(spark, "engineer-")
+    fe.FeatureEngineer(passThrough=["row_id", "label"]).fit(t).write().save(path)
+    return fe.FeatureEngineerModel.load(path).transform(t)
 
 
 def _knn_sql(k=5):

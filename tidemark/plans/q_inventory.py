@@ -24,10 +24,12 @@ from tidemark.operators import reports as rp
 from tidemark.operators import selection as sl
 from tidemark.operators import splits as sp
 from tidemark.operators import thresholds as th
+from tidemark.operators.selector import FeatureSelector, FeatureSelectorModel
 from tidemark.plans import oracle_longitudinal as ol
 from tidemark.plans.catalog import register
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.plans.q_labels import POL, _risk_case
+from tidemark.plans.q_selection import _anova_sql
 from tidemark.session import scratch_path
 from tidemark.sources import cohort as co
 from tidemark.sources import tables as tb
@@ -345,13 +347,35 @@ def q_select_importance(spark, sf):
     return sl.select_top(imp, "importance", k=3)
 
 
-@register("feature_selector")
+def _chosen_sql(variant: str, rule: str) -> str:
+    return f"select '{variant}' as variant, f.feature, {rule} as keep from FS f join VS v on f.feature = v.feature"
+
+
+@register("feature_selector", rounded(with_fixtures(
+    "select c.variant, c.feature, u.n, u.top from (" + " union all ".join(
+        (_chosen_sql("all", "true"), _chosen_sql("threshold", "f_score >= 1.0 and variance >= 1.0"),
+         _chosen_sql("top", "row_number() over (order by case when vr <= 3 then f_score end desc nulls last) <= 3"))) + ") c join ("
+    + " union all ".join(f"select '{c}' as feature, count({c}) as n, max({c})::double as top from T" for c in NUM)
+    + ") u on u.feature = c.feature where c.keep", "T", extra=[
+        ("FS", _anova_sql()),
+        ("VS", "select *, row_number() over (order by variance desc) as vr from (" + " union all ".join(
+            f"select '{c}' as feature, var_pop({c}) as variance from T" for c in NUM) + ") x")]), ["top"]))
 def q_feature_selector(spark, sf):
-    """Ordered method chain: variance (>= 0) -> ANOVA F top 3; one row per surviving feature."""
+    """Variance, then ANOVA F: a threshold of 1 (which beats the number given with it), the top 3, and all.
+    Each chain is fitted, saved, read again and applied; one row per column that comes out."""
     t = tb.tabular(spark, sf)
-    v = sl.variance_table(t, NUM).where(F.col("variance") >= 0.0).select("feature").collect()   # p rows
-    kept = [r["feature"] for r in v]
-    return sl.select_top(sl.anova_f(t, kept, "label"), "f_score", k=3).where("selected = 1")
+    out = None
+    for variant, given in (("threshold", {"threshold": 1.0, "nFeatures": 1}), ("top", {"nFeatures": 3}), ("all", {})):
+        path = _scratch(spark, "selector-")
+        FeatureSelector(methods=["variance", "statistical"], inputCols=NUM, labelCol="label", **given).fit(t).write().save(path)
+        model = FeatureSelectorModel.load(path)
+        kept = model.transform(t.select("row_id", *NUM)).drop("row_id")
+        row = kept.agg(*[f(F.col(c)).alias(f"{f.__name__}_{c}") for c in kept.columns for f in (F.count, F.max)])
+        cells = F.array(*[F.struct(F.lit(variant).alias("variant"), F.lit(c).alias("feature"), F.col(f"count_{c}").alias("n"),
+                                   F.col(f"max_{c}").cast("double").alias("top")) for c in kept.columns])
+        part = row.select(F.inline(cells))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("select_best")
