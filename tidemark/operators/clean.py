@@ -88,17 +88,22 @@ def standardize_for_impute(df: DataFrame, cols: Sequence[str], stats: Mapping |
 
 
 def preprocess_for_ml(df: DataFrame, label_col: str = "label", drop: Sequence[str] = OUTCOMES,
-                      dummies: bool = False) -> DataFrame:
+                      dummies: bool | str = False) -> DataFrame:
     """Median-fill numerics, mode-fill text, keep numeric features + integer label.
 
-    ``dummies=True`` keeps the categoricals as full one-hot columns (no level dropped).
+    ``dummies=True`` keeps the categoricals as full one-hot columns (no level dropped); "sparse" as one
+    sparse vector ``categories``, for any number of levels.
     """
     from tidemark.operators.features import one_hot
     d = drop_columns(df, [c for c in drop if c != label_col])
     num = [c for c in numeric_columns(d) if c != label_col]
     cat = [c for c in string_columns(d) if c != label_col]
     d = impute_median(d, num)
-    if dummies and cat:
+    if dummies == "sparse" and cat:
+        from tidemark.operators.categories import one_hot_sparse
+        d = one_hot_sparse(impute_mode(d, cat), cat, drop_first=False)
+        keep = [*num, "categories"]
+    elif dummies and cat:
         d = impute_mode(d, cat)
         d = one_hot(d, cat, drop_first=False)
         keep = [c for c in d.columns if c != label_col and c not in cat]

@@ -149,15 +149,28 @@ def default_interaction_pairs(df: DataFrame) -> list[tuple[str, str]]:
     return [(a, b) for a in p for b in n] if len(p) >= 2 and len(n) >= 2 else []
 
 
-def fit_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct values per column with null last (one partial aggregation)."""
+#: Categories that wide columns are made for at most; beyond, ``categories.one_hot_sparse`` has no such bound.
+MOST_CATEGORIES = 10_000
+
+
+def fit_categories(df: DataFrame, cols: Sequence[str], most: int = MOST_CATEGORIES) -> dict[str, list]:
+    """Sorted distinct values per column with null last, for outputs with a column per category.
+
+    They are counted apart first: more than ``most`` of them raise an error before any comes to the driver.
+    """
     if not cols:
         return {}
-    long = df.select(*[q(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "col", "value")
-    rows = long.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n")).collect()   # distinct categories only
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[r["col"]].append(r["value"])
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("col"), q(c).cast("string").alias("value")) for c in cols]))
+    distinct = df.select(pairs).distinct().persist()
+    try:
+        n = distinct.count()
+        if n > most:
+            raise ValueError(f"{n} categories would become as many columns (at most {most}); use one_hot_sparse")
+        out: dict[str, list] = {c: [] for c in cols}
+        for r in distinct.collect():
+            out[r["col"]].append(r["value"])
+    finally:
+        distinct.unpersist()
     return {c: sorted([v for v in vals if v is not None]) + ([None] if None in vals else []) for c, vals in out.items()}
 
 

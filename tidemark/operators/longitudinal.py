@@ -419,33 +419,64 @@ def filter_time_window(df: DataFrame, id_col: str, time_col: str, time_window=No
     return out.join(keep, id_col, "left_semi")
 
 
+def _halo_blocks(df: DataFrame, id_col: str, time_col: str, before: int, after: int, hot_rows: int | None):
+    """Rows with their place ``_at`` (from 0) and number of rows ``_n`` of their id, dealt to blocks of a window.
+
+    Ids with more than ``hot_rows`` rows are cut into blocks of as many; a row is also copied (``_own`` false) to the
+    next block where a frame reaching ``before`` rows back and ``after`` forth needs it.  Returns the frame and
+    the window over a block, so a long id spreads over tasks and each frame is whole.
+    """
+    tie = F.xxhash64(*[q(c) for c in df.columns])
+    base = df.select("*", q(id_col).alias("_id"), _time_expr(df, time_col).alias("_t"), tie.alias("_tie"))
+    n_hot, k = 0, 1
+    if hot_rows is not None:
+        base, n_hot, k = _assign_chunks(base, hot_rows)
+    if not n_hot:
+        base = base.withColumn("_ch", F.lit(0))
+    w = Window.partitionBy("_id", "_ch")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = base.select("*", (F.row_number().over(w.orderBy("_t", "_tie")) - 1).alias("_at"), F.count(F.lit(1)).over(whole).alias("_n"))
+    if not n_hot:
+        return x.withColumn("_own", F.lit(True)), w.orderBy("_at")
+    ws = Window.partitionBy("_id").orderBy("_ch")
+    sizes = base.where("_hot").groupBy("_id", "_ch").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = sizes.select("_id", "_ch", F.coalesce(F.sum("_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                           F.sum("_c").over(ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    x = _carry_join(x, offsets, n_hot * k)
+    x = x.withColumns({"_at": F.col("_at") + F.coalesce("_off", F.lit(0)), "_n": F.coalesce("_all", "_n")})
+    size = F.lit(max(hot_rows, before + after + 1))
+    own = F.when(F.col("_hot"), F.floor(F.col("_at") / size)).otherwise(F.lit(0))
+    reached = F.array_distinct(F.array(F.floor((F.col("_at") - after) / size), own, F.floor((F.col("_at") + before) / size)))
+    x = x.withColumn("_home", own).withColumn("_block", F.explode(F.when(F.col("_hot"), reached).otherwise(F.array(own))))
+    return x.withColumn("_own", F.col("_block") == F.col("_home")), Window.partitionBy("_id", "_block").orderBy("_at")
+
+
 def rolling_mean_centered(df: DataFrame, id_col: str, time_col: str, value_col: str, window: int,
-                          out_col: str = "rolling_mean") -> DataFrame:
+                          out_col: str = "rolling_mean", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Centred moving average (pandas ``rolling(w, center=True)``): null unless the frame is full.
 
-    For even ``w`` the frame has one more row before than after, as pandas does.
+    For even ``w`` the frame has one more row before than after, as pandas does.  Ids with more than
+    ``hot_rows`` rows are computed in blocks with halos.
     """
     before, after = window // 2, (window - 1) // 2
-    w = Window.partitionBy(q(id_col)).orderBy(q(time_col)).rowsBetween(-before, after)
-    full = F.count(F.lit(1)).over(w) == window
-    nonnull = F.count(q(value_col)).over(w) == window
-    return df.withColumn(out_col, F.when(full & nonnull, F.avg(q(value_col)).over(w)))
+    x, w = _halo_blocks(df, id_col, time_col, before, after, hot_rows)
+    w = w.rowsBetween(-before, after)
+    full = (F.count(F.lit(1)).over(w) == window) & (F.count(q(value_col)).over(w) == window)
+    x = x.withColumn("_ma", F.when(full, F.avg(q(value_col)).over(w))).where("_own")
+    return x.select(*[q(c) for c in df.columns], F.col("_ma").alias(out_col))
 
 
 def rolling_mean_trailing(df: DataFrame, id_col: str, time_col: str, value_col: str, window: int,
-                          out_col: str = "rolling_mean") -> DataFrame:
+                          out_col: str = "rolling_mean", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Valid-mode trailing moving average aligned to the last point of each window.
 
-    Ids with fewer than ``window`` rows keep their raw series (the reference falls back to it).
+    Ids with fewer than ``window`` rows keep their raw series (the reference falls back to it).  Ids
+    with more than ``hot_rows`` rows are computed in blocks with halos.
     """
-    w = Window.partitionBy(q(id_col)).orderBy(q(time_col))
-    frame = w.rowsBetween(-(window - 1), 0)
-    n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rn = F.row_number().over(w)
-    x = df.select("*", n.alias("_n"), rn.alias("_rn"), F.avg(q(value_col)).over(frame).alias("_ma"))
-    x = x.where((F.col("_n") < window) | (F.col("_rn") >= window))
-    return x.withColumn(out_col, F.when(F.col("_n") < window, q(value_col)).otherwise(F.col("_ma"))) \
-            .drop("_n", "_rn", "_ma")
+    x, w = _halo_blocks(df, id_col, time_col, window - 1, 0, hot_rows)
+    x = x.withColumn("_ma", F.avg(q(value_col)).over(w.rowsBetween(-(window - 1), 0))).where("_own")
+    x = x.where((F.col("_n") < window) | (F.col("_at") >= window - 1))
+    return x.select(*[q(c) for c in df.columns], F.when(F.col("_n") < window, q(value_col)).otherwise(F.col("_ma")).alias(out_col))
 
 
 def longitudinal_summary(df: DataFrame, id_col: str, value_col: str) -> DataFrame:

@@ -8,9 +8,11 @@ prefix sum (``prefix_sums``) so no single task ever holds a whole class.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,11 +207,11 @@ def score_counts(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_tr
         F.count_if(pos).cast("long").alias("n_pos"), F.count_if(~pos).cast("long").alias("n_neg"))
 
 
-def with_totals(sc: DataFrame) -> tuple[DataFrame, Column, Column]:
+def with_totals(sc: DataFrame, keys: Sequence[str] = ("cls",)) -> tuple[DataFrame, Column, Column]:
     """Scores with their class's positives and negatives: one row per class, summed with partial
-    aggregates and joined back, so that a class isn't gathered for a window."""
-    totals = sc.groupBy("cls").agg(F.sum("n_pos").alias("_P"), F.sum("n_neg").alias("_N"))
-    return sc.join(totals, "cls"), F.col("_P"), F.col("_N")
+    aggregates and broadcast, so that a class isn't gathered for a window or a join."""
+    totals = sc.groupBy(*keys).agg(F.sum("n_pos").alias("_P"), F.sum("n_neg").alias("_N"))
+    return sc.join(F.broadcast(totals), list(keys)), F.col("_P"), F.col("_N")
 
 
 def auc_per_class(p_long: DataFrame, cls_col="cls", score_col="p", true_col="y_true", group_cols: Sequence[str] = (),
@@ -250,33 +252,58 @@ def risk_adjusted_auc(p_long: DataFrame, policy: Policy, cls_col="cls", score_co
     return a.agg((F.sum(F.col("auc") * w) / F.sum(w)).alias("risk_adjusted_auc"))
 
 
-def roc_points(scored: DataFrame, score_col="score", true_col="y_true", cls_col: str | None = None) -> DataFrame:
-    """FPR/TPR at every distinct score threshold (p >= s predicted positive).
+def _curve(scored: DataFrame, score_col: str, true_col: str, cls_col: str | None, group_cols: Sequence[str]):
+    """Cumulative counts at every distinct score (``_tp``, ``_fp``) and at the next higher one (``_tp1``, ``_fp1``)."""
+    cls = F.lit(1) if cls_col is None else F.col(cls_col)
+    base = scored.select(*group_cols, cls.cast("long").alias("cls"), F.col(score_col).alias("p"), F.col(true_col).cast("long").alias("y_true"))
+    keys = [*group_cols, "cls"]
+    sc, P, N = with_totals(prefix_sums(score_counts(base, group_cols=group_cols), keys, "score", ["n_pos", "n_neg"]), keys)
+    tp, fp = P - F.col("n_pos_before"), N - F.col("n_neg_before")
+    return sc.select(*keys, "score", P.alias("_P"), N.alias("_N"), tp.alias("_tp"), fp.alias("_fp"),
+                     (tp - F.col("n_pos")).alias("_tp1"), (fp - F.col("n_neg")).alias("_fp1"))
+
+
+def roc_points(scored: DataFrame, score_col="score", true_col="y_true", cls_col: str | None = None,
+               group_cols: Sequence[str] = ()) -> DataFrame:
+    """FPR/TPR at every distinct score threshold (p >= s predicted positive), and (0, 0) with a null threshold.
 
     ``cls_col`` given -> one curve per class of a long-form frame; else binary 0/1 labels.
+    ``group_cols`` (models) have curves of their own.
     """
-    if cls_col is None:
-        base = scored.select(F.lit(1).cast("long").alias("cls"), F.col(score_col).alias("p"),
-                             F.col(true_col).cast("long").alias("y_true"))
-    else:
-        base = scored.select(F.col(cls_col).cast("long").alias("cls"), F.col(score_col).alias("p"),
-                             F.col(true_col).cast("long").alias("y_true"))
-    sc = prefix_sums(score_counts(base), ["cls"], "score", ["n_pos", "n_neg"])
-    sc, P, N = with_totals(sc)
-    pts = sc.select("cls", F.col("score").alias("threshold"),
-                    safe_div(N - F.col("n_neg_before"), N).alias("fpr"),
-                    safe_div(P - F.col("n_pos_before"), P).alias("tpr"))
-    return pts
+    sc = _curve(scored, score_col, true_col, cls_col, group_cols)
+    point = F.struct(F.col("score").alias("threshold"), safe_div(F.col("_fp"), F.col("_N")).alias("fpr"),
+                     safe_div(F.col("_tp"), F.col("_P")).alias("tpr"))
+    start = F.struct(F.lit(None).cast(sc.schema["score"].dataType).alias("threshold"),
+                     safe_div(F.lit(0), F.col("_N")).alias("fpr"), safe_div(F.lit(0), F.col("_P")).alias("tpr"))
+    top = (F.col("_tp1") == 0) & (F.col("_fp1") == 0)  # nothing scores higher
+    points = F.when(top, F.array(point, start)).otherwise(F.array(point))
+    return sc.select(*group_cols, "cls", F.inline(points))
+
+
+def curve_areas(scored: DataFrame, score_col="score", true_col="y_true", cls_col: str | None = None,
+                group_cols: Sequence[str] = ()) -> DataFrame:
+    """Areas under the ROC and the precision-recall curve by trapezoids, per class and group.
+
+    A row knows its own point and, as its score's counts are its own, the next higher one, so trapezoids across
+    buckets need no neighbour: one aggregate.  The precision-recall curve ends at recall 0 and precision 1.
+    Null where a class has no positives (or, for ROC, no negatives).
+    """
+    sc = _curve(scored, score_col, true_col, cls_col, group_cols)
+    P, N = F.col("_P"), F.col("_N")
+    ratio = lambda a, b: a.cast("double") / b
+    roc = ratio(F.col("_fp") - F.col("_fp1"), N) * (ratio(F.col("_tp"), P) + ratio(F.col("_tp1"), P)) / 2
+    above = F.col("_tp1") + F.col("_fp1")
+    ahead = F.when(above == 0, F.lit(1.0)).otherwise(ratio(F.col("_tp1"), F.nullif(above, F.lit(0))))
+    pr = ratio(F.col("_tp") - F.col("_tp1"), P) * (ratio(F.col("_tp"), F.col("_tp") + F.col("_fp")) + ahead) / 2
+    return sc.groupBy(*group_cols, "cls").agg(
+        F.sum(F.when((P > 0) & (N > 0), roc)).alias("roc_area"), F.sum(F.when(P > 0, pr)).alias("pr_area"),
+        F.max(safe_div(P, P + N)).alias("baseline"))
 
 
 def pr_points(scored: DataFrame, score_col="score", true_col="y_true") -> DataFrame:
     """Precision/recall at every distinct score threshold (binary), prevalence as baseline."""
-    base = scored.select(F.lit(1).cast("long").alias("cls"), F.col(score_col).alias("p"),
-                         F.col(true_col).cast("long").alias("y_true"))
-    sc = prefix_sums(score_counts(base), ["cls"], "score", ["n_pos", "n_neg"])
-    sc, P, N = with_totals(sc)
-    tp = P - F.col("n_pos_before")
-    fp = N - F.col("n_neg_before")
+    sc = _curve(scored, score_col, true_col, None, ())
+    P, N, tp, fp = (F.col(c) for c in ("_P", "_N", "_tp", "_fp"))
     return sc.select(F.col("score").alias("threshold"), safe_div(tp, tp + fp).alias("precision"),
                      safe_div(tp, P).alias("recall"), safe_div(P, P + N).alias("baseline"))
 
@@ -326,21 +353,30 @@ def compare_model_utilities(df: DataFrame, policy: Policy, model_col: str = "mod
     return per
 
 
+def _cell_draws(seed: int):
+    """Multiplicity of a confusion cell in a replicate: the sum of n Poisson(1) weights is Poisson(n)."""
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("rep", "y_true", "y_pred", "n")]
+            drawn = [int(np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{r}:{t}:{p}".encode()).digest()[:8], "big")).poisson(n))
+                     for r, t, p, n in zip(*cols)]
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(drawn, pa.int64())],
+                                  names=["rep", "y_true", "y_pred", "n"])
+    return run
+
+
 def bootstrap_metric_ci(df: DataFrame, policy: Policy, n_boot: int = 200, seed: int = 42,
-                        true_col="y_true", pred_col="y_pred", id_col="row_id") -> tuple[DataFrame, DataFrame]:
+                        true_col="y_true", pred_col="y_pred") -> tuple[DataFrame, DataFrame]:
     """Bootstrap distribution and CI of utility and accuracy without refitting.
 
-    Each row gets a Poisson(1) multiplicity per replicate from a seeded hash of
-    (id, replicate) - the Poisson bootstrap, so nothing of size n x B is materialised:
-    replicates are generated inside the scan and partial-aggregated to weighted
-    confusion counts (a B x K^2 table).  Returns (per-replicate table, summary table).
+    The metrics depend on the confusion table only, and under the Poisson bootstrap a cell of n rows has a Poisson(n)
+    multiplicity: rows are counted once, then K^2 x B draws are made, each seeded by its cell and replicate, so
+    the result is the same after any repartition.  Returns (per-replicate table, summary table).
     """
-    reps = F.sequence(F.lit(0), F.lit(n_boot - 1))
-    x = df.select(F.col(true_col).cast("long").alias("y_true"), F.col(pred_col).cast("long").alias("y_pred"),
-                  F.col(id_col).alias("_id"), F.explode(reps).alias("rep"))
-    u = (F.pmod(F.xxhash64(F.col("_id"), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    k = F.size(F.filter(F.array(*[F.lit(float(c)) for c in _poisson_cdf(16)]), lambda c: c < u))
-    cm = x.groupBy("rep", "y_true", "y_pred").agg(F.sum(k.cast("long")).alias("n"))
+    cells = df.groupBy(F.col(true_col).cast("long").alias("y_true"), F.col(pred_col).cast("long").alias("y_pred")).agg(
+        F.count(F.lit(1)).alias("n"))
+    reps = cells.select(F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"), "y_true", "y_pred", "n")
+    cm = reps.mapInArrow(_cell_draws(seed), "rep int, y_true long, y_pred long, n long").filter("n > 0")
     ovr = _with_costs(one_vs_rest_from_cm(cm, ["rep"]), policy)
     per = ovr.groupBy("rep").agg(
         (1 - F.sum(F.col("fn") * F.col("fn_cost") + F.col("fp") * F.col("fp_cost"))

@@ -114,17 +114,38 @@ def temporal_split(df: DataFrame, time_col: str, min_train_periods: int = 1, ste
         *[c for c in df.columns]).drop("_pi")
 
 
+def _poisson_draw(id_col: str, replicate: Column, seed: int) -> Column:
+    """Poisson(1) multiplicity of a row in a replicate, from md5 of id, seed and replicate (the same in any engine)."""
+    key = F.md5(F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)), replicate.cast("string")))
+    u = F.conv(F.substring(key, 1, HEX_PREFIX), 16, 10).cast("double") / float(16 ** HEX_PREFIX)
+    return sum((F.when(u > F.lit(c), 1).otherwise(0) for c in poisson_steps()), F.lit(0)).cast("long")
+
+
+def poisson_steps(n: int = 16) -> list[float]:
+    """Distribution function of Poisson(1) at 0 .. n - 1."""
+    out, acc = [], 0.0
+    for k in range(n):
+        acc += math.exp(-1.0) / math.factorial(k)
+        out.append(acc)
+    return out
+
+
 def poisson_weights(df: DataFrame, id_col: str, n_boot: int, seed: int = SEED) -> DataFrame:
-    """(replicate, row) Poisson(1) multiplicities from a seeded hash - the bootstrap sample
+    """(replicate, row) Poisson(1) multiplicities keyed by the row's id - the bootstrap sample
     without materialising n x B rows (rows with weight 0 are dropped)."""
     reps = F.sequence(F.lit(0), F.lit(n_boot - 1))
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf, acc = [], 0.0
-    for kk in range(16):
-        acc += math.exp(-1.0) / math.factorial(kk)
-        cdf.append(acc)
-    w = F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: c < u))
-    return df.withColumn("replicate", F.explode(reps)).withColumn("weight", w.cast("long")).where("weight > 0")
+    x = df.withColumn("replicate", F.explode(reps))
+    return x.withColumn("weight", _poisson_draw(id_col, F.col("replicate"), seed)).where("weight > 0")
+
+
+def bootstrap_sample(df: DataFrame, id_col: str, replicate: int = 0, seed: int = SEED) -> DataFrame:
+    """One with-replacement resample, for refits: each row as often as its md5-keyed draw says, numbered ``copy``.
+
+    The same rows come out after any repartition, and on a rerun; a null id has one draw.
+    """
+    weight = _poisson_draw(id_col, F.lit(replicate), seed)
+    x = df.withColumn("_weight", weight).where("_weight > 0")
+    return x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_weight")))).drop("_weight")
 
 
 def thirty_row_window(df: DataFrame, order_col: str, id_col: str, head: int = 10) -> DataFrame:

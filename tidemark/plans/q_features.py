@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import categories as ca
 from tidemark.operators import clean as cl
 from tidemark.operators import features as fe
 from tidemark.operators import labels as lb
@@ -239,6 +240,44 @@ def q_scale_features(spark, sf):
     return fe.scale_features(t, "standard", True, NUM)
 
 
+def _hot_sql(drop: int, src: str) -> str:
+    """Places of the ones: the value's number in its column (null last), after the columns before."""
+    dicts = [(f"K{i}", f"select {c} as v, row_number() over (order by {c} nulls last) - 1 as i, count(*) over () as k "
+                       f"from (select distinct {c} from {src}) z") for i, c in enumerate(CAT)]
+    ctes = ", ".join(f"{n} as ({sql})" for n, sql in dicts)
+    base = ["0"]
+    for i in range(len(CAT) - 1):
+        base.append(base[-1] + f" + (select max(k) - {drop} from K{i})")
+    places = ", ".join(f"case when K{i}.i >= {drop} then {base[i]} + K{i}.i - {drop} end" for i in range(len(CAT)))
+    joins = " ".join(f"join K{i} on K{i}.v is not distinct from x.{c}" for i, c in enumerate(CAT))
+    size = " + ".join(f"(select max(k) - {drop} from K{i})" for i in range(len(CAT)))
+    return (f"with {ctes} select x.row_id, array_to_string(list_filter([{places}], lambda p: p is not null), ',') as ones, "
+            f"({size})::bigint as width from {src} x {joins}")
+
+
+def _ones(df):
+    from pyspark.ml.functions import vector_to_array
+    dense = vector_to_array(F.col("categories"))
+    at = F.filter(F.transform(dense, lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
+    return df.select("row_id", F.array_join(at.cast("array<string>"), ",").alias("ones"), F.size(dense).cast("long").alias("width"))
+
+
+@register("one_hot_sparse", with_fixtures("select * from H", "T", extra=[("H", _hot_sql(1, "T"))]))
+def q_one_hot_sparse(spark, sf):
+    """Categories as one sparse vector over a distributed dictionary, first of each column left out."""
+    return _ones(ca.one_hot_sparse(_T(spark, sf).select("row_id", *CAT), CAT))
+
+
+@register("preprocess_for_ml_sparse", with_fixtures(
+    "select h.row_id, h.ones, h.width from H h", "T", extra=[
+        ("MF", "select row_id, " + ", ".join(f"coalesce({c}, (select {c} from T where {c} is not null group by {c} "
+                                             f"order by count(*) desc, {c} limit 1)) as {c}" for c in CAT) + " from T"),
+        ("H", _hot_sql(0, "MF"))]))
+def q_preprocess_sparse(spark, sf):
+    """Medians, modes and full one-hot vectors without a list of categories on the driver."""
+    return _ones(cl.preprocess_for_ml(_T(spark, sf), "label", dummies="sparse").withColumn("row_id", F.col("row_id").cast("long")))
+
+
 CODED = {"price": "M0_PANSS_P1", "acctbal": "M0_PANSS_P2", "qty": "M0_PANSS_N1", "n_lines": "M0_PANSS_N2", "disc": "M0_PANSS_G1"}
 ITEMS = list(CODED.values())
 DERIVED = {

@@ -401,13 +401,6 @@ def q_pca_features(spark, sf):
     return t.select("row_id", *exprs)
 
 
-@register("bootstrap_sample")
-def q_bootstrap_sample(spark, sf):
-    """One seeded with-replacement resample of B (``sample(True, 1.0)``), for refits."""
-    b = tb.scored_binary(spark, sf)
-    return b.sample(withReplacement=True, fraction=1.0, seed=42)
-
-
 @register("metric_interval")
 def q_metric_interval(spark, sf):
     """Point estimate, lower and upper bound per metric from the Poisson bootstrap."""

@@ -75,28 +75,44 @@ def q_filter_window(spark, sf):
     return lg.filter_time_window(_L(spark, sf), "patient_id", "t", (5, 20), min_observations=12)
 
 
-@register("rolling_mean_centered", rounded(with_fixtures(
+_CENTERED = rounded(with_fixtures(
     """select patient_id, t, s_click,
          case when count(*) over w = 3 and count(s_click) over w = 3 then avg(s_click) over w end as rolling_mean
        from L window w as (partition by patient_id order by t rows between 1 preceding and 1 following)""", "L"),
-    ["s_click", "rolling_mean"]))
-def q_rolling_centered(spark, sf):
-    return lg.rolling_mean_centered(_L(spark, sf).select("patient_id", "t", "s_click"),
-                                    "patient_id", "t", "s_click", 3)
-
-
-@register("rolling_mean_trailing", rounded(with_fixtures(
+    ["s_click", "rolling_mean"])
+_TRAILING = rounded(with_fixtures(
     """select patient_id, t, s_view, rolling_mean from (
          select patient_id, t, s_view, count(*) over (partition by patient_id) as n,
                 row_number() over (partition by patient_id order by t) as rn,
-                avg(s_view) over (partition by patient_id order by t rows between 4 preceding and current row) as ma,
                 case when count(*) over (partition by patient_id) < 5 then s_view
                      else avg(s_view) over (partition by patient_id order by t rows between 4 preceding and current row)
                 end as rolling_mean
-         from L) x where n < 5 or rn >= 5""", "L"), ["s_view", "rolling_mean"]))
+         from L) x where n < 5 or rn >= 5""", "L"), ["s_view", "rolling_mean"])
+
+
+def _rolled(spark, sf, fn, col, window, hot_rows):
+    return fn(_L(spark, sf).select("patient_id", "t", col), "patient_id", "t", col, window, hot_rows=hot_rows)
+
+
+@register("rolling_mean_centered", _CENTERED)
+def q_rolling_centered(spark, sf):
+    return _rolled(spark, sf, lg.rolling_mean_centered, "s_click", 3, None)
+
+
+@register("rolling_mean_centered_hot_split", _CENTERED)
+def q_rolling_centered_split(spark, sf):
+    """Series of more than 12 rows in blocks of 12 with halos: equal to the plain window."""
+    return _rolled(spark, sf, lg.rolling_mean_centered, "s_click", 3, 12)
+
+
+@register("rolling_mean_trailing", _TRAILING)
 def q_rolling_trailing(spark, sf):
-    return lg.rolling_mean_trailing(_L(spark, sf).select("patient_id", "t", "s_view"),
-                                    "patient_id", "t", "s_view", 5)
+    return _rolled(spark, sf, lg.rolling_mean_trailing, "s_view", 5, None)
+
+
+@register("rolling_mean_trailing_hot_split", _TRAILING)
+def q_rolling_trailing_split(spark, sf):
+    return _rolled(spark, sf, lg.rolling_mean_trailing, "s_view", 5, 12)
 
 
 @register("longitudinal_summary", rounded(with_fixtures(

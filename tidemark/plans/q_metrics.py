@@ -152,12 +152,37 @@ _CURVE_B = """select score, n_pos, n_neg,
 
 @register("roc_points", rounded(with_fixtures(
     """select cast(1 as bigint) as cls, score as threshold, (NN - neg_before) / nullif(NN, 0) as fpr,
-              (PP - pos_before) / nullif(PP, 0) as tpr from CB""", "B", extra=[("CB", _CURVE_B)]),
+              (PP - pos_before) / nullif(PP, 0) as tpr from CB
+       union all select 1, null, 0 / nullif(max(NN), 0), 0 / nullif(max(PP), 0) from CB having count(*) > 0""",
+    "B", extra=[("CB", _CURVE_B)]),
     ["threshold", "fpr", "tpr"]))
 def q_roc(spark, sf):
     return mt.roc_points(tb.scored_binary(spark, sf))
 
 
+_AREAS = """
+    with s as (select model, cls, p, count(*) filter (where y_true = cls) as a, count(*) filter (where y_true <> cls) as b
+               from M group by model, cls, p),
+    c as (select *, sum(a) over w as tp, sum(b) over w as fp, sum(a) over (partition by model, cls) as PP,
+                 sum(b) over (partition by model, cls) as NN from s window w as (partition by model, cls order by p desc)),
+    e as (select *, coalesce(lag(tp) over w, 0) as tp1, coalesce(lag(fp) over w, 0) as fp1,
+                 lag(tp / (tp + fp)) over w as prec1 from c window w as (partition by model, cls order by p desc))
+    select model, cls, sum((fp / NN - fp1 / NN) * (tp / PP + tp1 / PP) / 2) as roc_area,
+           sum((tp / PP - tp1 / PP) * (tp / (tp + fp) + coalesce(prec1, 1)) / 2) as pr_area, max(PP / (PP + NN)) as baseline
+    from e group by model, cls"""
+
+
+@register("curve_areas", rounded(with_fixtures("select * from AREAS", "P", extra=[
+    ("M", "select 'main' as model, cls, p, y_true from P union all "
+          "select 'even', cls, round(p * 20) / 20, y_true from P"), ("AREAS", _AREAS)]), ["roc_area", "pr_area", "baseline"]))
+def q_areas(spark, sf):
+    """ROC and precision-recall areas per class of two models: the scores, and the scores in steps of a twentieth."""
+    p = tb.scored_multiclass(spark, sf).select("cls", "p", "y_true")
+    even = p.withColumn("p", F.round(F.col("p") * 20) / 20)
+    both = p.withColumn("model", F.lit("main")).unionByName(even.withColumn("model", F.lit("even")))
+    return mt.curve_areas(both, "p", "y_true", "cls", ["model"])
+
+
 @register("pr_points", rounded(with_fixtures(
     """select score as threshold, (PP - pos_before) / nullif((PP - pos_before) + (NN - neg_before), 0) as precision,
               (PP - pos_before) / nullif(PP, 0) as recall, PP / nullif(PP + NN, 0) as baseline from CB""",

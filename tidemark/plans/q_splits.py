@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics as mt
 from tidemark.operators import splits as sp
 from tidemark.plans.catalog import register
-from tidemark.plans.oracle import with_fixtures
+from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.plans.q_labels import POL, _risk_case
 from tidemark.sources import tables as tb
 
@@ -70,13 +70,28 @@ def q_temporal(spark, sf):
     return sp.temporal_split(lon, "t", min_train_periods=20, step=5, max_train_periods=7)
 
 
-@register("bootstrap_weights")
+def draw_sql(replicate: str, row: str = "row_id", seed: int = 42) -> str:
+    """Poisson(1) multiplicity from the first 12 hexadecimal digits of an md5."""
+    u = f"(('0x' || substr(md5({row}::varchar || '-{seed}-' || {replicate}::varchar), 1, 12))::bigint::double / {float(16 ** 12)!r}::double)"
+    return " + ".join(f"({u} > {c!r}::double)::bigint" for c in sp.poisson_steps())
+
+
+@register("bootstrap_weights", with_fixtures(
+    "select replicate, sum(w)::bigint as n_drawn, count(*) as n_distinct from (select r as replicate, "
+    + draw_sql("r") + " as w from B, range(20) x(r)) z where w > 0 group by replicate", "B"))
 def q_boot_weights(spark, sf):
-    """Poisson(1) bootstrap multiplicities (20 replicates) of B - rows check; total weight ~ n x B."""
+    """Poisson(1) bootstrap multiplicities (20 replicates) of B; total weight ~ n x B."""
     w = sp.poisson_weights(tb.scored_binary(spark, sf), "row_id", 20)
     return w.groupBy("replicate").agg(F.sum("weight").alias("n_drawn"), F.count(F.lit(1)).alias("n_distinct"))
 
 
+@register("bootstrap_sample", rounded(with_fixtures(
+    "select row_id, y_true, score, unnest(range(1, w + 1)) as copy from (select *, " + draw_sql("0") + " as w from B) z", "B"), ["score"]))
+def q_bootstrap_sample(spark, sf):
+    """One seeded with-replacement resample of B, for refits."""
+    return sp.bootstrap_sample(tb.scored_binary(spark, sf), "row_id")
+
+
 @register("class_distribution_by_split", with_fixtures(
     f"""select split, label as cls, count(*) as count, count(*) / sum(count(*)) over (partition by split) as share from (
           select row_id, label, case when rk < ceil(n * 0.3) then 'test' else 'train' end as split from (
