@@ -114,7 +114,7 @@ def temporal_split(df: DataFrame, time_col: str, min_train_periods: int = 1, ste
         *[c for c in df.columns]).drop("_pi")
 
 
-def _poisson_draw(id_col: str, replicate: Column, seed: int) -> Column:
+def poisson_draw(id_col: str, replicate: Column, seed: int) -> Column:
     """Poisson(1) multiplicity of a row in a replicate, from md5 of id, seed and replicate (the same in any engine)."""
     key = F.md5(F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)), replicate.cast("string")))
     u = F.conv(F.substring(key, 1, HEX_PREFIX), 16, 10).cast("double") / float(16 ** HEX_PREFIX)
@@ -135,7 +135,7 @@ def poisson_weights(df: DataFrame, id_col: str, n_boot: int, seed: int = SEED) -
     without materialising n x B rows (rows with weight 0 are dropped)."""
     reps = F.sequence(F.lit(0), F.lit(n_boot - 1))
     x = df.withColumn("replicate", F.explode(reps))
-    return x.withColumn("weight", _poisson_draw(id_col, F.col("replicate"), seed)).where("weight > 0")
+    return x.withColumn("weight", poisson_draw(id_col, F.col("replicate"), seed)).where("weight > 0")
 
 
 def bootstrap_sample(df: DataFrame, id_col: str, replicate: int = 0, seed: int = SEED) -> DataFrame:
@@ -143,7 +143,7 @@ def bootstrap_sample(df: DataFrame, id_col: str, replicate: int = 0, seed: int =
 
     The same rows come out after any repartition, and on a rerun; a null id has one draw.
     """
-    weight = _poisson_draw(id_col, F.lit(replicate), seed)
+    weight = poisson_draw(id_col, F.lit(replicate), seed)
     x = df.withColumn("_weight", weight).where("_weight > 0")
     return x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_weight")))).drop("_weight")
 

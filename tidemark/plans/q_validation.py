@@ -41,8 +41,22 @@ def q_group_kfold(spark, sf):
 @register("cross_validate")
 def q_cv(spark, sf):
     """Risk-stratified 3-fold CV of a weighted decision tree: per-fold utility / recall / accuracy."""
-    per, _ = va.cross_validate(_T_imputed(spark, sf), FEATS, POL, "decision_tree", k=3, maxDepth=4)
-    return per
+    return va.cross_validate(_T_imputed(spark, sf), FEATS, POL, "decision_tree", k=3, maxDepth=4).per
+
+
+_FOLDS = (f"select label, (row_number() over (partition by level order by md5(row_id::varchar || '-42')) - 1) % 3 as fold from ("
+          f"select row_id, label, case {' '.join(f'when label = {c} then ' + repr(POL.risk_of(c)) for c in POL.classes)} "
+          "else 'moderate_risk' end as level from T) z")
+
+
+@register("cross_validate_classes", with_fixtures(
+    "select fold::bigint as fold, label as cls, count(*) as support, 0::bigint as n_outside from (" + _FOLDS + ") y group by all", "T"))
+def q_cv_classes(spark, sf):
+    """Class scores per fold: every class of a fold has its support, and precision, recall, F1 and AUC within 0 to 1."""
+    c = va.cross_validate(_T_imputed(spark, sf), FEATS, POL, "decision_tree", k=3, maxDepth=4).classes
+    outside = sum((F.when(F.coalesce(F.col(m), F.lit(-1.0)).between(0, 1), 0).otherwise(1) for m in ("precision", "recall", "f1", "auc")),
+                  F.lit(0))
+    return c.filter("support > 0").select("fold", "cls", "support", outside.cast("long").alias("n_outside"))
 
 
 @register("temporal_cross_validate")
@@ -51,9 +65,8 @@ def q_temporal_cv(spark, sf):
     t = _T_imputed(spark, sf)
     yrs = tb.read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"),
                                                     F.year("o_orderdate").cast("long").alias("year"))
-    per, _ = va.temporal_cross_validate(t.join(yrs, "row_id"), FEATS, POL, "year", "decision_tree",
-                                        min_train_periods=3, step=1, maxDepth=3)
-    return per
+    return va.temporal_cross_validate(t.join(yrs, "row_id"), FEATS, POL, "year", "decision_tree",
+                                      min_train_periods=3, step=1, maxDepth=3).per
 
 
 @register("bootstrap_evaluation")
@@ -61,9 +74,8 @@ def q_boot_eval(spark, sf):
     """Three Poisson-bootstrap refits scored on the hold-out: metric mean / std / CI."""
     t = _T_imputed(spark, sf)
     s = sp.train_test_split(t, "row_id", "label", 0.3)
-    _, summ = va.bootstrap_evaluation(s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split"),
-                                      FEATS, POL, n_boot=3, kind="decision_tree", maxDepth=3)
-    return summ
+    return va.bootstrap_evaluation(s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split"),
+                                   FEATS, POL, n_boot=3, kind="decision_tree", maxDepth=3).summary
 
 
 @register("batch_score_table", rounded(with_fixtures(
