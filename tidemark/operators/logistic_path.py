@@ -29,14 +29,13 @@ from tidemark.operators.stages import StatefulModel
 CHUNK = 1024
 
 
-def _pass(coefs: np.ndarray, classes: list[int], n_folds: int, n_penalties: int, mean: np.ndarray, scale: np.ndarray,
-          groups: int):
-    """Sums of one pass, a row of bytes a partition: loss, gradient, curvature and held-out hits of every model.
+def _pass(flat: np.ndarray, fold_of: np.ndarray, class_of: np.ndarray, mean: np.ndarray, scale: np.ndarray, groups: int):
+    """Sums of one pass, a row of bytes a partition: loss, held-out hits, gradient and curvature of some models.
 
-    ``coefs`` is (folds + 1) x classes x penalties x (1 + features) on standardised features, the intercept first.
+    ``flat`` has a column of coefficients on standardised features (the intercept first) for each model, which
+    is fitted on the rows outside ``fold_of`` it and tells ``class_of`` it from the rest.
     """
-    f1, k, m, width = n_folds + 1, len(classes), n_penalties, coefs.shape[-1]
-    flat = coefs.reshape(-1, width).T
+    width = len(flat)
     upper = np.triu_indices(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,11 +48,9 @@ def _pass(coefs: np.ndarray, classes: list[int], n_folds: int, n_penalties: int,
             x = np.concatenate([np.ones((len(y), 1)), x], 1)
             for a in range(0, len(y), CHUNK):
                 xs, ws = x[a:a + CHUNK], w[a:a + CHUNK]
-                is_class = (y[a:a + CHUNK, None] == np.array(classes)[None]).astype(float)
                 margin = xs @ flat
-                target = np.broadcast_to(is_class[:, None, :, None], (len(xs), f1, k, m)).reshape(len(xs), -1)
-                inside = (fold[a:a + CHUNK, None] != np.arange(f1)[None]).astype(float)
-                inside = np.broadcast_to(inside[:, :, None, None], (len(xs), f1, k, m)).reshape(len(xs), -1)
+                target = (y[a:a + CHUNK, None] == class_of[None]).astype(float)
+                inside = (fold[a:a + CHUNK, None] != fold_of[None]).astype(float)
                 weight = inside * ws[:, None]
                 p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
                 loss += (weight * (np.logaddexp(0, margin) - target * margin)).sum(0)
@@ -171,6 +168,9 @@ class L1LogisticPath(Estimator, _PathParams, DefaultParamsReadable, DefaultParam
         grad, worst, hits = np.zeros_like(good), np.full(n_models, np.inf), np.zeros(n_models)
         trial = good.copy()
         penalty = lambda b: (lam2 * np.abs(b)).sum(1)
+        fold_of, class_of = (np.broadcast_to(v, shape[:3]).ravel() for v in (
+            np.arange(n_folds + 1)[:, None, None], np.array(classes)[None, :, None]))
+        limit = self.getOrDefault("tol") * total_weight
         for turn in range(self.getOrDefault("maxIter")):
             if turn < m:  # the next weaker penalty starts where the one before it stands
                 now = good.reshape(shape)
@@ -178,24 +178,26 @@ class L1LogisticPath(Estimator, _PathParams, DefaultParamsReadable, DefaultParam
                     now[:, :, turn] = now[:, :, turn - 1]
                     trial.reshape(shape)[:, :, turn] = now[:, :, turn]
                 started[:, :, turn] = True
-            live = started.ravel()
-            sums = _summed(rows, _pass(trial.reshape(shape), classes, n_folds, m, mean, safe, groups), groups)
-            loss, sums = sums[:n_models], sums[n_models:]
-            seen, sums = sums[:n_models], sums[n_models:]
-            value = loss + penalty(trial)
-            better = live & (value <= best + 1e-12 * np.abs(np.where(np.isinf(best), 0, best)))
-            g = sums[:(width + 1) * n_models].reshape(width + 1, n_models).T
-            hess = np.zeros((n_models, width + 1, width + 1))
-            hess[:, upper[0], upper[1]] = sums[(width + 1) * n_models:].reshape(-1, n_models).T
+            at = np.flatnonzero(started.ravel() & (worst > limit))  # those that have converged rest
+            if not len(at):
+                if started.all():
+                    break
+                continue
+            sums = _summed(rows, _pass(trial[at].T.copy(), fold_of[at], class_of[at], mean, safe, groups), groups)
+            value, seen, sums = sums[:len(at)] + penalty(trial)[at], sums[len(at):2 * len(at)], sums[2 * len(at):]
+            g = sums[:(width + 1) * len(at)].reshape(width + 1, len(at)).T
+            hess = np.zeros((len(at), width + 1, width + 1))
+            hess[:, upper[0], upper[1]] = sums[(width + 1) * len(at):].reshape(-1, len(at)).T
             hess[:, upper[1], upper[0]] = hess[:, upper[0], upper[1]]
-            good[better], best[better], grad[better], hits[better] = trial[better], value[better], g[better], seen[better]
-            worst[better] = violation(good[better], grad[better], lam2[better])
-            if started.all() and (worst <= self.getOrDefault("tol") * total_weight).all():
-                break
-            if better.any():
-                direction[better] = newton_direction(good[better], grad[better], hess[better], lam2[better])
-                step[better] = 1.0
-            step[live & ~better] /= 2  # the penalised loss rose: half as far
+            held_best = best[at]
+            better = value <= held_best + 1e-12 * np.abs(np.where(np.isinf(held_best), 0, held_best))
+            ok = at[better]
+            good[ok], best[ok], grad[ok], hits[ok] = trial[ok], value[better], g[better], seen[better]
+            worst[ok] = violation(good[ok], grad[ok], lam2[ok])
+            if len(ok):
+                direction[ok] = newton_direction(good[ok], grad[ok], hess[better], lam2[ok])
+                step[ok] = 1.0
+            step[at[~better]] /= 2  # the penalised loss rose: half as far
             trial = good + step[:, None] * direction
             trial = np.where(np.abs(trial) < 1e-13 * (1 + np.abs(good)), 0.0, trial)
         full = good.reshape(shape)[-1]
