@@ -52,8 +52,9 @@ def _pass(flat: np.ndarray, fold_of: np.ndarray, class_of: np.ndarray, mean: np.
                 target = (y[a:a + CHUNK, None] == class_of[None]).astype(float)
                 inside = (fold[a:a + CHUNK, None] != fold_of[None]).astype(float)
                 weight = inside * ws[:, None]
-                p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-                loss += (weight * (np.logaddexp(0, margin) - target * margin)).sum(0)
+                small = np.exp(-np.abs(margin))
+                p = np.where(margin >= 0, 1, small) / (1 + small)
+                loss += (weight * (np.maximum(margin, 0) + np.log1p(small) - target * margin)).sum(0)
                 grad += xs.T @ (weight * (p - target))
                 curve += (xs[:, upper[0]] * xs[:, upper[1]]).T @ (weight * p * (1 - p))
                 hits += ((1 - inside) * ((margin > 0) == (target > 0.5))).sum(0)
