@@ -12,10 +12,11 @@ from tidemark.llm.bpe import Cache, MergeList, pieces, tokenizer
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", "  a  b ", "a\n \nb", "x   ", "\n\n", "ΑΣ Σ ΟΔΟΣ", "İstanbul", "é café", "it's IT'S don't 've",
        "<|endoftext|>hi<|startoftext|> <|endoftext|>", "a\x1cb \x1f c", "日本語 한국어", "12 345²Ⅷ", "a\x85b\u2028c",
-       "ab" * 3000, "a" * 1500, "!!!! " + "=" * 300, "foo \n bar\n  baz\t\tq  ", " ́x", "👩‍👩‍👧 é", "a b  c"]
+       "ab" * 3000, "a" * 1500, "!!!! " + "=" * 300, "foo \n bar\n  baz\t\tq  ", " ́x", "👩‍👩‍👧 é", "a b  c",
+       "a \0b", " \0", "x \0word", "\0", "\0a \0\0 b", "a\u0558b c\u058bd", "a\u1c89b", "1\U00010d40\u00b2"]
 
 
-def noise(n, seed=1, alphabet="ab 'sre\n\t é́.<|endoftext|>Z9"):
+def noise(n, seed=1, alphabet="ab 'sre\n\t é́.<|endoftext|>Z9\0\u0558"):
     r = random.Random(seed)
     return ["".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(n)]
 
@@ -36,6 +37,19 @@ def test_counter_equals_library():
         assert t.count(x, cache) == len(lib.encode(x, add_special_tokens=False).ids), x
 
 
+def test_every_code_point_is_split_like_the_library():
+    """Letters and numbers are those of the library, for both files, at every code point that can be in a text."""
+    for path in (WORD, BYTE):
+        pattern, lib = tokenizer(path).pattern, Library.from_file(path).pre_tokenizer
+        marked = [f"a{chr(c)}b1{chr(c)}2" for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+        wrong = [x for x in marked if [len(w.encode()) for w in pattern.findall(x)] != [len(o) for o, _ in lib.pre_tokenize_str(x)]]
+        assert not wrong, wrong[:20]
+    encoder, lib = tokenizer(WORD), Library.from_file(WORD)
+    cache = Cache(encoder.entry)
+    for x in (f"e{chr(c)} {chr(c)}'s" for c in range(0x80, 0x1FA00) if not 0xD800 <= c < 0xF900 and not 0x3500 <= c < 0x9F00):
+        assert " ".join(r[0] for r in encoder.encode_words(x, cache)) == " ".join(map(str, lib.encode(x, add_special_tokens=False).ids)), x
+
+
 def test_lookahead_is_sufficient():
     """Streamed tokens equal those of merging the whole, for random proper merge lists and the real one."""
     r = random.Random(3)

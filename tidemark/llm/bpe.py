@@ -16,15 +16,23 @@ import codecs
 import functools
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
-import regex
-
 #: White space as the tokenizer files' patterns see it (Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Characters that Python's split() takes for white space and the patterns don't.
 FILE_MARKS = re.compile("[\x1c-\x1f]")
+#: Letters and numbers of Unicode 16.0, which the tokenizer files' patterns go by, that 15.1 doesn't have.
+ADDED = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B "
+         "1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C "
+         "18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"}
+#: Capitals of Unicode 16.0 and 17.0 with the first of their lower-case forms, by which word-end files fold.
+LOWERED = {"1C89-1C89": "1C8A", "A7CB-A7CB": "0264", "A7CC-A7CC": "A7CD", "A7CE-A7CE": "A7CF", "A7D2-A7D2": "A7D3",
+           "A7D4-A7D4": "A7D5", "A7DA-A7DA": "A7DB", "A7DC-A7DC": "019B", "10D50-10D65": "10D70", "16EA0-16EB8": "16EBB"}
 #: Most entries of a generation of a worker's cache; longer pieces than this are encoded without it.
 CACHE_ENTRIES, CACHED_CHARS = 150_000, 96
 
@@ -39,6 +47,22 @@ def byte_chars() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+@functools.cache
+def char_class(kind: str) -> str:
+    """The ranges of a character class: all letters (L) or numbers (N) of Unicode 16.0, whatever the
+    versions that the installed regular expression modules know."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+    for part in ADDED[kind].split():
+        codes += code_range(part)
+    runs: list[list[int]] = []
+    for c in sorted(set(codes)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
 class MergeList:
     """Merges of a tokenizer file with its lookahead; ``suffix`` marks a word's last symbol."""
 
@@ -134,9 +158,17 @@ class Cache(dict):
         return value
 
 
+def code_range(part: str) -> range:
+    first, last = (int(x, 16) for x in part.split("-"))
+    return range(first, last + 1)
+
+
+LOWER_TABLE = {c: int(to, 16) + c - code_range(part)[0] for part, to in LOWERED.items() for c in code_range(part)}
+
+
 def lower(text: str) -> str:
     """Lower case character by character (no special form of a final sigma)."""
-    return text.replace("Σ", "σ").lower()
+    return text.replace("Σ", "σ").lower().translate(LOWER_TABLE)
 
 
 def pieces(text: str, size: int = 1 << 16) -> Iterator[str]:
@@ -164,10 +196,11 @@ class Tokenizer:
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.spelled = {str(i): t for i, t in self.names.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        letter, number = char_class("L"), char_class("N")
         #: The pre-token patterns of the two kinds of file.
-        self.pattern = regex.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+" if self.word_ends else
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
+        self.pattern = re.compile(
+            rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{SPACE}{letter}{number}]+" if self.word_ends else
+            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+"
             rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.words = Cache(self.word_entry)
         self.lengths = Cache(lambda w: len(self.word_tokens(w)))
@@ -226,13 +259,16 @@ class Tokenizer:
                 n += sum(self.lengths[m.group()] for m in self.pattern.finditer(stretch))
             else:
                 first, *rest = stretch.split(" ")
-                n += sum(map(cache.__getitem__, rest)) + (cache["\0" + first] if first else 0)
+                n += sum(map(cache.__getitem__, rest)) + self.bare_length(first)
         return n
 
     def length(self, piece: str) -> int:
-        """Tokens of a piece that follows a space, or of one after a NUL mark as it stands."""
-        piece = piece[1:] if piece[:1] == "\0" else " " + piece
-        return sum([self.lengths[w] for w in self.pattern.findall(piece)])
+        """Tokens of a piece that follows a space."""
+        return self.bare_length(" " + piece)
+
+    def bare_length(self, text: str) -> int:
+        """Tokens of a stretch of text as it stands."""
+        return sum([self.lengths[w] for w in self.pattern.findall(text)])
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of the ids, piece by piece: token strings become bytes, and a UTF-8 decoder that
