@@ -202,7 +202,9 @@ ORACLE: dict[str, str] = {
         seen as (
           select t.conv_id, p.perspective, t.turn, t.who as speaker, t.body, t.who = p.perspective as loss_mask,
                  case when t.who = p.perspective then 'assistant' when t.who = 'system' then 'system' else 'user' end as role,
-                 case when t.who <> p.perspective and t.who <> 'system' then t.who end as name
+                 case when t.who <> p.perspective and t.who <> 'system' then
+                   regexp_replace(replace(replace(t.who, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>'),
+                                  '[\\x00-\\x1F\\x7F\\x{85}\\x{2028}\\x{2029}=]', '_', 'g') end as name
           from turns t join people p on t.conv_id is not distinct from p.conv_id),
         opened as (
           select *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) as opening from seen)
