@@ -61,7 +61,7 @@ def test_against_full_alignment(spark, monkeypatch):
             if item and len(item.encode()) >= D.LEAST_ITEM and text:
                 size = len(item.encode())
                 n = edits(fold(item), fold(text))
-                if n <= min(int(size * D.EDIT_RATE), (size - D.GRAM) // D.GRAM):
+                if n <= size // 10:
                     want.add((d, k, n))
     got = [tuple(x)[:3] for x in D.contaminated(df, bench).collect()]
     assert set(got) == want and len(got) == len(want) + 1
@@ -72,27 +72,25 @@ def test_against_full_alignment(spark, monkeypatch):
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
 
 
-def test_short_items_are_searched(spark):
+def test_short_items_have_the_whole_budget(spark):
     r = random.Random(8)
     items = [(1, "kilogram"), (2, "seven blue cats"), (3, "sixteen bytes ok"), (4, "a passage of 28 bytes, whole"), (5, "short"),
-             (6, "Ünï cöde"), (7, None)]
+             (6, "Ünï cöde"), (7, None), (8, "blue cats sleep at sea"), (9, "thirty-one bytes of a passage !"), (10, "ten bytes!"),
+             (11, "go"), (12, ""), (13, "x7q")]
     docs = [(0, "a KILOGRAM of it"), (1, "kilo gram"), (2, "seven, blue cats"), (3, "xseven blue catsx"), (4, "seven blve cats"),
-            (5, "short"), (6, "ünï cöde Ünï cöde"), (7, None), (8, ""), (9, "kilogra")]
-    docs += [(10 + i, words(r, 5) + damaged(r, items[2 + i % 2][1], i % 4) + words(r, 5)) for i in range(60)]
+            (5, "short"), (6, "ünï cöde Ünï cöde"), (7, None), (8, ""), (9, "kilogra"), (10, "see blxe cats sleep az sea, "),
+            (11, "x"), (12, "an x7q"), (13, "ago")]
+    docs += [(20 + i, words(r, 5) + damaged(r, items[i % 10][1] or "none at all", i % 5) + words(r, 5)) for i in range(200)]
     fold = lambda t: bytes(D.folded(np.frombuffer(t.encode(), np.uint8)))
-    want = set()
-    for d, text in docs:
-        for k, item in items:
-            size = len((item or "").encode())
-            if text and size >= D.GRAM:
-                n = edits(fold(item), fold(text))
-                if n <= min(int(size * D.EDIT_RATE), (size - D.GRAM) // D.GRAM):
-                    want.add((d, k, n))
-    assert {(0, 1, 0), (3, 2, 0), (6, 6, 0)} <= want and not {1, 4, 5, 9} & {d for d, _, _ in want}
-    assert any(k == 3 and n == 1 for _, k, n in want)
+    want = {(d, k, edits(fold(item), fold(text))) for d, text in docs for k, item in items if text and item}
+    want = {(d, k, n) for d, k, n in want if n <= len(dict(items)[k].encode()) // 10}
+    assert {(0, 1, 0), (3, 2, 0), (4, 2, 1), (6, 6, 0), (10, 8, 2), (13, 11, 0)} <= want
+    assert {(8, 2), (9, 3), (10, 1)} <= {(k, n) for _, k, n in want}
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert {tuple(x)[:3] for x in D.contaminated(df, bench).collect()} == want
+    assert {tuple(x)[:3] for x in D.contaminated(df, bench, least_item=1).collect()} == want
+    long = {k for k, t in items if t and len(t.encode()) >= D.LEAST_ITEM}
+    assert {tuple(x)[:3] for x in D.contaminated(df, bench).collect()} == {x for x in want if x[1] in long}
 
 
 def test_long_rows_in_runs(monkeypatch):
@@ -103,7 +101,7 @@ def test_long_rows_in_runs(monkeypatch):
             items[1][1], b"", words(r, 400).encode()]
     data = np.frombuffer(b"".join(rows), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
-    index = D.ItemIndex.build(items)
+    index, = D.ItemIndex.build(items)
     assert [(a, b) for a, b, _, _ in D.find_items(data, offsets, index)] == [(0, 0), (0, 3), (1, 1)]
 
 

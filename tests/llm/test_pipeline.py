@@ -28,7 +28,7 @@ def folded(text):
 def leaks(text, items):
     for _, item in items:
         size = len((item or "").encode())
-        if size >= decontaminate.GRAM and text and edits(folded(item), folded(text)) <= min(size // 10, (size - 8) // 8):
+        if size >= decontaminate.LEAST_ITEM and text and edits(folded(item), folded(text)) <= size // 10:
             return True
     return False
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import utf8_of
 
-#: Gram length, edits allowed per byte of an item, and bytes from which an item is searched: one gram.
-GRAM, EDIT_RATE, LEAST_ITEM = 8, 0.10, 8
+#: Gram lengths, longest first, edits allowed per byte of an item, and bytes from which an item is searched.
+GRAMS, EDIT_RATE, LEAST_ITEM = (8, 4, 2, 1), 0.10, 8
 #: Bytes of items in one broadcast, and of text looked at together.
 BLOCK_BYTES, RUN = 4 << 20, 1 << 20
 FILTER_BITS = 21
@@ -34,13 +34,24 @@ def folded(data: np.ndarray) -> np.ndarray:
     return FOLD[data]
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as one number."""
-    if len(data) < GRAM:
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes from each position as one number; q is a power of two up to 8."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
-    two = data[:-1].astype(np.uint32) << np.uint32(8) | data[1:]
-    four = (two[:-2] << np.uint32(16) | two[2:]).astype(np.uint64)
-    return four[:-4] << np.uint64(32) | four[4:]
+    codes, width = data.astype(np.uint64 if q > 4 else np.uint32), 1
+    while width < q:
+        codes = codes[:-width] << codes.dtype.type(8 * width) | codes[width:]
+        width *= 2
+    return codes.astype(np.uint64)
+
+
+def edits_allowed(size: int, rate: float) -> int:
+    return int(size * rate)
+
+
+def gram_of(size: int, rate: float) -> int:
+    """The longest gram length of which an occurrence with all allowed edits still keeps one whole gram."""
+    return next(q for q in GRAMS if size >= q * (edits_allowed(size, rate) + 1))
 
 
 def slots(codes: np.ndarray) -> np.ndarray:
@@ -49,8 +60,10 @@ def slots(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """Grams of a block of items: sorted distinct codes, and for each its (item, position) places."""
+    """Grams of a block of items: sorted distinct codes, and for each its (item, position) places.
+    All items of an index have the same gram length."""
 
+    gram: int
     ids: list
     items: list[np.ndarray]
     codes: np.ndarray
@@ -62,20 +75,26 @@ class ItemIndex:
     bound: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[object, bytes]], rate: float = EDIT_RATE) -> ItemIndex:
-        items = [(i, folded(np.frombuffer(t, np.uint8))) for i, t in rows if len(t) >= LEAST_ITEM]
-        all_codes = [grams(t) for _, t in items]
-        codes = np.concatenate(all_codes) if items else np.zeros(0, np.uint64)
+    def build(cls, rows: list[tuple[object, bytes]], rate: float = EDIT_RATE) -> list[ItemIndex]:
+        """An index for each gram length that the items need."""
+        lengths = [gram_of(len(t), rate) for _, t in rows]
+        return [cls.of_gram([x for x, n in zip(rows, lengths) if n == q], q, rate) for q in sorted(set(lengths))]
+
+    @classmethod
+    def of_gram(cls, rows: list[tuple[object, bytes]], q: int, rate: float) -> ItemIndex:
+        items = [(i, folded(np.frombuffer(t, np.uint8))) for i, t in rows]
+        all_codes = [grams(t, q) for _, t in items]
+        codes = np.concatenate(all_codes)
         item_of = np.repeat(np.arange(len(items)), [len(c) for c in all_codes])
-        place = np.concatenate([np.arange(len(c)) for c in all_codes]) if items else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(c)) for c in all_codes])
         order = np.argsort(codes, kind="stable")
         distinct, first = np.unique(codes[order], return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[slots(distinct)] = True
         size = np.array([len(t) for _, t in items], np.int64)
-        edits = np.minimum((size * rate).astype(np.int64), (size - GRAM) // GRAM)
-        return cls([i for i, _ in items], [t for _, t in items], distinct, np.append(first, len(codes)),
-                   item_of[order], place[order], seen, edits, size - GRAM + 1 - GRAM * edits)
+        edits = np.array([edits_allowed(len(t), rate) for _, t in items], np.int64)
+        return cls(q, [i for i, _ in items], [t for _, t in items], distinct, np.append(first, len(codes)),
+                   item_of[order], place[order], seen, edits, size - q + 1 - q * edits)
 
     def regions(self, codes: np.ndarray, valid: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, lowest diagonal, highest diagonal) of the bands that meet their item's bound."""
@@ -133,9 +152,7 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int | N
 
 def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, edits, end byte) of the best verified occurrence of each item in each row."""
-    if not index.items:
-        return
-    overlap = max(len(t) for t in index.items) + 4 * int(index.edits.max()) + GRAM
+    overlap = max(len(t) for t in index.items) + 4 * int(index.edits.max()) + index.gram
     best: dict[tuple[int, int], tuple[int, int]] = {}
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -145,10 +162,10 @@ def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> Itera
         for a in range(start, max(stop, start + 1), RUN):  # a row longer than a run: runs that overlap
             b = min(stop, a + RUN + overlap)
             run = folded(data[a:b])
-            codes = grams(run)
+            codes = grams(run, index.gram)
             ends = offsets[row + 1:last + 1] - a
             valid = np.ones(len(codes), bool)
-            for back in range(1, GRAM):
+            for back in range(1, index.gram):
                 cut = ends - back
                 valid[cut[(cut >= 0) & (cut < len(codes))]] = False
             for item, low, high in index.regions(codes, valid):
@@ -173,17 +190,18 @@ def find_items(data: np.ndarray, offsets: np.ndarray, index: ItemIndex) -> Itera
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, least_item: int = LEAST_ITEM) -> DataFrame:
     """One row per document and benchmark item that occurs in it: id, item id, n_edits, end_byte.
 
-    The whole item must occur with at most ``rate`` edits per byte, case and punctuation aside; an
-    item of less than two grams (16 bytes) must occur without an edit.  Items under ``LEAST_ITEM``
-    bytes, less than a gram (also null and empty ones), are left out.
+    The whole item must occur with at most ``rate`` (under 1) edits per byte, rounded down, case and
+    punctuation aside.  Items for which grams of 8 bytes couldn't hold that budget are searched by
+    shorter ones.  Items under ``least_item`` bytes are left out: "whole item" says little of a word
+    that is in any text; 1 searches all but null and empty ones.
     Null texts hold nothing; repeated rows and items give repeated rows; other columns aren't read.
     Items are broadcast in blocks of about ``block_bytes``; each further block is one more pass.
     """
     items = (benchmark.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text"))
-             .filter(F.octet_length("_text") >= LEAST_ITEM))
+             .filter(F.octet_length("_text") >= max(least_item, 1)))
     size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n_blocks = -(-size // block_bytes) or 1
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
@@ -192,13 +210,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE,
     out = None
     for b in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("_text"), F.lit(n_blocks)) == b).collect() if size else []
-        index = ItemIndex.build(sorted(((r["_item"], r["_text"].encode()) for r in block), key=repr), rate)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        indexes = ItemIndex.build(sorted(((r["_item"], r["_text"].encode()) for r in block), key=repr), rate)
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
         item_type = items.limit(0).toArrow().schema.field("_item").type
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
+            for batch, index in ((b, x) for b in batches for x in shared.value):
                 found = list(find_items(*utf8_of(batch.column(1)), index))
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array([x[0] for x in found], pa.int64())),
