@@ -128,6 +128,31 @@ def test_buckets_of_many_components(spark, monkeypatch):
     assert got == {d: c for (d, _), c in zip(docs, classes_of(docs))}
 
 
+def test_prefix_filter_loses_no_pair(spark, monkeypatch):
+    """Of random bags with a common passage every near pair of different roots is a candidate, in the last
+    round all of them, before it a part that grows with the roots only."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    r = random.Random(21)
+    bags, passage = [], r.sample(range(10 ** 6), 60)
+    for _ in range(25):
+        base = r.sample(range(10 ** 6, 10 ** 9), r.choice([1, 2, 5, 9, 30, 60])) + passage[:r.choice([0, 5, 60])]
+        for _ in range(r.randint(1, 5)):
+            kept = [u for u in base if r.random() > r.choice([0, 0.05, 0.1])] or base
+            bags.append(sorted(set(kept + [r.randrange(10 ** 9) for _ in range(r.choice([0, 0, 1, 5]))])))
+    rows = [(i.to_bytes(16, "big"), b, bytes(r.randrange(2) for _ in range(100)), (i % 7).to_bytes(16, "big")) for i, b in enumerate(bags)]
+    df = spark.createDataFrame(rows, "_bag binary, _units array<long>, _sign binary, _root binary")
+    members = N.prefixes(df.select("_bag", "_units"), 0.8).join(df.select("_bag", "_sign", "_root"), "_bag")
+    near = {(i, j) for j in range(len(bags)) for i in range(j) if i % 7 != j % 7 and jaccard(bags[i], bags[j]) >= 0.8}
+    schema = "a binary, b binary, ra binary, rb binary"
+    found = {best: {(int.from_bytes(x["a"]), int.from_bytes(x["b"])) for x in
+                    N.split_groups(members).mapInArrow(N._pairs(0.8, best), schema).collect()} for best in (None, 1)}
+    assert near and near <= found[None] and found[1] < found[None]
+    assert all(i % 7 != j % 7 for i, j in found[None])
+    ids = lambda pairs: spark.createDataFrame([tuple(x.to_bytes(16, "big") for x in p) for p in pairs], "a binary, b binary")
+    checked = N.verified(ids(found[None]), df, 0.8).collect()
+    assert {(int.from_bytes(x["a"]), int.from_bytes(x["b"])) for x in checked} == near
+
+
 def test_query_against_all_pairs(spark):
     from tidemark.llm.queries import QUERIES
     sf = "/root/testdata/sf0.001"

@@ -7,9 +7,11 @@ coordinate with the probability of their weighted Jaccard similarity.  Layers ar
 until no coordinate is empty: O(shingles + t log t) darts for t coordinates.
 
 Texts of equal bags are one node.  Nodes that share a band of coordinates form a bucket; each is
-compared with its bucket's leader on its whole bag.  In buckets that then still hold several
-components, members of different ones and of fitting sizes have their signatures compared in blocks, and
-pairs that agree in enough coordinates are compared on their whole bags.
+compared with its bucket's leader on its whole bag.  The nodes of buckets that then still hold
+several components are compared through a prefix filter: units are ordered by how rare they are
+among these nodes, and two bags of enough similarity share one of their first few units.  Pairs that
+do, and whose components differ, are candidates; rounds verify the most promising ones of each
+two components first, and the last round all that are left.
 """
 
 from __future__ import annotations
@@ -34,13 +36,14 @@ BANDS, ROWS = 25, 4
 COORDINATES = BANDS * ROWS
 #: Borders of the layers of rank.
 LAYERS = (0.0, *(2.0 ** k for k in range(-3, 13)))
-#: Bytes looked at together; members of a block of a bucket, and units of all their bags.
-RUN, BLOCK, BLOCK_UNITS = 1 << 20, 256, 1 << 22
+#: Bytes looked at together; members of a block of a group that shares a prefix unit.
+RUN, BLOCK = 1 << 20, 2048
 #: What names a group of members that are compared in one place.
-GROUP = ["_key", "_class", "_i", "_j"]
-#: Standard deviations by which a signature's agreement may fall short of the similarity: at similarity
-#: 0.8, 60 coordinates of 100; a pair of that similarity has fewer about once in half a million.
-SHORT = 5.0
+GROUP = ["_unit", "_i", "_j"]
+#: Most units whose counts are broadcast: those that make up more than this part of all units.
+HOT = 4096
+#: Pairs verified for two components that a round joins in a group; the last round takes all pairs.
+ROUNDS = (1, 8, None)
 #: Bytes that words consist of.
 WORDLIKE = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 BASE = np.uint64(0xD1342543DE82EF95)
@@ -206,15 +209,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags, short = [], []
+        bags, held = [], []
         for units in units_by_row(b.column(0)):
             bags.append(bag_of(units))
-            short.append((units >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        yield pa.record_batch([pa.array(bags, pa.binary()), pa.array(short, pa.list_(pa.int32()))], ["_bag", "_units"])
+            held.append(units.view(np.int64))
+        yield pa.record_batch([pa.array(bags, pa.binary()), pa.array(held, pa.list_(pa.int64()))], ["_bag", "_units"])
 
 
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags have at least the similarity."""
+    """The pairs (a, b, ...) of nodes whose bags have at least the similarity."""
     left = bags.select(F.col("_bag").alias("a"), F.col("_units").alias("ua"))
     right = bags.select(F.col("_bag").alias("b"), F.col("_units").alias("ub"))
     shared = F.size(F.array_intersect("ua", "ub"))
@@ -222,71 +225,94 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     # a pair whose sizes alone keep it below the similarity isn't compared
     small, big = F.least(F.size("ua"), F.size("ub")), F.greatest(F.size("ua"), F.size("ub"))
     return (joined.filter(small >= similarity * big)
-            .select("a", "b", (shared / (F.size("ua") + F.size("ub") - shared)).alias("_j"))
-            .filter(F.col("_j") >= similarity).select("a", "b"))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two bags of unit hashes, each in order and without repeats."""
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(both) - shared)
-
-
-def likely_pairs(signs: np.ndarray, bands: np.ndarray, sizes: np.ndarray, roots: np.ndarray, key: int,
-                 left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, agreement) of the pairs x in left and y in right, which are row numbers, that have different
-    roots, fitting sizes, enough agreeing coordinates, and ``key`` as the first band that they share."""
-    least = COORDINATES * similarity - SHORT * math.sqrt(COORDINATES * similarity * (1 - similarity))
-    size, other = sizes[left, None], sizes[None, right]
-    x, y = np.nonzero((roots[left, None] != roots[None, right])
-                      & (np.minimum(size, other) >= similarity * np.maximum(size, other)))
-    x, y, parts = left[x], right[y], []
-    for i in range(0, len(x), 8192):
-        p, q = x[i:i + 8192], y[i:i + 8192]
-        agree = (signs[p] == signs[q]).sum(axis=1)
-        near = agree >= least
-        p, q, agree = p[near], q[near], agree[near]
-        first = (bands[p] == bands[q]).argmax(axis=1)
-        here = bands[p, first] == key
-        parts.append(np.stack([p[here], q[here], agree[here]]))
-    return tuple(np.concatenate(parts, axis=1)) if parts else (x, y, x)
-
-
-def links_of(t: pa.Table, similarity: float) -> pa.RecordBatch:
-    """Links that join the components of a group of ``split_groups``: pairs in the order of their agreement,
-    compared on their whole bags unless links found before join them already."""
-    n, at = len(t), np.arange(len(t))
-    root, code = np.unique(np.array([r.hex() for r in t["_root"].to_pylist()]), return_inverse=True)
-    signs = np.frombuffer(b"".join(t["_sign"].to_pylist()), np.uint8).reshape(n, COORDINATES)
-    bands = t["_bands"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)
-    own, side = (t[c].to_numpy() for c in ("_own", "_side"))
-    # within a block its own members meet all; of two blocks, two visitors don't meet
-    meet = [(at[own], at)] if t["_i"][0] == t["_j"][0] else [(at[~side & own], at[side]), (at[~side & ~own], at[side & own])]
-    x, y, agree = (np.concatenate(c) for c in zip(*(
-        likely_pairs(signs, bands, t["_size"].to_numpy(), code, t["_key"][0].as_py(), p, q, similarity) for p, q in meet)))
-    to, units, found = list(range(len(root))), {}, []
+            .select(*pairs.columns, (shared / (F.size("ua") + F.size("ub") - shared)).alias("_j"))
+            .filter(F.col("_j") >= similarity).select(*pairs.columns))
+
+
+def prefixes(bags: DataFrame, similarity: float) -> DataFrame:
+    """(_unit, _bag, _size, _at): the units, rarest first, that two bags of the similarity can't both lack.
+
+    Two bags of n and m units that share k of them have one of these among the first n - k + 1 and
+    m - k + 1 in any common order; k is at least similarity * n.  Units of one bag only are left out.
+    Counts of the most frequent units are broadcast, so that no key of the join with the others holds
+    more than a small part of the rows.
+    """
+    units = bags.select("_bag", F.explode("_units").alias("_unit"))
+    counts = stored(units.groupBy("_unit").agg(F.count("*").alias("_n")).filter("_n > 1"), "units")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    is_hot = F.col("_n") * HOT > total
+    hot = F.broadcast(counts.filter(is_hot))  # fewer than HOT rows
+    ranked = (units.join(hot, "_unit", "left_anti").join(counts.filter(~is_hot), "_unit", "left")
+              .select("_bag", F.coalesce("_n", F.lit(1)).alias("_n"), "_unit")
+              .unionByName(units.join(hot, "_unit").select("_bag", "_n", "_unit")))
+    size = F.size("_order")
+    needed = F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int")
+    return (ranked.groupBy("_bag").agg(F.sort_array(F.collect_list(F.struct("_n", "_unit"))).alias("_order"))
+            .select("_bag", size.alias("_size"), F.posexplode(F.slice("_order", F.lit(1), size - needed + 1)).alias("_at", "_u"))
+            .filter("_u._n > 1").select(F.col("_u._unit").alias("_unit"), "_bag", "_size", "_at"))
+
+
+def possible_pairs(t: pa.Table, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) row numbers of the pairs of a group of ``split_groups`` whose roots differ and whose sizes and
+    places of the shared unit leave room for the similarity."""
+    size, at, side = (t[c].to_numpy() for c in ("_size", "_at", "_side"))
+    rows = np.arange(len(t))
+    left, right = (rows, rows) if t["_i"][0] == t["_j"][0] else (rows[~side], rows[side])
+    found = [(left[:0], right[:0])]
+    for i in range(0, len(left), 512):
+        p = left[i:i + 512]
+        needed = np.ceil((size[p][:, None] + size[right]) * (similarity / (1 + similarity)) - 1e-9)
+        fit = (np.minimum((size - at)[p][:, None], (size - at)[right]) >= needed) & (roots[p][:, None] != roots[right])
+        if left is right:
+            fit &= p[:, None] < right
+        x, y = np.nonzero(fit)
+        found.append((p[x], right[y]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def promising(x: np.ndarray, y: np.ndarray, agree: np.ndarray, bags: np.ndarray, roots: np.ndarray, best: int) -> np.ndarray:
+    """Numbers of the pairs to verify first: of each two roots that a forest of the most agreeing pairs
+    joins, the ``best`` pairs.  There are at most ``best`` times the roots."""
+    n = int(roots.max()) + 1
+    low, high = np.minimum(roots[x], roots[y]), np.maximum(roots[x], roots[y])
+    key = low * n + high
+    order = np.lexsort((np.maximum(bags[x], bags[y]), np.minimum(bags[x], bags[y]), -agree, key))
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    to, kept = list(range(n)), []
 
     def find(i: int) -> int:
         while to[i] != i:
             to[i] = i = to[to[i]]
         return i
 
-    def units_at(i: int) -> np.ndarray:
-        if i not in units:
-            units[i] = np.unique(t["_units"][i].values.to_numpy())
-        return units[i]
-
-    for p, q in zip(*(c[np.argsort(-agree, kind="stable")].tolist() for c in (x, y))):
-        r, s = find(code[p]), find(code[q])
-        if r != s and jaccard(units_at(p), units_at(q)) >= similarity:
-            to[max(r, s)] = min(r, s)
-            found.append((bytes.fromhex(root[code[p]]), bytes.fromhex(root[code[q]])))
-    return pa.record_batch([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"])
-
-
-def _links(similarity: float):
-    """``links_of`` each group; rows of a group follow each other, maybe over batches."""
+    ends = np.append(first[1:], len(order))
+    for k in np.argsort(-agree[order[first]], kind="stable").tolist():
+        pair = order[first[k]]
+        a, b = find(int(low[pair])), find(int(high[pair]))
+        if a != b:
+            to[a] = b
+            kept.append(order[first[k]:min(first[k] + best, ends[k])])
+    return np.concatenate(kept)
+
+
+def pairs_of(t: pa.Table, similarity: float, best: int | None) -> pa.RecordBatch:
+    """Pairs (a, b) of nodes of a group to be verified, with their roots (ra, rb)."""
+    bag_names, root_names = (np.array([v.hex() for v in t[c].to_pylist()]) for c in ("_bag", "_root"))
+    (_, bags), (_, roots) = (np.unique(v, return_inverse=True) for v in (bag_names, root_names))
+    x, y = possible_pairs(t, roots, similarity)
+    if best is not None and len(x):
+        signs = np.frombuffer(b"".join(t["_sign"].to_pylist()), np.uint8).reshape(len(t), COORDINATES)
+        agree = np.concatenate([(signs[x[i:i + 8192]] == signs[y[i:i + 8192]]).sum(axis=1) for i in range(0, len(x), 8192)])
+        kept = promising(x, y, agree, bags, roots, best)
+        x, y = x[kept], y[kept]
+    swap = bags[x] > bags[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    return pa.record_batch([t[c].take(pa.array(i)).combine_chunks().cast(pa.binary()) for c, i in
+                            (("_bag", x), ("_bag", y), ("_root", x), ("_root", y))], ["a", "b", "ra", "rb"])
+
+
+def _pairs(similarity: float, best: int | None):
+    """``pairs_of`` each group; rows of a group follow each other, maybe over batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
@@ -295,35 +321,28 @@ def _links(similarity: float):
             edges = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist()]
             for i, j in zip(edges, edges[1:]):
                 if j - i > 1:
-                    yield links_of(t.slice(i, j - i), similarity)
+                    yield pairs_of(t.slice(i, j - i), similarity, best)
             rest = t.slice(edges[-1])
         if rest is not None and len(rest) > 1:
-            yield links_of(rest, similarity)
+            yield pairs_of(rest, similarity, best)
 
     return run
 
 
-def split_groups(members: DataFrame, similarity: float) -> DataFrame:
-    """Groups of members of a bucket (_key, _bag, _root, _size) in which all pairs of fitting sizes meet.
+def split_groups(members: DataFrame) -> DataFrame:
+    """Groups of members (_unit, _bag, _root, ...) that share a prefix unit and have several roots.
 
-    A member is in the group of its size class, and a visitor in that of the next one, which holds all
-    larger sizes that fit.  A group is split into blocks by hash, and each two blocks meet in one place,
-    so that no task holds more of a bucket than two blocks.
+    A group is split into blocks by hash, and each two blocks meet in one place, so that no task holds
+    more of a group than two blocks.
     """
-    width = math.log(1.001 / similarity)
-    size_class = F.floor(F.log(F.col("_size").cast("double")) / F.lit(width))
-    sized = members.withColumn("_at", F.explode(F.array(
-        F.struct(size_class.alias("c"), F.lit(True).alias("own")),
-        F.struct((size_class + 1).alias("c"), F.lit(False).alias("own")))))
-    sized = sized.select("_key", F.col("_at.c").alias("_class"), F.col("_at.own").alias("_own"), "_bag", "_root", "_size")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("_size") / BLOCK_UNITS))
-    groups = (sized.groupBy("_key", "_class")
-              .agg(blocks.alias("_g"), F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.max("_own").alias("_any"))
-              .filter("_low != _high and _any").select("_key", "_class", "_g"))
-    return (sized.join(groups, ["_key", "_class"]).withColumn("_block", F.pmod(F.xxhash64("_bag"), F.col("_g")))
+    groups = (members.groupBy("_unit")
+              .agg(F.ceil(F.count("*") / BLOCK).alias("_g"), F.min("_root").alias("_low"), F.max("_root").alias("_high"))
+              .filter("_low != _high").select("_unit", "_g"))
+    return (members.join(groups, "_unit").withColumn("_block", F.pmod(F.xxhash64("_bag"), F.col("_g")))
             .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
-            .select("_key", "_class", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
-                    (F.col("_block") > F.col("_other")).alias("_side"), "_own", "_bag", "_root"))
+            .withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other"),
+                          "_side": F.col("_block") > F.col("_other")})
+            .repartition(*GROUP).sortWithinPartitions(*GROUP).drop("_g", "_block", "_other"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
@@ -345,30 +364,36 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     buckets = stored(keys.join(shared, "_key"), "buckets")
 
     wanted = buckets.select("_bag").distinct()
-    bags = stored(source.select("_text").mapInArrow(_units, "_bag binary, _units array<int>")
+    bags = stored(source.select("_text").mapInArrow(_units, "_bag binary, _units array<long>")
                   .groupBy("_bag").agg(F.first("_units").alias("_units")).join(wanted, "_bag"), "bags")
 
     leader = buckets.groupBy("_key").agg(F.min("_bag").alias("b"))
     pairs = buckets.join(leader, "_key").select(F.col("_bag").alias("a"), "b").filter("a != b").distinct()
     roots = components(verified(pairs, bags, similarity))
 
-    # buckets that still hold several components: members of different ones, in groups of bounded size
+    # buckets that still hold several components: members of different ones that share a prefix unit
     named = (buckets.join(roots, buckets["_bag"] == roots["node"], "left")
              .select("_key", "_bag", F.coalesce("root", "_bag").alias("_root")))
     several = (named.groupBy("_key").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"))
                .filter("_low != _high").select("_key"))
-    marks = rows.groupBy("_bag").agg(*[F.first(c).alias(c) for c in ("_bands", "_sign", "_size")])
-    members = stored(named.join(several, "_key", "left_semi").join(marks.select("_bag", "_size"), "_bag"), "open")
-    groups = (split_groups(members, similarity).join(marks, "_bag").join(bags, "_bag")
-              .repartition(*GROUP).sortWithinPartitions(*GROUP)
-              .select(*GROUP, "_side", "_own", "_bag", "_root", "_bands", "_sign", "_size", "_units"))
-    joined = components(groups.mapInArrow(_links(similarity), "a binary, b binary"))
-    moved = joined.select(F.col("node").alias("_root"), F.col("root").alias("_new"))
-    # every node of the links gets its new root; a node that had no link until now was its own root
-    roots = stored(roots.withColumnRenamed("root", "_root").join(moved, "_root", "left")
-                   .select("node", F.coalesce("_new", "_root").alias("root"))
-                   .unionByName(moved.select(F.col("_root").alias("node"), F.col("_new").alias("root")))
-                   .distinct(), "roots")
+    unsettled = named.join(several, "_key", "left_semi").select("_bag").distinct()
+    signs = rows.groupBy("_bag").agg(F.first("_sign").alias("_sign"))
+    held = stored(bags.join(unsettled, "_bag"), "open")
+    members = stored(prefixes(held, similarity).join(signs, "_bag"), "prefixes")
+    for best in ROUNDS:
+        rooted = (members.join(roots, members["_bag"] == roots["node"], "left")
+                  .select(*members.columns, F.coalesce("root", "_bag").alias("_root")))
+        pairs = stored(split_groups(rooted).mapInArrow(_pairs(similarity, best), "a binary, b binary, ra binary, rb binary")
+                       .distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        joined = components(verified(pairs, held, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        moved = joined.select(F.col("node").alias("_root"), F.col("root").alias("_new"))
+        # every node of the links gets its new root; a node that had no link until now was its own root
+        roots = stored(roots.withColumnRenamed("root", "_root").join(moved, "_root", "left")
+                       .select("node", F.coalesce("_new", "_root").alias("root"))
+                       .unionByName(moved.select(F.col("_root").alias("node"), F.col("_new").alias("root")))
+                       .distinct(), "roots")
 
     classes = rows.select("_id", "_bag").join(roots, rows["_bag"] == roots["node"], "left").select(
         "_id", F.coalesce("root", "_bag").alias("_root"))
