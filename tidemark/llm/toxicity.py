@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import Cache
 from tidemark.llm.common import crc_mod, texts_of
+from tidemark.llm.components import stored
 from tidemark.llm.labelled import fit_logistic, sigmoid, training_sample
 
 #: Rows that the fit takes at most, and the held-out remainder of crc32(id).
 MAX_ROWS, HELD_OUT = 20_000, (4, 2)
-#: Lexicon: words at most, and least z value of their log-odds.
-LEXICON, LEAST_Z = 4096, 5.0
+#: Least z value of a lexicon word's log-odds.
+LEAST_Z = 5.0
 #: Weight of the prior as a share of the smaller class, share of lexicon words in a toxic passage,
 #: largest token score.
 PRIOR, MIXED, LARGEST = 0.1, 0.05, 8.0
@@ -136,11 +137,16 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS,
                  held_out: tuple[int, int] = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
-    """Model from at most about ``max_rows`` labelled rows; the driver gets the lexicon (at most
-    ``LEXICON`` words) and two numbers a sampled row.  Without labelled rows every score is 0.5."""
-    sample = training_sample(docs, labels, label_col, held_out, max_rows, id_col, text_col).select("_text", "_y")
-    sums = (sample.mapInArrow(count_words, "w string, n1 long, n0 long").filter("w != ''")
-            .groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")))
+    """Model from at most about ``max_rows`` labelled rows; the driver gets the lexicon (the words of these
+    rows beyond ``LEAST_Z``, all of them) and its segments' scores.  Without labelled rows every score is 0.5.
+
+    The sampled rows and their counts are written once to the shared folder, as totals, lexicon and
+    calibration each read them.
+    """
+    sample = stored(training_sample(docs, labels, label_col, held_out, max_rows, id_col, text_col)
+                    .select("_text", "_y"), "toxic-rows")
+    sums = stored(sample.mapInArrow(count_words, "w string, n1 long, n0 long").filter("w != ''")
+                  .groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-words")
     all1, all0 = sums.agg(F.sum("n1"), F.sum("n0")).first()
     if not all1 or not all0:
         n = sample.agg(F.count("*"), F.sum("_y")).first()
@@ -150,7 +156,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", m
     a1, a0 = F.col("n1") + alpha, F.col("n0") + alpha
     odds = F.log(a1 / (all1 + weight - a1)) - F.log(a0 / (all0 + weight - a0))
     top = (sums.select("w", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-           .filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(LEXICON).collect())
+           .filter(F.col("z") >= LEAST_Z).collect())
     # a toxic passage has lexicon words MIXED of the time, in the proportions of the log-odds
     model = ToxicityModel({r["w"]: float(min(LARGEST, np.log(1 - MIXED + MIXED * np.exp(min(r["odds"], 30.0)))))
                            for r in top})
