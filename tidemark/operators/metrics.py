@@ -336,6 +336,48 @@ def calibration_bins(scored: DataFrame, score_col="score", true_col="y_true", n_
     return g
 
 
+def calibration_curve(scored: DataFrame, score_col="score", true_col="y_true", n_bins: int = 10) -> DataFrame:
+    """Every bin of [0, 1] in equal widths: centre, mean predicted, positive rate and count, 0 where a bin is empty.
+
+    A score on an edge belongs to the bin above, 1 to the last bin; scores beyond [0, 1] go to the nearest bin, and
+    null scores or labels are left out.
+    """
+    edges = np.linspace(0.0, 1.0, n_bins + 1)
+    arr = F.array(*[F.lit(float(e)) for e in edges])
+    b = F.greatest(F.lit(0), F.least(F.lit(n_bins - 1), F.size(F.filter(arr, lambda e: e <= F.col(score_col))) - 1))
+    g = scored.where(F.col(score_col).isNotNull() & F.col(true_col).isNotNull()).groupBy(b.cast("long").alias("bin")).agg(
+        F.avg(score_col).alias("prob_pred"), F.avg(F.col(true_col).cast("double")).alias("prob_true"),
+        F.count(F.lit(1)).alias("count"))
+    centres = scored.sparkSession.createDataFrame(
+        [(i, float(c)) for i, c in enumerate((edges[:-1] + edges[1:]) / 2)], "bin long, center double")
+    return centres.join(F.broadcast(g), "bin", "left").select(
+        "bin", "center", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("prob_pred", "prob_true", "count")])
+
+
+def clinical_report(df: DataFrame, policy: Policy, p_long: DataFrame, true_col="y_true", pred_col="y_pred",
+                    cls_col="cls", score_col="p") -> tuple[DataFrame, DataFrame]:
+    """(overall, classes): the report's overall block as (metric, value) rows, and the class block with its AUC.
+
+    The class AUC is 0 for a class that has no true rows.  ``df`` is read once for all counts: every metric follows from
+    its confusion table.
+    """
+    o = _with_costs(one_vs_rest_counts(df, true_col, pred_col), policy)
+    b = F.when(F.col("risk_level") == "high_risk", F.lit(3.0)).when(F.col("risk_level") == "low_risk", F.lit(1.5)).otherwise(F.lit(2.0))
+    f2 = _ratio0((1 + b * b) * F.col("tp"), (1 + b * b) * F.col("tp") + b * b * F.col("fn") + F.col("fp"))
+    high = F.col("cls").isin(*policy.high_risk_classes)
+    counts = o.agg(
+        (1 - F.sum(F.col("fn") * F.col("fn_cost") + F.col("fp") * F.col("fp_cost"))
+         / F.sum(F.col("n") * F.greatest("fn_cost", "fp_cost"))).alias("clinical_utility"),
+        F.sum(f2 * F.col("support") / F.col("n")).alias("weighted_f2_score"),
+        safe_div(F.sum(F.when(high, F.col("tp"))), F.nullif(F.sum(F.when(high, F.col("support"))), F.lit(0))).alias("high_risk_recall"))
+    overall = counts.unpivot([], ["clinical_utility", "weighted_f2_score", "high_risk_recall"], "metric", "value").unionByName(
+        risk_adjusted_auc(p_long, policy, cls_col, score_col, true_col).select(
+            F.lit("risk_adjusted_auc").alias("metric"), F.col("risk_adjusted_auc").alias("value")))
+    auc = auc_per_class(p_long, cls_col, score_col, true_col).where("n_pos > 0").select("cls", "auc")
+    classes = class_metrics(df, policy, true_col, pred_col).join(F.broadcast(auc), "cls", "left")  # a row per class
+    return overall, classes.withColumn("auc", F.coalesce("auc", F.lit(0.0)))
+
+
 def compare_model_utilities(df: DataFrame, policy: Policy, model_col: str = "model",
                             true_col="y_true", pred_col="y_pred") -> DataFrame:
     """Per model: utility, FN rate per risk level, FN/FP cost per level, total cost (one job)."""

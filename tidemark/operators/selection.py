@@ -118,17 +118,23 @@ def select_correlation(corr: DataFrame, order: Sequence[str], threshold: float =
     return [f for f in keep if f not in dropped]
 
 
+def gram_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature_a, feature_b, g): sum(a * b) over complete rows, upper triangle, one aggregation."""
+    feats = list(features)
+    cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.sum(F.col(a) * F.col(b)).alias("g"))
+             for i, a in enumerate(feats) for b in feats[i:]]
+    return df.dropna(subset=feats).agg(F.array(*cells).alias("s")).select(F.inline("s"))
+
+
 def gram_matrix(df: DataFrame, features: Sequence[str]) -> np.ndarray:
     """Uncentred Gram matrix sum(x_i x_j) over complete rows - one aggregation, p^2 numbers."""
     feats = list(features)
-    d = df.dropna(subset=feats)
-    aggs = [F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(feats) for j, b in enumerate(feats) if j >= i]
-    row = d.agg(*aggs).first()
+    got = {(r["feature_a"], r["feature_b"]): r["g"] for r in gram_table(df, feats).collect()}  # p^2 / 2 rows
     p = len(feats)
     g = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
+            g[i, j] = g[j, i] = got[feats[i], feats[j]] or 0.0
     return g
 
 
@@ -173,15 +179,13 @@ def mutual_info_binned(df: DataFrame, features: Sequence[str], label_col: str =
     """
     probs = [i / n_bins for i in range(1, n_bins)]
     edges = exact_quantiles(df, features, probs)
-    parts = []
+    cells = []
     for f in features:
         arr = F.array(*[F.lit(float(e)) for e in edges[f] if e is not None])
         b = F.size(F.filter(arr, lambda e: e < F.col(f)))
-        parts.append(df.where(F.col(f).isNotNull()).groupBy(b.alias("bin"), F.col(label_col).alias("y"))
-                     .agg(F.count(F.lit(1)).alias("n")).withColumn("feature", F.lit(f)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+        cells.append(F.struct(F.lit(f).alias("feature"), F.when(F.col(f).isNotNull(), b).alias("bin")))
+    u = (df.select(F.col(label_col).alias("y"), F.inline(F.array(*cells))).where("bin is not null")
+         .groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("n")))  # one scan for all features
     wf = Window.partitionBy("feature")
     # (column names are case-insensitive: keep totals distinct from "n")
     u = u.withColumn("_tot", F.sum("n").over(wf)) \
@@ -200,12 +204,20 @@ def feature_groups(names: DataFrame, name_col: str = "feature", mapping: Mapping
     return names.withColumn("group", F.when(has, F.split(F.col(name_col), r"[_.]", 2)[0]).otherwise(F.lit("Other")))
 
 
-def group_importance(scores: DataFrame, score_col: str) -> DataFrame:
-    return scores.groupBy("group").agg(F.avg(score_col).alias("mean_importance"),
-                                       F.count(F.lit(1)).alias("n_features")) \
+def group_importance(scores: DataFrame, score_col: str | None) -> DataFrame:
+    """Mean score of a group's features (ANOVA F, mutual information, variance...); without a score, their number."""
+    n = F.count(F.lit(1))
+    mean = n.cast("double") if score_col is None else F.avg(score_col)
+    return scores.groupBy("group").agg(mean.alias("mean_importance"), n.alias("n_features")) \
                  .orderBy(F.col("mean_importance").desc())
 
 
+def standardized_variance(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, variance): sample variance after scaling by mean and population deviation; 0 if constant."""
+    row = df.agg(*[F.when(F.var_pop(f) > 0, F.var_samp(f) / F.var_pop(f)).otherwise(F.lit(0.0)).alias(f) for f in features])
+    return row.unpivot([], list(features), "feature", "variance")
+
+
 def top_features(scores: DataFrame, score_col: str, n: int) -> DataFrame:
     """The top-n report (limit is the feature)."""
     return scores.orderBy(F.col(score_col).desc(), F.col("feature")).limit(n)

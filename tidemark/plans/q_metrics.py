@@ -105,6 +105,13 @@ def q_report(spark, sf):
     return mt.class_metrics(_pred(spark, sf), POL)
 
 
+_CLASS_SQL = f"""select cls, precision, recall, specificity,
+        coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) as f1_score,
+        {_FB} as f2_score, support, risk_level, fn_cost, fp_cost from (
+        select *, coalesce(tp / nullif(tp + fp, 0), 0.0) as precision, coalesce(tp / nullif(tp + fn, 0), 0.0) as recall,
+               coalesce(tn / nullif(tn + fp, 0), 0.0) as specificity from C) x"""
+
+
 @register("accuracy_macro", q("""select sum(tp) / max(n) as accuracy, avg(pr) as precision_macro, avg(rc) as recall_macro,
         avg(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0.0)) as f1_macro from (
         select *, coalesce(tp / nullif(tp + fp, 0), 0.0) as pr, coalesce(tp / nullif(tp + fn, 0), 0.0) as rc from OVR) x""",
@@ -142,6 +149,26 @@ def q_raauc(spark, sf):
     return mt.risk_adjusted_auc(tb.scored_multiclass(spark, sf), POL)
 
 
+@register("clinical_report_classes", q(
+    """select r.*, coalesce(a.auc, 0.0) as auc from R r left join (select cls, auc from AUCT where n_pos > 0) a on r.cls = a.cls""",
+    extra=[("R", _CLASS_SQL), ("AUCT", AUC_SQL)],
+    dbl=["precision", "recall", "specificity", "f1_score", "f2_score", "fn_cost", "fp_cost", "auc"]))
+def q_report_classes(spark, sf):
+    return mt.clinical_report(_pred(spark, sf), POL, tb.scored_multiclass(spark, sf))[1]
+
+
+@register("clinical_report_overall", q(f"""
+        select 'clinical_utility' as metric, 1 - sum(fn * fn_cost + fp * fp_cost) / sum(n * greatest(fn_cost, fp_cost)) as value from C
+        union all select 'weighted_f2_score', sum({_FB} * support / n) from C
+        union all select 'high_risk_recall', sum(tp) / nullif(sum(support), 0) from OVR
+            where cls in ({', '.join(str(c) for c in POL.high_risk_classes)})
+        union all select 'risk_adjusted_auc', sum(auc * w) / sum(w) from (
+            select auc, case {_risk_case('cls')} when 'high_risk' then 3.0 when 'low_risk' then 1.0 else 2.0 end as w
+            from AUCT where n_pos > 0) x""", extra=[("AUCT", AUC_SQL)], dbl=["value"]))
+def q_report_overall(spark, sf):
+    return mt.clinical_report(_pred(spark, sf), POL, tb.scored_multiclass(spark, sf))[0]
+
+
 _CURVE_B = """select score, n_pos, n_neg,
        coalesce(sum(n_pos) over (order by score rows between unbounded preceding and 1 preceding), 0) as pos_before,
        coalesce(sum(n_neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as neg_before,
@@ -206,9 +233,9 @@ def q_prec_level(spark, sf):
     return mt.precision_at_level(tb.scored_multiclass(spark, sf), 0.3)
 
 
-def _edges_sql(n_bins=10):
+def _edges_sql(n_bins=10, top=1.0 + 1e-8):
     import numpy as np
-    e = np.linspace(0.0, 1.0 + 1e-8, n_bins + 1)
+    e = np.linspace(0.0, top, n_bins + 1)
     return " + ".join(f"(case when {float(x)!r}::double <= score then 1 else 0 end)" for x in e)
 
 
@@ -219,6 +246,17 @@ def q_calibration(spark, sf):
     return mt.calibration_bins(tb.scored_binary(spark, sf), n_bins=10)
 
 
+@register("calibration_curve", rounded(with_fixtures(
+    f"""select cast(i as bigint) as bin, (i + 0.5) / 10 as center, coalesce(prob_pred, 0) as prob_pred,
+               coalesce(prob_true, 0) as prob_true, coalesce(n, 0) as count
+        from range(10) t(i) left join (
+          select greatest(0, least(9, {_edges_sql(top=1.0)} - 1)) as bin, avg(score) as prob_pred,
+                 avg(cast(y_true as double)) as prob_true, count(*) as n from B group by 1) g on g.bin = t.i""", "B"),
+    ["center", "prob_pred", "prob_true"]))
+def q_calibration_curve(spark, sf):
+    return mt.calibration_curve(tb.scored_binary(spark, sf), n_bins=10)
+
+
 def _thr_pred_sql():
     wide = ", ".join(f"max(case when cls = {c} then p end) as p{c}" for c in range(8))
     whens = " ".join(f"when p{c} >= {POL.threshold(c)} then {c}" for c in POL.priority_order())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean as cl
+from tidemark.operators import rank_correlation as rc
 from tidemark.operators import selection as sl
 from tidemark.functions.exprs import sig_round, sig_sql
 from tidemark.plans.catalog import register
@@ -73,6 +74,47 @@ def q_corr(spark, sf):
     return sl.correlation_matrix(_T(spark, sf), NUM)
 
 
+def _spearman_sql():
+    parts = []
+    for i, a in enumerate(NUM):
+        for b in NUM[i + 1:]:
+            r = f"""(select case when stddev_pop(rx) > 0 and stddev_pop(ry) > 0 then corr(rx, ry) end from (
+                select rank() over (order by {a}) + count(*) over (partition by {a}) / 2.0 as rx,
+                       rank() over (order by {b}) + count(*) over (partition by {b}) / 2.0 as ry
+                from T where {a} is not null and {b} is not null))"""
+            parts.append(f"select '{a}' as feature_a, '{b}' as feature_b, {r} as r")
+    return " union all ".join(parts)
+
+
+def _kendall_sql():
+    """Counts of smaller and larger pairs by a self join of whole rows; the sums are exact."""
+    cols, outs = [], []
+    for i, a in enumerate(NUM):
+        for j in range(i + 1, len(NUM)):
+            x, y = f"sign(u.{a} - v.{a})", f"sign(u.{NUM[j]} - v.{NUM[j]})"
+            cols += [f"sum({x} * {y}) as s{i}_{j}", f"sum(abs({x})) filter (where {y} is not null) as x{i}_{j}",
+                     f"sum(abs({y})) filter (where {x} is not null) as y{i}_{j}"]
+            outs.append(f"select '{a}' as feature_a, '{NUM[j]}' as feature_b, "
+                        f"s{i}_{j} / nullif(sqrt(x{i}_{j}::double) * sqrt(y{i}_{j}::double), 0) as r from S")
+    return f"select {', '.join(cols)} from T u join T v on u.row_id < v.row_id", " union all ".join(outs)
+
+
+def _mirrored(half):
+    diagonal = " union all ".join(f"select '{f}', '{f}', case when min({f}) < max({f}) then 1.0 end from T" for f in NUM)
+    return f"""select feature_a, feature_b, r from {half}
+               union all select feature_b, feature_a, r from {half} union all {diagonal}"""
+
+
+@register("correlation_spearman", _Tsql(_mirrored("H"), ["r"], [("H", _spearman_sql())]))
+def q_spearman(spark, sf):
+    return rc.rank_correlation_matrix(_T(spark, sf), NUM, "spearman")
+
+
+@register("correlation_kendall", _Tsql(_mirrored("H"), ["r"], [("S", _kendall_sql()[0]), ("H", _kendall_sql()[1])]))
+def q_kendall(spark, sf):
+    return rc.rank_correlation_matrix(_T(spark, sf), NUM, "kendall")
+
+
 _POS = {f: i for i, f in enumerate(NUM)}
 _POS_CASE = "case {c} " + " ".join(f"when '{f}' then {i}" for f, i in _POS.items()) + " end"
 
@@ -109,17 +151,7 @@ def _gram_sql():
 @register("gram_matrix", _Tsql(_gram_sql(), []))
 def q_gram(spark, sf):
     """Sufficient statistic behind VIF and feature distances (upper triangle)."""
-    g = sl.gram_matrix(_T(spark, sf), NUM)
-    # expose the same upper triangle as a DataFrame computed by Spark
-    cond = None
-    for f in NUM:
-        c = F.col(f).isNotNull()
-        cond = c if cond is None else cond & c
-    t = _T(spark, sf).where(cond)
-    aggs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.sum(F.col(a) * F.col(b)).alias("g"))
-            for i, a in enumerate(NUM) for b in NUM[i:]]
-    del g
-    out = t.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+    out = sl.gram_table(_T(spark, sf), NUM)
     return out.withColumn("g_sci", sig_round(F.col("g"))).drop("g")    # sums reach 1e13: 10 significant digits
 
 
@@ -174,6 +206,27 @@ def q_group_importance(spark, sf):
     return sl.group_importance(sl.feature_groups(a), "f_score")
 
 
+_GROUP = """case when regexp_matches(feature, '[_.]') then split_part(feature, '_', 1) else 'Other' end"""
+
+
+@register("group_importance_mutual_info", _Tsql(
+    f"""select {_GROUP} as "group", avg(mutual_info) as mean_importance, count(*) as n_features from A group by 1""",
+    ["mean_importance"], [("A", _mi_sql())]))
+def q_group_mi(spark, sf):
+    return sl.group_importance(sl.feature_groups(sl.mutual_info_binned(_T(spark, sf), NUM, "label", 10)), "mutual_info")
+
+
+_VAR_SQL = " union all ".join(
+    f"select '{f}' as feature, case when var_pop({f}) > 0 then var_samp({f}) / var_pop({f}) else 0.0 end as variance from T" for f in NUM)
+
+
+@register("group_importance_variance", _Tsql(
+    f"""select {_GROUP} as "group", avg(variance) as mean_importance, count(*) as n_features from A group by 1""",
+    ["mean_importance"], [("A", _VAR_SQL)]))
+def q_group_variance(spark, sf):
+    return sl.group_importance(sl.feature_groups(sl.standardized_variance(_T(spark, sf), NUM)), "variance")
+
+
 @register("top_features", _Tsql("select feature, f_score from A order by f_score desc, feature limit 2",
                                 ["f_score"], [("A", _anova_sql())]))
 def q_top(spark, sf):
