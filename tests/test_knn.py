@@ -51,3 +51,20 @@ def test_knn_matches_bruteforce(spark, seed, bucket):
     exp = brute(rows, cols, 5)
     for i, e in exp.items():
         assert np.allclose(got[i], e, rtol=0, atol=1e-9), (i, got[i], e)
+
+
+def test_knn_work_follows_near_cells(spark, monkeypatch):
+    """Columns of few values: a missing value is compared with the rows of near cells, not with a share of the table."""
+    import tidemark.operators.neighbours as nb
+    rnd = random.Random(5)
+    rows = [(i, float(rnd.randint(0, 9)), rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(6000)]
+    rows = [(i, a, None if i % 30 == 0 else b, c) for i, a, b, c in rows]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    seen = []
+    keep = nb.stored
+    monkeypatch.setattr(nb, "stored", lambda d, name: seen.append((name, keep(d, name))) or seen[-1][1])
+    got = {r["id"]: [r[c] for c in "abc"] for r in impute_knn(df, "id", ["a", "b", "c"], bucket_size=64).collect()}
+    exp = brute(rows, ["a", "b", "c"], 5)
+    assert all(np.allclose(got[i], e, rtol=0, atol=1e-9) for i, e in exp.items())
+    found = {name: d.count() for name, d in seen}
+    assert found["knn-near"] == 200 * 5 and found["knn-far"] < 200 * 5 * 15     # of about 100 cells

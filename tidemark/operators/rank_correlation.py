@@ -18,18 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import prefix_sums
-from tidemark.session import scratch_path
+from tidemark.session import stored
 
 #: Points of a block, about: a block holds less than twice as many.
 BLOCK = 200_000
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, f"{name}-")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _value(c: str):
     """The column as double, NaN as null."""
     return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
@@ -121,11 +115,11 @@ def discordant(points: DataFrame, block: int = BLOCK) -> DataFrame:
             break
         size = max(block, math.ceil(4 * math.sqrt(largest)))  # so that the grid has at most a quarter as many points
         at = (2 * F.floor(F.col("m_before") / size) + (F.col("m") > size).cast("long")).cast("double")
-        cut = _stored(_joined(points, _sides(points, _buckets(largest)).withColumn("b", at), "b"), "rank-blocks")
+        cut = stored(_joined(points, _sides(points, _buckets(largest)).withColumn("b", at), "b"), "rank-blocks")
         parts.append(cut.where("b_x % 2 = 0").select("pair", F.col("b_x").alias("b"), "x", "y", "n"))
         parts.append(cut.where("b_y % 2 = 0").groupBy("pair", F.col("b_y").alias("b"), F.col("b_x").alias("x"), "y")
                      .agg(F.sum("n").alias("n")))
-        points = _stored(cut.groupBy("pair", F.col("b_x").alias("x"), F.col("b_y").alias("y")).agg(F.sum("n").alias("n")), "rank-grid")
+        points = stored(cut.groupBy("pair", F.col("b_x").alias("x"), F.col("b_y").alias("y")).agg(F.sum("n").alias("n")), "rank-grid")
     counted = [p.groupBy("pair", "b").applyInArrow(_count_block, "pair int, d decimal(38,0)") for p in parts]
     out = counted[0]
     for c in counted[1:]:
@@ -159,7 +153,7 @@ def rank_correlation_matrix(df: DataFrame, features: Sequence[str], method: str
     spark = df.sparkSession
     names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, feature_a string, feature_b string")
     if pairs:
-        points = _stored(pair_counts(df, pairs), "rank-points")
+        points = stored(pair_counts(df, pairs), "rank-points")
         r = spearman(points) if method == "spearman" else kendall(points, block)
         half = names.join(F.broadcast(r), "pair", "left").select("feature_a", "feature_b", "r")
     else:
