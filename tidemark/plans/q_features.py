@@ -9,7 +9,7 @@ from tidemark.operators import clean as cl
 from tidemark.operators import features as fe
 from tidemark.operators import labels as lb
 from tidemark.plans.catalog import register
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, stored
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.sources import tables as tb
 
@@ -329,6 +329,7 @@ def _engineer_sql() -> str:
 def q_engineer(spark, sf):
     """The whole chain over coded items, row key and label kept: fitted, saved, read again, then applied."""
     t = _T(spark, sf).select("row_id", "label", "status", *[F.col(c).cast("double").alias(n) for c, n in CODED.items()])
+    t = stored(t, "table")
     path = scratch_path(spark, "engineer-")
     fe.FeatureEngineer(passThrough=["row_id", "label"]).fit(t).write().save(path)
     return fe.FeatureEngineerModel.load(path).transform(t)
