@@ -139,26 +139,39 @@ def _search(cols: Sequence[str], k: int, id_type: pa.DataType):
         own, theirs = (pc.fill_null(pc.index_in(v, value_set=kinds), -1).to_numpy(zero_copy_only=False)
                        for v in (rows.column("_rid").combine_chunks() if rows.num_rows else ids, ids))
         take, found = [], []
-        for c in np.unique(col):
-            at, cand = np.flatnonzero(col == c), np.flatnonzero(~np.isnan(d[:, c]))
+        has_x = ~np.isnan(x)
+        like = np.unique(np.column_stack([col, has_x]), axis=0, return_inverse=True)[1].ravel() if len(x) else col
+        for g in np.unique(like):   # rows with the same columns, missing the same one
+            at = np.flatnonzero(like == g)
+            c, has = col[at[0]], has_x[at[0]]
+            cand = np.flatnonzero(~np.isnan(d[:, c]))
+            if not len(cand):
+                continue
             dc, has_d = d[cand], ~np.isnan(d[cand])
-            step = max(1, 1_000_000 // max(1, len(cand)))
-            for a in range(0, len(at) if len(cand) else 0, step):
+            alike = bool((has_d == has_d[0]).all())
+            both = has & has_d[0] if alike else has
+            n = float(both.sum()) if alike else (has_d & has).sum(1)
+            m = min(k, len(cand))
+            filled = [np.ascontiguousarray(dc[:, j]) for j in range(p)]
+            step = max(1, 200_000 // len(cand))
+            for a in range(0, len(at), step):
                 rows_ = at[a:a + step]
-                xs = x[rows_]
-                n, ss = np.zeros((len(xs), len(cand))), np.zeros((len(xs), len(cand)))
-                for j in range(p):
-                    both = ~np.isnan(xs[:, j:j + 1]) & has_d[:, j]
-                    n += both
-                    ss += np.where(both, (xs[:, j:j + 1] - dc[:, j]) ** 2, 0.0)
-                dist = np.where((n > 0) & (own[rows_, None] != theirs[cand]), np.sqrt(p / np.maximum(n, 1) * ss), np.inf)
-                rank = np.floor(dist * 1e9 + 0.5)
-                m = min(k, len(cand))
-                pick = np.argpartition(rank, m - 1, axis=1)[:, :m]
-                last = np.take_along_axis(rank, pick, 1).max(1)
-                for i in np.flatnonzero((rank <= last[:, None]).sum(1) > m):   # ties at the last place: the smallest ids
-                    pick[i] = np.argsort(rank[i], kind="stable")[:m]
-                far = np.take_along_axis(dist, pick, 1)
+                far2 = np.zeros((len(rows_), len(cand)))
+                for j in np.flatnonzero(both):
+                    off = x[rows_, j][:, None] - filled[j]
+                    off *= off
+                    far2 += off if alike else np.where(has_d[:, j], off, 0.0)
+                far2 *= p / np.maximum(n, 1)
+                far2[:, np.broadcast_to(n == 0, len(cand))] = np.inf
+                if np.isin(own[rows_], theirs[cand]).any():
+                    far2[own[rows_][:, None] == theirs[cand]] = np.inf
+                pick = np.argpartition(far2, m - 1, axis=1)[:, :m]
+                last = np.sqrt(np.take_along_axis(far2, pick, 1).max(1))
+                within = far2 <= ((last + MARGIN) ** 2)[:, None]
+                for i in np.flatnonzero(within.sum(1) > m):   # close to the last place: by rounded distance, then id
+                    near = np.flatnonzero(within[i])
+                    pick[i] = near[np.argsort(np.floor(np.sqrt(far2[i, near]) * 1e9 + 0.5), kind="stable")[:m]]
+                far = np.sqrt(np.take_along_axis(far2, pick, 1))
                 i, j = np.nonzero(np.isfinite(far))
                 take.append(rows_[i])
                 found.append((cand[pick[i, j]], far[i, j], dc[pick[i, j], c]))
