@@ -43,7 +43,7 @@ def _sides(points: DataFrame, n_buckets: int) -> DataFrame:
                    F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))
     v = points.select("pair", "n", F.inline(both)).groupBy("pair", "side", "v").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"))
-    return prefix_sums(v, ["pair", "side"], "v", ["n", "m"], n_buckets)
+    return prefix_sums(stored(v, "rank-values"), ["pair", "side"], "v", ["n", "m"], n_buckets)
 
 
 def _joined(points: DataFrame, sides: DataFrame, col: str) -> DataFrame:
@@ -65,8 +65,8 @@ def _buckets(largest: int) -> int:
 def spearman(points: DataFrame) -> DataFrame:
     """(pair, r): Pearson's r of average ranks; null where a side is constant."""
     totals = points.groupBy("pair").agg(F.sum("n").alias("n_all"))
-    ranks = _sides(points, _buckets(_largest(points))).join(F.broadcast(totals), "pair").withColumn(
-        "rank", F.col("n_before") + (F.col("n") - F.col("n_all")) / 2)  # average rank less the mean rank
+    ranks = stored(_sides(points, _buckets(_largest(points))).join(F.broadcast(totals), "pair").withColumn(
+        "rank", F.col("n_before") + (F.col("n") - F.col("n_all")) / 2), "ranks")  # average rank less the mean rank
     spread = ranks.groupBy("pair").agg(*[F.sum(F.when(F.col("side") == s, F.col("n") * F.col("rank") * F.col("rank"))).alias(f"v_{s}")
                                          for s in ("x", "y")])
     cov = _joined(points, ranks, "rank").groupBy("pair").agg(F.sum(F.col("n") * F.col("rank_x") * F.col("rank_y")).alias("c"))
@@ -153,6 +153,7 @@ def rank_correlation_matrix(df: DataFrame, features: Sequence[str], method: str
     spark = df.sparkSession
     names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, feature_a string, feature_b string")
     if pairs:
+        df = stored(df.select(*feats), "rank-rows")
         points = stored(pair_counts(df, pairs), "rank-points")
         r = spearman(points) if method == "spearman" else kendall(points, block)
         half = names.join(F.broadcast(r), "pair", "left").select("feature_a", "feature_b", "r")
