@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import exact_quantiles
+from tidemark.session import stored
 
 
 def anova_f(df: DataFrame, features: Sequence[str], label_col: str = "label") -> DataFrame:
@@ -295,6 +296,8 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label_
     base = df.withColumn("_g", F.lit(0))
     ranked = stratified_rank(base, ["_g"], id_col, seed)               # rank by md5(id)
     natural = stratified_rank(base, ["_g"], id_col, seed + 1)          # a second independent order
+    donors = natural.select("_rank", *[F.col(f).alias(f"_v_{f}") for f in features])
+    paired = stored(ranked.join(donors, "_rank"), "permuted")          # one join: each row beside its donor
 
     def acc(frame):
         v = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(frame)
@@ -303,9 +306,7 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label_
     a0 = acc(df)
     rows = []
     for f in features:
-        donor = natural.select(F.col("_rank"), F.col(f).alias("_v"))
-        perm = ranked.join(donor, "_rank").drop(f).withColumnRenamed("_v", f)
-        rows.append((f, float(a0 - acc(perm))))
+        rows.append((f, float(a0 - acc(paired.withColumn(f, F.col(f"_v_{f}"))))))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
