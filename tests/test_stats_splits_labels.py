@@ -126,3 +126,49 @@ def test_group_kfold_keeps_null_groups_and_labels(spark):
     n = sum(label is None for _, _, label in rows)
     assert s.filter("label is null and split = 'test'").count() == int(np.ceil(0.3 * n))
 
+
+
+def test_exact_quantiles_by_counted_bins(spark, monkeypatch):
+    """Ranges are narrowed by counts of bins, which any number of tasks add up; no sketch is merged in one task."""
+    import numpy as np
+    from tidemark.functions import stats
+
+    def refused(*a, **k):
+        raise AssertionError("one task merges every partition's sketch")
+
+    monkeypatch.setattr(stats.F, "percentile_approx", refused)
+    rnd = np.random.default_rng(3)
+    a = np.concatenate([10.0 ** rnd.uniform(-12, 12, 900), np.full(400, 7.0), -np.ones(50)])
+    df = spark.createDataFrame([(float(v), None if i % 9 == 0 else float(i % 4)) for i, v in enumerate(a)], "a double, b double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = stats.exact_quantiles(df, ["a", "b"], probs, limit=20)
+    assert np.allclose(got["a"], np.quantile(a, probs), rtol=1e-12)
+    assert np.allclose(got["b"], np.quantile([i % 4 for i in range(len(a)) if i % 9], probs))
+
+
+def test_exact_quantiles_infinite_ends(spark):
+    from tidemark.functions import stats
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in [-inf] * 5 + [float(i) for i in range(41)] + [inf] * 5], "a double")
+    assert stats.exact_quantiles(df, ["a"], [0.0, 0.5, 1.0], limit=3) == {"a": [-inf, 20.0, inf]}
+
+
+def test_stratified_rank_counts_once(spark):
+    """The rows are read to be counted and to be ranked: twice, in place of three times."""
+    from tidemark.operators import splits as sp
+    df = spark.range(1000).withColumn("g", F.col("id") % 3)
+    r = sp.stratified_rank(df, ["g"], "id", rows_per_bucket=50)
+    assert r._jdf.queryExecution().sparkPlan().toString().count("Range (") == 2
+    rows = r.select("g", "_rank", "_n", F.md5(F.concat(F.col("id").cast("string"), F.lit("-42"))).alias("k")).collect()
+    for g in range(3):
+        own = sorted((x for x in rows if x["g"] == g), key=lambda x: x["k"])
+        assert [x["_rank"] for x in own] == list(range(len(own))) and {x["_n"] for x in own} == {len(own)}
+
+
+def test_training_rows_are_joined_once(spark):
+    """The passes of a fit read the stored split, not the joins, medians and ranks behind it."""
+    from tidemark.plans import q_inventory, q_models
+    for module in (q_models, q_inventory):
+        for part in module._train_test(spark, "/root/testdata/sf0.001"):
+            plan = part._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Window" not in plan
