@@ -30,7 +30,7 @@ from tidemark.plans.catalog import register
 from tidemark.plans.oracle import rounded, with_fixtures
 from tidemark.plans.q_labels import POL, _risk_case
 from tidemark.plans.q_selection import _anova_sql
-from tidemark.session import scratch_path, stored
+from tidemark.session import checkpointed, scratch_path, stored
 from tidemark.sources import cohort as co
 from tidemark.sources import tables as tb
 from tidemark.sources.policy import read_policy, write_policy
@@ -285,7 +285,7 @@ def q_read_policy(spark, sf):
 def _train_test(spark, sf):
     t = cl.impute_median(stored(tb.tabular(spark, sf).select("row_id", *NUM, "label"), "table"), NUM)
     t = t.select("row_id", *NUM, F.col("label").cast("long").alias("label"))
-    s = stored(sp.train_test_split(t, "row_id", "label", test_size=0.3), "split")
+    s = checkpointed(sp.train_test_split(t, "row_id", "label", test_size=0.3))
     return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
 
 
