@@ -78,3 +78,16 @@ def test_query_against_brute_force(spark):
     rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = QUERIES["op9_suffix_dedup"](spark, sf).collect()
     assert sorted((str(x["doc_id"]), *tuple(x)[1:]) for x in out) == brute(rows, 200)
+
+
+def test_suffixes_in_groups_of_equal_starts():
+    """The order goes no further than the windows do, and equal windows form one group of it."""
+    r = np.random.default_rng(5)
+    for n, letters, depth in ((0, 2, 8), (1, 2, 8), (300, 2, 5), (400, 1, 64), (500, 2, 7), (600, 3, 20), (100, 2, 300)):
+        text = r.integers(0, letters, n).astype(np.uint16)
+        text[n // 2:] = text[:n - n // 2]  # long repeats
+        order, border = R.suffix_groups(text, depth)
+        starts = [text[i:i + depth].tolist() for i in range(n)]
+        assert sorted(order.tolist()) == list(range(n))
+        assert [starts[i] for i in order] == sorted(starts)
+        assert border.tolist() == [k == 0 or starts[order[k]] != starts[order[k - 1]] for k in range(n)]

@@ -5,8 +5,8 @@ windows have equal anchors at equal offsets.  So a text falls into runs of windo
 each, and only runs whose anchor occurs again can hold repeated windows; the others are settled
 from one count per anchor.  Runs with an equal context (all bytes of their windows) are repeated
 as a whole.  What is left are the edges of repeated passages: their contexts are dealt by anchor to
-shards; a shard builds the suffix array of its contexts by Larsson-Sadakane refinement, and
-Kasai's common prefixes of neighbours show the repeated windows.  An anchor with more contexts than
+shards; a shard builds the suffix array of its contexts by Larsson-Sadakane refinement as far as a
+window reaches, which brings the repeated windows together.  An anchor with more contexts than
 a shard holds is spread over several, whose sorted windows are cut into ranges by binary search and
 merged, again by binary search.
 """
@@ -109,41 +109,47 @@ def _runs(length: int):
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array.
+    """The suffix array."""
+    return suffix_groups(text, len(text))[0]
 
-    Larsson-Sadakane: ranks by the first h symbols and those of the suffix h further give ranks by
-    2h; only suffixes whose rank isn't unique are sorted again.
+
+def suffix_groups(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order of their first ``depth`` symbols, and which of the places begin a group of equal ones.
+
+    Larsson-Sadakane: ranks by the first h symbols and those of the suffix up to h further give ranks by up
+    to 2h, so that the last step ends at ``depth``; only suffixes whose rank isn't unique are sorted again.
     """
     n = len(text)
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
+    h = max(1, min(7, depth))
+    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(h, np.uint64)])
     code = np.zeros(n, np.uint64)
-    for i in range(6):
+    for i in range(h):
         code = code * np.uint64(512) + padded[i:i + n]
-    order = np.argsort(code, kind="stable")
-    h = 6
+    order = np.argsort(code)
     key = code[order]
     border = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, bool)
     rank = np.empty(n, np.int64)
     first = np.flatnonzero(border)
     rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-    while True:
+    while h < depth:
         # places of the order that belong to groups of several suffixes
         group = np.flatnonzero(border)
         size = np.diff(np.append(group, n))
         place = np.flatnonzero(np.repeat(size > 1, size))
         if not len(place):
             break
+        step = min(h, depth - h)
         suffix = order[place]
-        beyond = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + 1, 0)
-        mine = rank[suffix]
-        again = np.lexsort((beyond, mine))
-        order[place], mine, beyond = suffix[again], mine[again], beyond[again]
-        new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (beyond[1:] != beyond[:-1])])
+        beyond = np.where(suffix + step < n, rank[np.minimum(suffix + step, n - 1)] + 1, 0)
+        key = rank[suffix] * (n + 1) + beyond  # below 2^63 for any text that fits into memory
+        again = np.argsort(key)
+        order[place], key = suffix[again], key[again]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         border[place] |= new
         start = np.flatnonzero(new)
         rank[order[place]] = np.repeat(place[start], np.diff(np.append(start, len(place))))
-        h *= 2
-    return order
+        h += step
+    return order, border
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
@@ -188,12 +194,10 @@ def _shard(length: int):
         text = np.full(int(size.sum() + len(size)), 256, np.uint16)
         for p, b in zip(parts, begin):
             text[b:b + len(p)] = p
-        order = suffix_order(text)
-        lcp = common_prefixes(text, order, begin, size, length)
-        near = np.zeros(len(text) + 1, np.int64)
-        near[:-1] = lcp[order]
+        # windows that are equal follow each other in the order of suffixes by ``length`` symbols
+        order, border = suffix_groups(text, length)
         repeated = np.zeros(len(text), bool)
-        repeated[order] = np.maximum(near[:-1], near[1:]) >= length
+        repeated[order] = ~(border & np.append(border[1:], True))
         out, open_windows = [], []
         salts, single = table["_salts"].to_numpy(), table["_n"].to_numpy() == 1
         for c in range(len(parts)):
@@ -300,8 +304,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError("length must be from 64 to 287 bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("_key"), text.alias("_text"))
-    runs = rows.select("_key", "_text").mapInArrow(_runs(length), "_key binary, _span long, _anchor long, _context long")
-
+    # stored before they are counted: finding anchors costs more than writing them
+    runs = stored(rows.select("_key", "_text").mapInArrow(_runs(length), "_key binary, _span long, _anchor long, _context long"), "all-runs")
     again = runs.groupBy("_anchor").agg(F.count("*").alias("_n")).filter("_n > 1").select("_anchor")
     runs = stored(runs.join(again, "_anchor", "left_semi"), "runs")
     contexts = runs.groupBy("_anchor", "_context").agg(
