@@ -159,3 +159,19 @@ def test_query_against_all_pairs(spark):
     docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {x["doc_id"]: x["class_id"] for x in QUERIES["op7_near_dedup"](spark, sf).collect()}
     assert got == {d: c for (d, _), c in zip(docs, classes_of(docs))}
+
+
+def test_counts_of_units_however_frequent(spark, monkeypatch):
+    """Every row gets its unit's count by joins that keep the rows, so frequent units make no more rows than others."""
+    from collections import Counter
+    r = random.Random(8)
+    rows = [(bytes([b]), u) for b in range(60) for u in {0, 1, *(r.randrange(2, 40) for _ in range(8)), 1000 + b}]
+    count = Counter(u for _, u in rows)
+    df = spark.createDataFrame(rows, "_bag binary, _unit long")
+    for hot in (0, 20, 1 << 40):
+        monkeypatch.setattr(N, "HOT", hot)
+        out = N.counted(df)
+        assert sorted((bytes(x["_bag"]), x["_n"], x["_unit"]) for x in out.collect()) == sorted((b, count[u], u) for b, u in rows)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner" not in plan and "LeftAnti" not in plan
+    assert N.counted(df.limit(0)).count() == 0

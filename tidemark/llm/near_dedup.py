@@ -229,22 +229,32 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
             .filter(F.col("_j") >= similarity).select(*pairs.columns))
 
 
+def counted(units: DataFrame) -> DataFrame:
+    """(_bag, _n, _unit): each row (_bag, _unit) with the number of rows that have its unit.
+
+    Both joins keep the rows one by one, whichever units are frequent.  Counts of the most frequent ones
+    are broadcast, and their rows are dealt by bag to the join with the others, so that no key of it
+    holds more than a small part of the rows.
+    """
+    counts = stored(units.groupBy("_unit").agg(F.count("*").alias("_n")).filter("_n > 1"), "units")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    is_hot = F.col("_n") * HOT > total
+    hot = counts.filter(is_hot).select("_unit", F.col("_n").alias("_most"))  # fewer than HOT rows
+    other = counts.filter(~is_hot).select(F.col("_unit").alias("_key"), F.lit(True).alias("_rare"), "_n")
+    rare = F.col("_most").isNull()
+    keyed = (units.join(F.broadcast(hot), "_unit", "left")
+             .withColumns({"_rare": rare, "_key": F.when(rare, F.col("_unit")).otherwise(F.xxhash64("_bag"))}))
+    return (keyed.join(other, ["_key", "_rare"], "left")
+            .select("_bag", F.coalesce("_most", "_n", F.lit(1)).alias("_n"), "_unit"))
+
+
 def prefixes(bags: DataFrame, similarity: float) -> DataFrame:
     """(_unit, _bag, _size, _at): the units, rarest first, that two bags of the similarity can't both lack.
 
     Two bags of n and m units that share k of them have one of these among the first n - k + 1 and
     m - k + 1 in any common order; k is at least similarity * n.  Units of one bag only are left out.
-    Counts of the most frequent units are broadcast, so that no key of the join with the others holds
-    more than a small part of the rows.
     """
-    units = bags.select("_bag", F.explode("_units").alias("_unit"))
-    counts = stored(units.groupBy("_unit").agg(F.count("*").alias("_n")).filter("_n > 1"), "units")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    is_hot = F.col("_n") * HOT > total
-    hot = F.broadcast(counts.filter(is_hot))  # fewer than HOT rows
-    ranked = (units.join(hot, "_unit", "left_anti").join(counts.filter(~is_hot), "_unit", "left")
-              .select("_bag", F.coalesce("_n", F.lit(1)).alias("_n"), "_unit")
-              .unionByName(units.join(hot, "_unit").select("_bag", "_n", "_unit")))
+    ranked = counted(bags.select("_bag", F.explode("_units").alias("_unit")))
     size = F.size("_order")
     needed = F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int")
     return (ranked.groupBy("_bag").agg(F.sort_array(F.collect_list(F.struct("_n", "_unit"))).alias("_order"))
