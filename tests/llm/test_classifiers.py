@@ -76,3 +76,38 @@ def test_edges(spark, judge, label):
     assert {r["score"] for r in judge(docs, labels.limit(0)).collect()} == {0.5}
     one = judge(docs, labels.filter(f"{label} = 1")).collect()
     assert len(one) == 205 and min(r["score"] for r in one) >= 0.5
+
+
+def test_fit_keeps_no_second_copy_of_the_features():
+    """Beside the rows' features, the fit holds arrays of the weights' size only."""
+    import tracemalloc
+    r = np.random.default_rng(6)
+    rows = [np.sort(r.choice(quality.DIMS, 1000, replace=False)).astype(np.int32) for _ in range(4000)]
+    y = r.integers(0, 2, 4000)
+    tracemalloc.start()
+    ratio = quality.log_count_ratio(rows, y)
+    quality.dual_descent(rows, y, ratio)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in rows) + 2 * ratio.nbytes
+    counts = np.bincount(np.concatenate([x for x, v in zip(rows, y) if v]), minlength=quality.DIMS) + 1.0
+    other = np.bincount(np.concatenate([x for x, v in zip(rows, y) if not v]), minlength=quality.DIMS) + 1.0
+    assert np.array_equal(ratio, np.log((counts / counts.sum()) / (other / other.sum())))
+
+
+def test_scores_in_blocks(spark, monkeypatch):
+    """Scores don't depend on how a batch is cut, other columns don't pass through Python, and a column named score is kept."""
+    weights = np.random.default_rng(7).normal(size=quality.DIMS).astype(np.float32)
+    model = quality.QualityModel(weights, 0.1, 1.5, -0.2)
+    texts = ["", None, "a", "word " * 300, "é" * 50, *(f"line {i} of text" for i in range(40))]
+    df = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts)], "doc_id long, text string, score long").repartition(2)
+    want = {i: model.score(quality.features(np.frombuffer((t or "").encode(), np.uint8))) for i, t in enumerate(texts)}
+    for size in (1 << 20, 1, 100):
+        monkeypatch.setattr(quality, "BLOCK", size)
+        out = quality.score_quality(df.drop("score"), model, keep=("doc_id",))
+        assert {r["doc_id"]: r["score"] for r in out.collect()} == want
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(quality, "fit_quality", lambda *a, **k: model)
+    kept = quality.keep_quality(df, None, threshold=0.5)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(i, t, i * 2) for i, t in enumerate(texts) if want[i] >= 0.5]

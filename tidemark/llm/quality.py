@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, utf8_of
@@ -29,6 +29,8 @@ SMOOTHING, COST, EPOCHS, MIX = 1.0, 1.0, 12, 0.25
 THRESHOLD = 0.3
 #: Bytes of a text that are looked at together; longer texts are taken in overlapping runs.
 RUN = 1 << 20
+#: Bytes of a batch that are scored together.
+BLOCK = 1 << 20
 
 
 def features(data: np.ndarray) -> np.ndarray:
@@ -70,8 +72,10 @@ class QualityModel:
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """log of the smoothed share of each feature in class 1 over that in class 0."""
     def share(k):
-        own = [r for r, v in zip(rows, y) if v == k]
-        n = np.bincount(np.concatenate(own), minlength=DIMS) + SMOOTHING if own else np.full(DIMS, SMOOTHING)
+        n = np.full(DIMS, SMOOTHING)
+        for r, v in zip(rows, y):
+            if v == k:
+                n[r] += 1  # a row's features are distinct
         return n / n.sum()
     return np.log(share(1) / share(0))
 
@@ -79,19 +83,23 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model; one dual variable a row, visited in random order."""
     w, bias = np.zeros(DIMS), 0.0
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
-    norm = np.array([v @ v + 1.0 for v in values])
+
+    def values(i: int) -> np.ndarray:  # made for each visit: those of all rows would take twice their features' memory
+        return ratio[rows[i]] / np.sqrt(max(len(rows[i]), 1))
+
+    norm = np.array([v @ v + 1.0 for v in map(values, range(len(rows)))])
     sign = np.where(y == 1, 1.0, -1.0)
     # both classes weigh the same in all
     most = COST * len(y) / 2 / np.where(y == 1, max(y.sum(), 1), max(len(y) - y.sum(), 1))
     dual, random = np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in random.permutation(len(y)):
-            slack = sign[i] * (w[rows[i]] @ values[i] + bias) - 1
+            own = values(i)
+            slack = sign[i] * (w[rows[i]] @ own + bias) - 1
             new = min(max(dual[i] - slack / norm[i], 0.0), most[i])
             if new != dual[i]:
                 step = (new - dual[i]) * sign[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * own
                 bias += step
                 dual[i] = new
     return w, bias
@@ -151,22 +159,30 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     The score reads the whole text and nothing else; null counts as empty, and an empty text gets
     the score of a margin of bias alone.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = len(keep)
+    return docs.select(*[F.col(c) for c in keep], scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
+
+
+def scorer(spark: SparkSession, model: QualityModel):
+    """Column function of a text's score.  Only texts go to Python and only scores come back; a batch is
+    taken in blocks of ``BLOCK`` bytes, so that no copies of a whole one are made."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        m, scores = shared.value, []
+        for part in blocks(texts):
+            data, off = utf8_of(part)
+            scores += [m.score(features(data[off[i]:off[i + 1]])) for i in range(len(part))]
+        return pa.array(scores, pa.float64())
+
+    return score
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            data, off = utf8_of(b.column(at))
-            scores = [m.score(features(data[off[i]:off[i + 1]])) for i in range(b.num_rows)]
-            yield pa.record_batch([*b.columns[:at], pa.array(scores, pa.float64())],
-                                  [*(f"_{i}" for i in range(at)), "_score"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"_{i} {kinds[c]}" for i, c in enumerate(keep)), "_score double"])
-    out = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
-    out = out.mapInArrow(score, schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("_score").alias("score"))
+def blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a string column of about ``BLOCK`` bytes each."""
+    rows = max(1, len(texts) * BLOCK // max(texts.nbytes, 1))
+    for i in range(0, len(texts), rows):
+        yield texts.slice(i, rows)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -183,6 +199,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of ``threshold`` or more, all columns."""
     model = fit_quality(docs, labels, id_col=id_col, text_col=text_col)
-    columns = docs.columns
-    scored = score_quality(docs, model, id_col, text_col, tuple(columns))
-    return scored.filter(F.col("score") >= threshold).select(*columns)
+    return docs.filter(scorer(docs.sparkSession, model)(F.col(text_col)) >= threshold)
