@@ -324,12 +324,14 @@ def q_hr_ensemble(spark, sf):
     scored = md.score_proba(main, te)
     hr = [c for c in POL.priority_order() if c in POL.high_risk_classes]
     boosters = {}
-    for c in hr:
-        d = tr.withColumn("_y", (F.col("label") == c).cast("long")) \
-              .withColumn("sample_weight", F.when(F.col("_y") == 1, F.lit(5.0)).otherwise(F.lit(1.0)))
-        est = md.make_classifier("decision_tree", "_y", maxDepth=3)
-        m = est.fit(md.assemble(d, NUM))
-        boosters[c] = m
+    rows = md.assemble(tr, NUM).select("features", "label").persist()   # every booster passes over them several times
+    try:
+        for c in hr:
+            d = rows.withColumn("_y", (F.col("label") == c).cast("long")) \
+                    .withColumn("sample_weight", F.when(F.col("_y") == 1, F.lit(5.0)).otherwise(F.lit(1.0)))
+            boosters[c] = md.make_classifier("decision_tree", "_y", maxDepth=3).fit(d)
+    finally:
+        rows.unpersist()
     x = md.assemble(scored, NUM)
     for c, m in boosters.items():
         x = m.setProbabilityCol(f"_pb{c}").setRawPredictionCol(f"_rb{c}").setPredictionCol(f"_yb{c}").transform(x)
