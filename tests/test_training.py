@@ -159,3 +159,18 @@ def test_grouped_auc(spark):
                                  "g int, y_true long, cls long, p double")
     got = {r["g"]: r["weighted_ovr_auc"] for r in mt.weighted_ovr_auc(long, group_cols=["g"], n_buckets=4).collect()}
     assert got == {g: pytest.approx(brute_auc(y[g::2].tolist(), p[g::2])) for g in (0, 1)}
+
+
+def test_ensemble_rows_are_assembled_once(spark, monkeypatch):
+    """The boosters share one cached table of training rows, which is given back; all test rows are scored."""
+    from tidemark.plans import q_inventory as qi
+    rows = [(i, *(float((i * k) % 17) for k in range(1, len(qi.NUM) + 1)), i % 8) for i in range(240)]
+    df = spark.createDataFrame(rows, ", ".join(["row_id long", *(f"{c} double" for c in qi.NUM), "label long"]))
+    monkeypatch.setattr(qi, "_train_test", lambda *a: (df.filter("row_id % 3 > 0"), df.filter("row_id % 3 = 0")))
+    calls, assemble = [], md.assemble
+    monkeypatch.setattr(md, "assemble", lambda *a, **k: calls.append(a) or assemble(*a, **k))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = qi.q_hr_ensemble(spark, "").collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert sorted(r["row_id"] for r in out) == list(range(0, 240, 3)) and all(r["y_pred"] in range(8) for r in out)
+    assert len(calls) == 4  # the main model's fit and scores, the boosters' rows, the rows they score
