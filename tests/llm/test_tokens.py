@@ -147,3 +147,21 @@ def test_queries_equal_library(spark):
         assert a[d["doc_id"]]["ids_sha256"] == sha(" ".join(map(str, ids)))
         assert a[d["doc_id"]]["decoded_sha256"] == sha(lw.decode(ids, skip_special_tokens=False))
         assert b[d["doc_id"]]["n_tokens"] == len(lb.encode(d["text"], add_special_tokens=False).ids)
+
+
+def test_a_worker_takes_a_batch_in_slices(spark, monkeypatch):
+    """Of a large batch, a worker holds the results of about a megabyte of text at a time; all rows come back in order."""
+    import pyarrow as pa
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    kind, taken, own = type(docs), [], type(docs).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a, **k: taken.append(f) or own(self, f, schema, *a, **k))
+    tokens.encode_decode(docs, WORD, ids=True)
+    texts = [None, "", *(f"word{i % 7} of " * 100 for i in range(4000))]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["_id", "_text"])
+    out = list(taken[0](iter([batch])))
+    assert len(out) > 3 and max(b.num_rows for b in out) < len(texts) / 2
+    table = pa.Table.from_batches(out)
+    assert table["_id"].to_pylist() == list(range(len(texts)))
+    assert table["ids"].type == pa.list_(pa.int32())
+    ids = table["ids"].to_pylist()
+    assert [len(x) for x in ids] == table["n_tokens"].to_pylist() and ids[0] == ids[1] == [] and ids[2] == ids[9] != ids[3]

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import blocks_of, utf8_of
+from tidemark.llm.common import blocks_of, pieces_of, utf8_of
 from tidemark.llm.components import components, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -186,7 +186,7 @@ def band_keys(signs: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces_of(batches):
         bags, bands, signs, sizes, held = [], [], [], [], []
 
         def flush():
@@ -208,7 +208,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces_of(batches):
         bags, held = [], []
         for units in units_by_row(b.column(0)):
             bags.append(bag_of(units))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import CACHED_CHARS, Cache, tokenizer
-from tidemark.llm.common import texts_of
+from tidemark.llm.common import pieces_of, texts_of
 
 #: Entries of the broadcast table, and of a partition's summary it is made from.
 FREQUENT, SUMMARY = 1 << 15, 1 << 13
@@ -32,23 +34,25 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         cache = Cache(t.entry)
-        for b in batches:
+        for b in pieces_of(batches):
             out = []
             for text in texts_of(b.column(1)):
-                n, kept = 0, []
+                n, kept = 0, array("i")
                 digests = hashlib.sha256(), hashlib.sha256()
                 for number, run in enumerate(t.encode_words(text, cache)):
                     for d, part in zip(digests, run):
                         d.update((" " + part if number else part).encode("utf-8", "replace"))
                     n += run[0].count(" ") + 1
                     if ids:
-                        kept += map(int, run[0].split(" "))
+                        kept.extend(map(int, run[0].split(" ")))
                 out.append((n, *(d.hexdigest() for d in digests), kept))
             columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()),
                        pa.array([x[2] for x in out], pa.string())]
             names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                columns.append(pa.array([x[3] for x in out], pa.list_(pa.int32())))
+                ends = pa.array(accumulate((len(x[3]) for x in out), initial=0), pa.int32())
+                flat = pa.Array.from_buffers(pa.int32(), sum(len(x[3]) for x in out), [None, pa.py_buffer(b"".join(x[3] for x in out))])
+                columns.append(pa.ListArray.from_arrays(ends, flat))
                 names.append("ids")
             yield pa.record_batch([b.column(0), *columns], names)
 
