@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics as mt
 from tidemark.operators import models as md
 from tidemark.operators import search as se
+from tidemark.operators import tree_search as ts
 from tidemark.operators.labels import attach_sample_weight
 from tidemark.operators.logistic_path import L1LogisticPath
 from tidemark.session import scratch_path
@@ -152,6 +153,49 @@ def test_search_scores_are_out_of_fold(spark, rows):
     assert cv.fit(d.withColumn("fold", F.col("fold").cast("int"))).avgMetrics[0] == pytest.approx(found["results"][1]["mean"])
 
 
+def test_trees_of_a_search_are_grown_together(rows, monkeypatch):
+    """No candidate is fitted alone; bins, splits, depths and merged leaves are those of Spark's trees."""
+    from tidemark.operators import splits as sp
+    candidates = se.grid_candidates({"maxDepth": [0, 2, 4], "minInstancesPerNode": [5, 60, 200]})
+    alone = []
+    with monkeypatch.context() as m:
+        m.setattr(md, "fit_weighted", lambda *a: alone.append(a))
+        m.setattr(ts, "CELLS", 1)   # a node a pass
+        got = {(r[0], r[1]): r[2] for r in se.fold_scores(rows, X, POL, "decision_tree", candidates, folds=2).collect()}
+    assert not alone and len(got) == 18
+    d = md.assemble(sp.risk_stratified_kfold(attach_sample_weight(rows, POL, "label"), "row_id", POL, "label", 2), X).persist()
+    for at, fold in ((0, 0), (3, 1), (4, 0), (6, 0), (7, 1), (8, 1)):
+        model = md.make_classifier("decision_tree", **candidates[at]).fit(d.filter(F.col("fold") != fold))
+        assert got[at, fold] == pytest.approx(se.WeightedOvrAucEvaluator().evaluate(model.transform(d.filter(F.col("fold") == fold))), abs=1e-12)
+    d.unpersist()
+
+
+def test_sampled_bins_count_all_rows(rows, monkeypatch):
+    from tidemark.operators import splits as sp
+    monkeypatch.setattr(ts, "SAMPLE", 100)
+    d = md.assemble(sp.risk_stratified_kfold(attach_sample_weight(rows, POL, "label"), "row_id", POL, "label", 3), X)
+    held = ts.held_out_scores(d, [(2, 5, 0.0), (4, 5, 0.0)], 3).persist()
+    want = {(r["y_true"], r["fold"]): r["count"] for r in d.groupBy(F.col("label").alias("y_true"), "fold").count().collect()}
+    for at in (0, 1):
+        own = held.where(f"candidate = {at} and cls = 0").groupBy("y_true", "fold").agg(F.sum("n").alias("n")).collect()
+        assert {(r["y_true"], r["fold"]): r["n"] for r in own} == want
+    assert mt.weighted_ovr_auc(held, group_cols=["candidate"], count_col="n").agg(F.min("weighted_ovr_auc")).first()[0] > 0.7
+
+
+@pytest.mark.parametrize("broken", ["cast('nan' as double) as a, b, label", "a, b, label - 1 as label", "a, b, cast(null as long) as label"])
+def test_trees_of_a_search_take_finite_features_and_labels_from_0(rows, broken):
+    d = rows.where("row_id < 60").selectExpr("row_id", *broken.split(", "))
+    with pytest.raises(Exception, match="have to be"):
+        se.fold_scores(d, ["a", "b"], POL, "decision_tree", [{"maxDepth": 2}], folds=2)
+
+
+def test_auc_of_counted_rows(spark):
+    own = [(0, 0, 0.2, 3), (1, 0, 0.2, 1), (0, 0, 0.7, 2), (1, 0, 0.1, 4), (0, 1, 0.8, 3), (1, 1, 0.8, 1), (0, 1, 0.3, 2), (1, 1, 0.9, 4)]
+    long = spark.createDataFrame(own, "y_true long, cls long, p double, n long")
+    each = spark.createDataFrame([r[:3] for r in own for _ in range(r[3])], "y_true long, cls long, p double")
+    assert mt.weighted_ovr_auc(long, count_col="n").first()[0] == pytest.approx(mt.weighted_ovr_auc(each).first()[0], abs=1e-15)
+
+
 def test_grouped_auc(spark):
     rng = np.random.default_rng(2)
     y, p = rng.integers(0, 3, 90), np.round(rng.random((90, 3)), 1)
