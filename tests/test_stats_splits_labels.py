@@ -62,6 +62,15 @@ def test_rank_multi_bucket_equals_sort(spark):
     assert a == b
 
 
+def test_large_stratum_is_ranked_in_many_tasks(spark):
+    df = spark.range(400_000).select(F.col("id").alias("row_id"), F.lit(1).alias("label"))
+    r = sp.stratified_rank(df, ["label"], "row_id").persist()
+    per = [x["count"] for x in r.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(per) > 1 and max(per) < 0.8 * 400_000
+    assert r.agg(F.countDistinct("_rank"), F.max("_rank")).first() == (400_000, 399_999)
+    r.unpersist()
+
+
 # Fixed golden table of outcome triples (M6_Rem, Y1_Rem, Y1_Rem_6) -> lookup class, truth-table class
 GOLDEN = [
     (("Yes", "Yes", "Yes"), 7, 1), (("No", "No", "No"), 0, 0), (("Yes", "No", "No"), 2, 5),
