@@ -218,3 +218,19 @@ def test_ensemble_rows_are_assembled_once(spark, monkeypatch):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
     assert sorted(r["row_id"] for r in out) == list(range(0, 240, 3)) and all(r["y_pred"] in range(8) for r in out)
     assert len(calls) == 4  # the main model's fit and scores, the boosters' rows, the rows they score
+
+
+def own_split(spark, monkeypatch, qm):
+    rng = np.random.default_rng(4)
+    made = [(i, *(float(v) for v in rng.normal(i % 8, 3, len(qm.FEATS))), i % 8) for i in range(240)]
+    df = spark.createDataFrame(made, ", ".join(["row_id long", *(f"{c} double" for c in qm.FEATS), "label long"]))
+    monkeypatch.setattr(qm, "_train_test", lambda *a: (df.filter("row_id % 3 > 0"), df.filter("row_id % 3 = 0")))
+
+
+def test_the_tree_is_searched_over_its_whole_grid(spark, monkeypatch):
+    from tidemark.plans import q_models as qm
+    own_split(spark, monkeypatch, qm)
+    asked = []
+    monkeypatch.setattr(se, "search_params", lambda tr, x, p, kind, c, folds=5, **k: asked.append((kind, c, folds)) or {"best_params": c[0]})
+    assert qm.q_fit_tree(spark, "").count() == 80
+    assert asked == [("decision_tree", [{"maxDepth": d, "minInstancesPerNode": n} for d in range(2, 8) for n in range(5, 55, 5)], 5)]
