@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as mt
 from tidemark.operators import models as md
+from tidemark.operators import packed_boosting as pb
 from tidemark.operators import search as se
 from tidemark.operators import tree_search as ts
 from tidemark.operators.labels import attach_sample_weight
@@ -220,6 +221,39 @@ def test_ensemble_rows_are_assembled_once(spark, monkeypatch):
     assert len(calls) == 4  # the main model's fit and scores, the boosters' rows, the rows they score
 
 
+def test_packed_boosters_are_sparks(rows, monkeypatch):
+    """The trees grown on rows sent whole give the scores, importances and search results of Spark's learner."""
+    d = md.assemble(attach_sample_weight(rows, POL, "label"), X).persist()
+    for params in ({"maxIter": 6, "maxDepth": 3, "stepSize": 0.3}, {"maxIter": 4, "maxDepth": 5, "minInstancesPerNode": 9}):
+        own = md.make_classifier("gbt", **params).fit(d)
+        with monkeypatch.context() as m:
+            m.setattr(pb, "VALUES", 0)
+            sparks = md.make_classifier("gbt", **params).fit(d)
+        assert own.state["trees"] and not own.boosters and sparks.boosters and not sparks.state["trees"]
+        one, two = (np.array([r[0].toArray() for r in m.transform(d).orderBy("row_id").select("probability").collect()]) for m in (own, sparks))
+        assert np.allclose(one, two, atol=1e-9)
+        assert np.allclose(own.featureImportances.toArray(), sparks.featureImportances.toArray(), atol=1e-9)
+    d.unpersist()
+    candidates = [{"maxIter": 2, "maxDepth": 2}, {"maxIter": 5, "maxDepth": 3, "minInstancesPerNode": 20}]
+    got = {(r[0], r[1]): r[2] for r in se.fold_scores(rows, X, POL, "gbt", candidates, folds=2).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(pb, "VALUES", 0)
+        want = {(r[0], r[1]): r[2] for r in se.fold_scores(rows, X, POL, "gbt", candidates, folds=2).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(got) == 4
+
+
+def test_row_samples_are_seeded_and_chunks_add_up(rows, monkeypatch):
+    d = md.assemble(attach_sample_weight(rows, POL, "label"), X)
+    fits = []
+    for parts, chunk in ((1, 65_536), (3, 7)):
+        monkeypatch.setattr(pb, "CHUNK", chunk)
+        table = pb.collected(d.repartition(parts), "features", "label", "sample_weight")
+        bins = table.bins(edges := table.edges(table.y >= 0))
+        fits.append(pb.boosted(bins, np.array([len(e) for e in edges]), np.where(table.y == 3, 1.0, -1.0), table.w, np.arange(600),
+                               {"maxIter": 5, "maxDepth": 3, "stepSize": 0.5, "subsamplingRate": 0.5, "minInstancesPerNode": 2}, [1]))
+    assert np.allclose(*fits, atol=1e-9) and np.unique(fits[0]).size > 8
+
+
 def own_split(spark, monkeypatch, qm):
     rng = np.random.default_rng(4)
     made = [(i, *(float(v) for v in rng.normal(i % 8, 3, len(qm.FEATS))), i % 8) for i in range(240)]
@@ -227,6 +261,21 @@ def own_split(spark, monkeypatch, qm):
     monkeypatch.setattr(qm, "_train_test", lambda *a: (df.filter("row_id % 3 > 0"), df.filter("row_id % 3 = 0")))
 
 
+def test_the_booster_is_searched(spark, monkeypatch):
+    """``fit_gradient_boosting`` draws 20 candidates from all choices, judges them on 5 folds and fits the best one whole."""
+    from tidemark.plans import q_models as qm
+    own_split(spark, monkeypatch, qm)
+    asked, fits = [], []
+    monkeypatch.setattr(se, "search_params", lambda tr, x, p, kind, c, folds=5, **k: asked.append((kind, c, folds)) or {"best_params": c[3]})
+    keep = md.fit_cost_sensitive
+    monkeypatch.setattr(md, "fit_cost_sensitive", lambda *a, **k: fits.append(k) or keep(*a, **{**k, "maxIter": 2, "maxDepth": 2}))
+    out = qm.q_fit_gbt(spark, "").collect()
+    (kind, candidates, folds), = asked
+    assert kind == "gbt" and folds == 5 and len(candidates) == 20 and min(c["maxIter"] for c in candidates) >= 100
+    assert all(c.keys() == md.BOOSTING_CHOICES.keys() for c in candidates) and fits == [candidates[3]]
+    assert all(r["p_total"] == pytest.approx(1) for r in out) and len(out) == 80
+
+
 def test_the_tree_is_searched_over_its_whole_grid(spark, monkeypatch):
     from tidemark.plans import q_models as qm
     own_split(spark, monkeypatch, qm)
