@@ -283,3 +283,26 @@ def test_the_tree_is_searched_over_its_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(se, "search_params", lambda tr, x, p, kind, c, folds=5, **k: asked.append((kind, c, folds)) or {"best_params": c[0]})
     assert qm.q_fit_tree(spark, "").count() == 80
     assert asked == [("decision_tree", [{"maxDepth": d, "minInstancesPerNode": n} for d in range(2, 8) for n in range(5, 55, 5)], 5)]
+
+
+def test_the_report_searches_its_models(spark, monkeypatch):
+    """No model of ``train_report`` is cut short: the tree and the booster are searched, the regression runs to its own end."""
+    from tidemark.plans import q_models as qm
+    own_split(spark, monkeypatch, qm)
+    asked, fits, keep = {}, {}, md.fit_cost_sensitive
+
+    def search(tr, x, p, kind, candidates, folds=5, **k):
+        asked[kind] = candidates, folds
+        return {"best_params": candidates[-1]}
+
+    def fit(tr, x, p, kind, *a, **k):
+        fits[kind] = {n: v for n, v in k.items() if n != "optimise_thresholds"}
+        return keep(tr, x, p, kind, *a, **{**k, **({"maxIter": 2, "maxDepth": 2} if kind == "gbt" else {})})
+
+    monkeypatch.setattr(se, "search_params", search)
+    monkeypatch.setattr(md, "fit_cost_sensitive", fit)
+    got = {r["model"]: r for r in qm.q_train_report(spark, "").collect()}
+    assert list(got) == list(fits) == ["multinomial", "decision_tree", "gbt"] and all(r["n_test"] == 80 for r in got.values())
+    assert fits["multinomial"] == {} and {k: (len(c), f) for k, (c, f) in asked.items()} == {"decision_tree": (12, 5), "gbt": (10, 5)}
+    assert fits["decision_tree"] == {"maxDepth": 5, "minInstancesPerNode": 25} and fits["gbt"]["maxIter"] >= 100
+    assert all(r["weighted_ovr_auc"] > 0.6 and 0 <= r["accuracy"] <= 1 for r in got.values())
