@@ -68,3 +68,36 @@ def test_knn_work_follows_near_cells(spark, monkeypatch):
     assert all(np.allclose(got[i], e, rtol=0, atol=1e-9) for i, e in exp.items())
     found = {name: d.count() for name, d in seen}
     assert found["knn-near"] == 200 * 5 and found["knn-far"] < 200 * 5 * 15     # of about 100 cells
+
+
+def test_knn_cells_are_cut_along_known_columns(spark, monkeypatch):
+    """Rows that lack several columns find their donors in cells cut along the ones they have, not in all slices of the others."""
+    import tidemark.operators.neighbours as nb
+    rnd = random.Random(7)
+    rows = [(i, *(rnd.gauss(0, 1) for _ in range(5))) for i in range(1500)]
+    rows = [(*r[:3], None, None, None) if r[0] % 30 == 0 else r for r in rows]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, e double")
+    seen = {}
+    keep = nb.stored
+    monkeypatch.setattr(nb, "stored", lambda d, name: seen.setdefault(name, keep(d, name)))
+    got = {r["id"]: [r[c] for c in "abcde"] for r in impute_knn(df, "id", [*"abcde"], bucket_size=16).collect()}
+    assert all(np.allclose(got[i], e, rtol=0, atol=1e-9) for i, e in brute(rows, [*"abcde"], 5).items())
+    assert seen["knn-near"].count() == 50 * 3 * 5 and seen["knn-far"].count() < 50 * 3 * 5 * 4     # of about 100 cells
+
+
+def test_knn_trees_are_searched_from_their_roots():
+    """All near leaves are found, and a row is compared with few nodes of the tree, not with every cell."""
+    import tidemark.operators.neighbours as nb
+    x = np.random.default_rng(3).normal(size=(4000, 3))
+    every, asked = (np.packbits(b).tobytes() for b in ([1, 1, 1], [1, 1, 0]))
+    forest = nb.Forest(x, [(every, len(x))], [asked], 16, 16)
+    leaf = forest.leaf(x, np.full(len(x), forest.roots[0][every]))
+    forest.bound([{"_leaf": int(v), "_c": int((leaf == v).sum()), **{f"{k}{i}": f(x[leaf == v, i]) for i in range(3)
+                   for k, f in (("n", len), ("l", np.min), ("h", np.max))}} for v in np.unique(leaf)], 3, 16)
+    ask = np.column_stack([x[:200, :2], np.full(200, np.nan)])
+    pairs, least = [], forest.least
+    forest.least = lambda x, col, row, node: pairs.append(len(row)) or least(x, col, row, node)
+    got = sorted((int(r), int(v)) for rows, leaves in forest.within(ask, np.full(200, 2), np.full(200, 0.1)) for r, v in zip(rows, leaves))
+    far = np.sqrt(1.5 * ((ask[:, None, :2] - x[None, :, :2]) ** 2).sum(2))
+    assert {(i, int(leaf[j])) for i, j in zip(*np.nonzero(far <= 0.1))} <= set(got) and len(set(got)) == len(got)
+    assert sum(pairs) < 200 * 60 and len(np.unique(leaf)) > 250
