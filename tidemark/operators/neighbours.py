@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.session import stored
 
@@ -302,9 +303,8 @@ def nearest_means(z: DataFrame, cols: Sequence[str], k: int, size: int) -> DataF
     if not n:
         return z.select("_id", F.lit(0).alias("_col"), F.lit(None).cast("double").alias("_v"))
     forest = _forest(z, cols, size, n)
-    placed = z.select("_id", *cols).mapInArrow(_placed(forest, cols), f"_id {z.schema['_id'].dataType.simpleString()}, "
-                                               + ", ".join(f"{c} double" for c in cols) + ", _leaf int")
-    placed = stored(placed, "knn-donors")
+    rows = z.select("_id", *cols)
+    placed = stored(rows.mapInArrow(_placed(forest, cols), StructType([*rows.schema.fields, StructField("_leaf", IntegerType())])), "knn-donors")
     boxes = placed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_c"), *[e for i, c in enumerate(cols) for e in (
         F.count(c).alias(f"n{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"))]).collect()   # a row a leaf
     forest.bound(boxes, p, size)
